@@ -131,3 +131,32 @@ def last_known(
         .withColumn("_found", F.coalesce("_inner", "_carry"))
         .select(*keys, ts, F.col("_found.t").alias("state_ts"), F.col("_found.v").alias(value))
     )
+
+
+def interval_sums(
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, totals: dict[str, str | Column],
+    interval_id: str, start: str, end: str, width: int = HOUR,
+) -> DataFrame:
+    """Sums of the points with ``start <= ts < end`` for every interval of the same keys.
+
+    Running totals are read at both ends and subtracted, so the work is linear in points plus intervals
+    however many of them overlap: no point is paired with an interval.
+    """
+    edges = intervals.select(
+        interval_id,
+        *keys,
+        F.explode(
+            F.array(
+                F.struct((F.col(end) - 1).alias(ts), F.lit(1).alias("_sign")),
+                F.struct((F.col(start) - 1).alias(ts), F.lit(-1).alias("_sign")),
+            )
+        ).alias("_e"),
+    ).select(interval_id, *keys, f"_e.{ts}", "_e._sign")
+    measured = points.select(*keys, ts, *[F.col(e).alias(n) if isinstance(e, str) else e.alias(n) for n, e in totals.items()])
+    silent = edges.select(*keys, ts).distinct().select(*keys, ts, *[F.lit(0).cast(measured.schema[n].dataType).alias(n) for n in totals])
+    upto = running_total(measured.unionByName(silent), keys, ts, {n: n for n in totals}, width)
+    return (
+        edges.join(upto, [*keys, ts])
+        .groupBy(interval_id)
+        .agg(*[F.sum(F.col("_sign") * F.col(n)).alias(n) for n in totals])
+    )

@@ -174,3 +174,16 @@ class Domain:
 def _aliased(text: str, table: str) -> bool:
     after = re.search(rf"\b(?:from|join)\s+{table}\s+(\w+)", text)
     return bool(after) and after.group(1).lower() not in ("group", "where", "join", "union", "on", "order")
+
+
+VIEWS["logins"] = (
+    "select event_id, user_id, concat(cast(1+(v100*7919+event_id)%223 as string),'.',cast(event_id%256 as string),'.',cast(v100%256 as string),'.1') ip from ev"
+)
+VIEWS["ip_ranges"] = (
+    "select cast(n_nationkey as bigint)*134217728 first, cast(n_nationkey as bigint)*134217728+100000000 last, n_name country from nation"
+)
+VIEWS["country_codes"] = "select upper(n_name) name, concat('C',cast(n_nationkey as string)) code from nation join region on r_regionkey=n_regionkey where n_nationkey<>3"
+VIEWS["world_aliases"] = "select world_name, case when id<3 then 'Shared' else world_name end alias from worlds where id<>5"
+VIEWS["plugin_snapshot"] = (
+    "select distinct cast(1+p_partkey%5 as int) server_id, p_name plugin_name, 'Brand#1' version from part where p_size<>7"
+)
