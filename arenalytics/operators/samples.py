@@ -360,3 +360,11 @@ def metric_series(samples, metric: str, a, b, servers=None) -> DataFrame:
     """``(server_id, date, y)`` of one metric without missing points."""
     y = F.col(metric).cast("double")
     return dated(samples, a, b, servers).select("server_id", "date", y.alias("y")).where(F.col("y").isNotNull() & (F.col("y") != -1))
+
+
+def tick_jitter(samples) -> DataFrame:
+    """Mean and largest absolute change of the mean tick time between neighbouring samples of a server."""
+    measured = _instants(samples.where(F.col("mspt_average").isNotNull()), F.max("mspt_average").alias("mspt"))
+    steps = with_previous(measured, ["server_id"], "date", ["mspt"])
+    change = F.abs(F.col("mspt") - F.col("prev.mspt"))
+    return steps.groupBy("server_id").agg(F.avg(change).alias("jitter_average"), F.max(change).alias("jitter_max"))
