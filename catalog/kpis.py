@@ -56,7 +56,6 @@ def scalar_sql(servers=(), base=None):
         "DOWNTIME": f"select coalesce(sum(g),0) from ({gaps.format(s=proxy)}) x where g>=180000",
         "SERVER_OCCUPIED": f"select coalesce(sum(g),0) from ({gaps.format(s=srv + ' and players_online>0')}) x where g<180000",
         "TPS_LOW_SPIKES": f"select count(*) from (select t, lag(t) over (partition by server_id order by date) p from (select server_id, date, min(tps) t from samples where date>={A} and date<={B}{game} group by 1,2) x) y where t>0 and t<{LOW} and (p is null or p>={LOW})",
-        "PLAYERS_ONLINE": f"select sum(p) from (select server_id, max(date) m, max_by(players_online, cast(date as hugeint)*100000000+id) p from samples where true{proxy} group by 1) x where m>{NOW}-7200000-120000 and false",
     }
     if servers:
         kpi |= {
@@ -69,7 +68,6 @@ def scalar_sql(servers=(), base=None):
         }
     else:
         kpi["PLAYERS_ONLINE_PEAK"] = f"select max(n) from (select sum(players_online) n from samples where date>={A} and date<={B}{proxy} group by date) x"
-    del kpi["PLAYERS_ONLINE"]
     return " union all ".join(f"select '{n}' kpi, cast(({q}) as double) as value" for n, q in kpi.items()), list(kpi)
 
 
