@@ -23,45 +23,43 @@ def _chunked(df: DataFrame, ts: str, width: int) -> DataFrame:
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str] = (), width: int = HOUR, into: str = "prev"
+    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str] = (), width: int = HOUR, into: str = "prev", ties: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``prev`` = struct(ts, cols) of the preceding row of the key, null on the first.
+    """Add ``prev`` = struct(ts, ties, cols) of the preceding row of the key, null on the first.
 
-    ``df`` holds one row per (keys, ts).
+    ``ties`` orders rows of one instant; without it ``df`` holds one row per (keys, ts).
     """
     rows = _chunked(df, ts, width)
-    state = F.struct(ts, *cols)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(ts)
+    state = F.struct(ts, *ties, *cols)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(ts, *ties)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     carry = (
         rows.groupBy(*keys, CHUNK)
-        .agg(F.max_by(state, F.col(ts)).alias("_last"))
+        .agg(F.max_by(state, F.struct(ts, *ties)).alias("_last"))
         .select(*keys, CHUNK, F.lag("_last").over(across).alias("_carry"))
     )
-    return (
-        rows.withColumn("_inner", F.lag(state).over(inside))
-        .join(carry, [*keys, CHUNK])
-        .withColumn(into, F.coalesce("_inner", "_carry"))
-        .drop("_inner", "_carry", CHUNK)
-    )
+    return _with_carry(rows.withColumn("_inner", F.lag(state).over(inside)), carry, keys, into)
 
 
 def with_next(
-    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str] = (), width: int = HOUR, into: str = "next"
+    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str] = (), width: int = HOUR, into: str = "next", ties: Sequence[str] = ()
 ) -> DataFrame:
     """Mirror image of :func:`with_previous`."""
     rows = _chunked(df, ts, width)
-    state = F.struct(ts, *cols)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(ts)
+    state = F.struct(ts, *ties, *cols)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(ts, *ties)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     carry = (
         rows.groupBy(*keys, CHUNK)
-        .agg(F.min_by(state, F.col(ts)).alias("_first"))
+        .agg(F.min_by(state, F.struct(ts, *ties)).alias("_first"))
         .select(*keys, CHUNK, F.lead("_first").over(across).alias("_carry"))
     )
+    return _with_carry(rows.withColumn("_inner", F.lead(state).over(inside)), carry, keys, into)
+
+
+def _with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str], into: str) -> DataFrame:
     return (
-        rows.withColumn("_inner", F.lead(state).over(inside))
-        .join(carry, [*keys, CHUNK])
+        rows.join(carry, [*keys, CHUNK])
         .withColumn(into, F.coalesce("_inner", "_carry"))
         .drop("_inner", "_carry", CHUNK)
     )

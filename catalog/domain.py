@@ -187,3 +187,18 @@ VIEWS["world_aliases"] = "select world_name, case when id<3 then 'Shared' else w
 VIEWS["plugin_snapshot"] = (
     "select distinct cast(1+p_partkey%5 as int) server_id, p_name plugin_name, 'Brand#1' version from part where p_size<>7"
 )
+# A second dataset to merge: other names for half of the users, one server and one address that are new.
+VIEWS["other_users"] = (
+    "select user_id+100000 id, concat('u-',cast(user_id*2 as string)) uuid, min(session_start) registered, concat('other-',cast(user_id as string)) name, "
+    "cast(0 as int) times_kicked from sessions group by user_id"
+)
+VIEWS["other_sessions"] = (
+    "select id+1000000 id, user_id+100000 user_id, server_id, session_start, session_end, mob_kills, deaths, afk_time, cast(join_address_id+10 as int) join_address_id from sessions"
+)
+VIEWS["other_addresses"] = "select cast(r_regionkey+11 as int) id, case r_regionkey when 0 then 'unknown' when 1 then 'play.a.com' else concat('new-',r_name) end join_address from region"
+VIEWS["dirty_addresses"] = "select id, case id when 2 then concat('play.a.com',chr(0),'x') when 3 then concat('MC.B.com',chr(0),'y') else join_address end join_address from join_address"
+VIEWS["dirty_user_info"] = (
+    "select id, user_id, server_id, 'play.a.com' join_address, registered, opped, banned from user_info union all "
+    "select id+10000000 id, user_id, server_id, 'dup' join_address, registered+5 registered, opped, banned from user_info"
+)
+VIEWS["ban_list"] = "select user_id, server_id from user_info where (user_id+server_id)%19=0"
