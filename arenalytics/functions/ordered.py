@@ -158,3 +158,17 @@ def interval_sums(
         .groupBy(interval_id)
         .agg(*[F.sum(F.col("_sign") * F.col(n)).alias(n) for n in totals])
     )
+
+
+def carry_forward(
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, width: int = HOUR, ties: Sequence[str] = (), into: str = "current"
+) -> DataFrame:
+    """Add ``into``: the last non-null ``value`` of the key at or before each row."""
+    rows = _chunked(df, ts, width)
+    upto = Window.partitionBy(*keys, CHUNK).orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    newest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(ts, *ties)))
+    carry = (
+        rows.groupBy(*keys, CHUNK).agg(newest.alias("_newest")).select(*keys, CHUNK, F.last("_newest", ignorenulls=True).over(before).alias("_carry"))
+    )
+    return _with_carry(rows.withColumn("_inner", F.last(value, ignorenulls=True).over(upto)), carry, keys, into)

@@ -1,10 +1,10 @@
-"""Declared table schemas. Timestamps and durations are bigint milliseconds."""
+"""Declared table schemas as DDL. Timestamps and durations are bigint milliseconds."""
 
 from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
-_DDL = {
+TABLES = {
     "users": "id bigint, uuid string, registered bigint, name string, times_kicked int",
     "servers": "id int, uuid string, name string, web_address string, is_installed boolean, is_proxy boolean, plan_version string",
     "user_info": "id bigint, user_id bigint, server_id int, join_address string, registered bigint, opped boolean, banned boolean",
@@ -13,7 +13,7 @@ _DDL = {
     "world_times": "user_id bigint, world_id int, server_id int, session_id bigint, survival_time bigint, "
     "creative_time bigint, adventure_time bigint, spectator_time bigint",
     "worlds": "id int, world_name string, server_uuid string",
-    "kills": "id bigint, killer_uuid string, victim_uuid string, server_uuid string, weapon string, date bigint, session_id bigint",
+    "kills": "id bigint, killer_uuid string, victim_uuid string, server_uuid string, server_id int, weapon string, date bigint, session_id bigint",
     "samples": "id bigint, server_id int, date bigint, tps double, players_online int, cpu_usage double, ram_usage bigint, "
     "entities int, chunks_loaded int, free_disk_space bigint, mspt_average double, mspt_95th double, "
     "mspt_jitter_avg double, mspt_jitter_max double",
@@ -38,7 +38,10 @@ _DDL = {
     "metric_table_headers": "id int, name string, col_1 string, col_2 string, col_3 string, col_4 string, col_5 string, plugin_id int",
     "metric_user_table_rows": "table_id int, user_id bigint, row_number bigint, col_1 string, col_2 string, col_3 string, col_4 string, col_5 string",
     "metric_server_table_rows": "table_id int, server_id int, row_number bigint, col_1 string, col_2 string, col_3 string, col_4 string, col_5 string",
-    "session_events": "event_id bigint, user_id bigint, server_id int, kind string, date bigint",
+    "session_events": "event_id bigint, user_id bigint, server_id int, kind string, date bigint, world string, mode int",
 }
 
-TABLES = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+def struct(name: str) -> StructType:
+    """The schema as a StructType (needs a running session)."""
+    return StructType.fromDDL(TABLES[name])

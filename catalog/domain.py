@@ -107,7 +107,7 @@ VIEWS = {
     "metric_table_headers": "select cast(r_regionkey+1 as int) id, concat('table-',r_name) name, 'Kind' col_1, 'Value' col_2, 'Server' col_3, "
     "cast(r_regionkey+1 as int) plugin_id from region",
     "session_events": "select event_id, user_id, server_id, case event_type when 'signup' then 'join' when 'purchase' then 'leave' "
-    "when 'view' then 'world' when 'click' then 'action' else 'kill' end kind, ms date, "
+    "when 'view' then 'world' when 'click' then 'action' else 'afk' end kind, ms date, "
     "concat('w',cast(event_id%3 as string)) world, cast(v100%4 as int) mode from ev",
 }
 
@@ -202,3 +202,8 @@ VIEWS["dirty_user_info"] = (
     "select id+10000000 id, user_id, server_id, 'dup' join_address, registered+5 registered, opped, banned from user_info"
 )
 VIEWS["ban_list"] = "select user_id, server_id from user_info where (user_id+server_id)%19=0"
+VIEWS["pulses"] = (
+    "select event_id id, server_id, ms date, case when event_id%50=0 then -1.0 else 20.0-cast(v100%1500 as double)/100 end tps, cast(event_id%12 as int) players, "
+    "cast(v100%10000 as double)/100 cpu, 1000+v100%4000 ram, cast(v100%900 as int) entities, cast(event_id%300 as int) chunks, 50000+v100%1000 disk, v100%90 mspt from ev"
+)
+VIEWS["raw_pings"] = "select event_id id, user_id, server_id, ms date, cast(v100%4200-20 as int) value from ev where event_type='click'"
