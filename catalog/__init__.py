@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = [
-    "activity",
-    "sessions", "players", "retention", "samples", "combat", "network", "worlds", "metrics",
+    "activity", "sessions", "players", "retention", "samples", "combat", "network", "worlds", "metrics",
     "series", "segments", "tables", "reports", "kpis", "quality", "io", "streams",
 ]
 
@@ -48,5 +46,4 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
 
 def load() -> None:
     for module in MODULES:
-        if importlib.util.find_spec(f"catalog.{module}"):
-            importlib.import_module(f"catalog.{module}")
+        importlib.import_module(f"catalog.{module}")
