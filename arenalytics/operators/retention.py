@@ -39,7 +39,7 @@ def cohort(kind: str, registered: str = "registered") -> Column:
         return F.date_format(at, "yyyy-MM")
     if kind == "years":
         return F.year(at).cast("string")
-    return F.lit("all")
+    return F.when(F.col(registered).isNotNull(), F.lit("all"))
 
 
 def by_address_group(base: DataFrame, addresses: DataFrame, groups: DataFrame) -> DataFrame:

@@ -10,11 +10,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arenalytics.functions.clock import day
+from arenalytics.functions.clock import day, hour
 from arenalytics.functions.stats import grouped_quantile, int_ratio, ratio
 from arenalytics.functions.windows import active, clipped, contained, length, overlap, restrict, scope, start_in
 
 
+# Spark limits rank windows on the map side up to this many rows per group (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
 
 def _group(df: DataFrame, by: Sequence[str]):
     return df.groupBy(*by)
@@ -124,9 +127,27 @@ def summary_of_players(sessions, users, a, b, servers=None) -> DataFrame:
 
 
 def latest_sessions(sessions, n: int, servers=None) -> DataFrame:
-    """Per server every session that starts at or after the n-th latest start (ties kept)."""
-    newest = Window.partitionBy("server_id").orderBy(F.col("session_start").desc())
-    return scope(sessions, servers).withColumn("_rank", F.rank().over(newest)).where(F.col("_rank") <= n).drop("_rank")
+    """Per server every session that starts at or after the n-th latest start (ties kept).
+
+    A small ``n`` is cut on the map side. For a large one the hours that can hold the newest ``n`` are found
+    on hourly counts first, and sessions are ranked within their hour.
+    """
+    chosen = scope(sessions, servers)
+    newest = F.col("session_start").desc()
+    if n <= GROUP_LIMIT:
+        ranked = chosen.withColumn("_rank", F.rank().over(Window.partitionBy("server_id").orderBy(newest)))
+        return ranked.where(F.col("_rank") <= n).drop("_rank")
+    hours = chosen.withColumn("_hour", hour("session_start"))
+    later = Window.partitionBy("server_id").orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = (
+        hours.groupBy("server_id", "_hour")
+        .agg(F.count("*").alias("_c"))
+        .select("server_id", "_hour", F.coalesce(F.sum("_c").over(later), F.lit(0)).alias("_before"))
+        .where(F.col("_before") < n)
+    )
+    rank = F.col("_before") + F.rank().over(Window.partitionBy("server_id", "_hour").orderBy(newest))
+    kept = hours.join(wanted, ["server_id", "_hour"]).withColumn("_rank", rank).where(F.col("_rank") <= n)
+    return kept.select(*sessions.columns)
 
 
 def sessions_between(sessions, a, b, servers=None, users=None, limit: int = 10_000) -> DataFrame:

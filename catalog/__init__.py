@@ -11,6 +11,7 @@ from catalog.domain import Domain, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+FUNCTIONS: dict[str, Callable[[Domain], DataFrame]] = {}
 
 MODULES = [
     "activity", "sessions", "players", "retention", "samples", "combat", "network", "worlds", "metrics",
@@ -33,6 +34,7 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
             return out.withColumns({c: F.round(F.col(c), 6) for c in doubles.split()}) if doubles else out
 
         QUERIES[name] = run
+        FUNCTIONS[name] = fn
         if sql is not None:
             body = sql
             if doubles:

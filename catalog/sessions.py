@@ -150,6 +150,11 @@ def _(d):
     return ses.latest_sessions(d.sessions, 20).select("id", "server_id", "session_start")
 
 
+@query("ses_18_latest_thousands", """select id, server_id, session_start from (select *, rank() over (partition by server_id order by session_start desc) r from sessions) x where r<=1500""")
+def _(d):
+    return ses.latest_sessions(d.sessions, 1500).select("id", "server_id", "session_start")
+
+
 @query("ses_19_sessions_between", f"""select id, user_id, session_start, session_end from sessions where session_start between {A} and {B}
  and server_id in (1,2,3) order by session_start desc, id desc limit 10000""")
 def _(d):
