@@ -22,6 +22,22 @@ def _chunked(df: DataFrame, ts: str, width: int) -> DataFrame:
     return df.withColumn(CHUNK, bucket(ts, width))
 
 
+def _step(df, keys, ts, cols, width, into, ties, ahead: bool) -> DataFrame:
+    """Neighbouring row of each row: by a window inside the chunk, and across chunks from the chunk's edge rows.
+
+    The edge row of a chunk is found in the same window pass over the same shuffle, so the input is read once.
+    """
+    rows = _chunked(df, ts, width)
+    state = F.struct(ts, *ties, *cols)
+    order = [F.col(c).desc() if ahead else F.col(c).asc() for c in (ts, *ties)]
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    chunk = F.col(CHUNK).desc() if ahead else F.col(CHUNK).asc()
+    across = Window.partitionBy(*keys).orderBy(chunk)
+    walked = rows.withColumn("_inner", F.lag(state).over(inside)).withColumn("_more", F.lead(F.lit(True), 1, False).over(inside))
+    carry = walked.where(~F.col("_more")).select(*keys, CHUNK, F.lag(state).over(across).alias("_carry"))
+    return _with_carry(walked.drop("_more"), carry, keys, into)
+
+
 def with_previous(
     df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str] = (), width: int = HOUR, into: str = "prev", ties: Sequence[str] = ()
 ) -> DataFrame:
@@ -29,32 +45,14 @@ def with_previous(
 
     ``ties`` orders rows of one instant; without it ``df`` holds one row per (keys, ts).
     """
-    rows = _chunked(df, ts, width)
-    state = F.struct(ts, *ties, *cols)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(ts, *ties)
-    across = Window.partitionBy(*keys).orderBy(CHUNK)
-    carry = (
-        rows.groupBy(*keys, CHUNK)
-        .agg(F.max_by(state, F.struct(ts, *ties)).alias("_last"))
-        .select(*keys, CHUNK, F.lag("_last").over(across).alias("_carry"))
-    )
-    return _with_carry(rows.withColumn("_inner", F.lag(state).over(inside)), carry, keys, into)
+    return _step(df, keys, ts, cols, width, into, ties, ahead=False)
 
 
 def with_next(
     df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str] = (), width: int = HOUR, into: str = "next", ties: Sequence[str] = ()
 ) -> DataFrame:
     """Mirror image of :func:`with_previous`."""
-    rows = _chunked(df, ts, width)
-    state = F.struct(ts, *ties, *cols)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(ts, *ties)
-    across = Window.partitionBy(*keys).orderBy(CHUNK)
-    carry = (
-        rows.groupBy(*keys, CHUNK)
-        .agg(F.min_by(state, F.struct(ts, *ties)).alias("_first"))
-        .select(*keys, CHUNK, F.lead("_first").over(across).alias("_carry"))
-    )
-    return _with_carry(rows.withColumn("_inner", F.lead(state).over(inside)), carry, keys, into)
+    return _step(df, keys, ts, cols, width, into, ties, ahead=True)
 
 
 def _with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str], into: str) -> DataFrame:
@@ -112,22 +110,23 @@ def last_known(
 
     ``states`` holds one row per (keys, ts).
     """
-    known = states.select(*keys, ts, F.lit(0).alias("_ask"), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")).alias("_s"))
+    known = states.select(*keys, ts, F.lit(0).alias("_ask"), F.col(ts).alias("_t"), F.col(value).alias("_v"))
     asked = instants.select(*keys, ts).distinct().withColumn("_ask", F.lit(1))
     rows = _chunked(known.unionByName(asked, allowMissingColumns=True), ts, width)
     inside = Window.partitionBy(*keys, CHUNK).orderBy(ts, "_ask").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.when(F.col("_t").isNotNull(), F.struct("_t", "_v"))
     carry = (
         rows.groupBy(*keys, CHUNK)
-        .agg(F.max("_s").alias("_newest"))
-        .select(*keys, CHUNK, F.last("_newest", ignorenulls=True).over(before).alias("_carry"))
+        .agg(F.max("_t").alias("_t"), F.max_by("_v", "_t").alias("_v"))
+        .select(*keys, CHUNK, F.last(found, ignorenulls=True).over(before).alias("_carry"))
     )
     return (
-        rows.withColumn("_inner", F.last("_s", ignorenulls=True).over(inside))
+        rows.withColumn("_inner", F.last(found, ignorenulls=True).over(inside))
         .where(F.col("_ask") == 1)
         .join(carry, [*keys, CHUNK])
         .withColumn("_found", F.coalesce("_inner", "_carry"))
-        .select(*keys, ts, F.col("_found.t").alias("state_ts"), F.col("_found.v").alias(value))
+        .select(*keys, ts, F.col("_found._t").alias("state_ts"), F.col("_found._v").alias(value))
     )
 
 
@@ -165,10 +164,9 @@ def carry_forward(
 ) -> DataFrame:
     """Add ``into``: the last non-null ``value`` of the key at or before each row."""
     rows = _chunked(df, ts, width)
-    upto = Window.partitionBy(*keys, CHUNK).orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(ts, *ties)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(ts, *ties)))
-    carry = (
-        rows.groupBy(*keys, CHUNK).agg(newest.alias("_newest")).select(*keys, CHUNK, F.last("_newest", ignorenulls=True).over(before).alias("_carry"))
-    )
-    return _with_carry(rows.withColumn("_inner", F.last(value, ignorenulls=True).over(upto)), carry, keys, into)
+    walked = rows.withColumn("_inner", F.last(value, ignorenulls=True).over(upto)).withColumn("_more", F.lead(F.lit(True), 1, False).over(inside))
+    carry = walked.where(~F.col("_more")).select(*keys, CHUNK, F.last("_inner", ignorenulls=True).over(before).alias("_carry"))
+    return _with_carry(walked.drop("_more"), carry, keys, into)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalytics.functions.clock import MINUTE, bucket
+from arenalytics.functions.clock import DAY, MINUTE, bucket
 from arenalytics.functions.ordered import interval_sums
 from arenalytics.functions.windows import scope, valid_ping
 from arenalytics.operators.geo import latest_geolocations
@@ -64,6 +64,6 @@ def per_session(sessions, ping) -> DataFrame:
     exact = F.col("avg_ping").cast("decimal(20,6)")
     sums = interval_sums(
         ping, sessions.where(F.col("session_end") >= F.col("session_start")), ["user_id", "server_id"], "date",
-        {"total": exact, "n": F.lit(1).cast("bigint")}, "id", "session_start", "session_end",
+        {"total": exact, "n": F.lit(1).cast("bigint")}, "id", "session_start", "session_end", DAY,
     )
     return sums.where(F.col("n") > 0).select("id", (F.col("total").cast("double") / F.col("n")).alias("average_ping"))

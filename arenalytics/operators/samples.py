@@ -161,16 +161,27 @@ def low_tps_spikes_by_sample(samples, threshold: float, a, b, servers=None) -> D
     return steps.groupBy("server_id").agg(F.count_if(is_low(F.col("tps"), threshold) & ~was).alias("spikes"))
 
 
+def peaks(samples, now: int | None = None, recent: int = 2 * DAY, by=("server_id",)) -> DataFrame:
+    """Best and recent peak with their latest dates, and the newest player count, from one aggregation.
+
+    Dates are reduced per player count first, which keeps the large aggregation on plain hash maps.
+    """
+    seen = F.col("date") >= now - recent if now is not None else F.lit(True)
+    levels = samples.groupBy(*by, "players_online").agg(F.max("date").alias("d"), F.max(F.when(seen, F.col("date"))).alias("r"))
+    best = F.max(F.struct("players_online", "d"))
+    last = F.max(F.when(F.col("r").isNotNull(), F.struct("players_online", "r")))
+    newest = F.max(F.struct("d", "players_online"))
+    return levels.groupBy(*by).agg(best.alias("b"), last.alias("l"), newest.alias("n")).select(
+        *by, F.col("b.d").alias("best_peak_date"), F.col("b.players_online").alias("best_peak_players"),
+        F.col("l.r").alias("last_peak_date"), F.col("l.players_online").alias("last_peak_players"),
+        F.col("n.d").alias("newest_date"), F.col("n.players_online").alias("newest_players"),
+    )
+
+
 def peak_players(samples, a, b, servers=None, by=("server_id",)) -> DataFrame:
     """Highest player count and the latest date it was seen."""
-    best = F.max(F.struct("players_online", "date"))
-    return (
-        dated(samples, a, b, servers)
-        .groupBy(*by)
-        .agg(best.alias("m"))
-        .where(F.col("m").isNotNull())
-        .select(*by, F.col("m.date").alias("date"), F.col("m.players_online").alias("players_online"))
-    )
+    found = peaks(dated(samples, a, b, servers), by=by)
+    return found.select(*by, F.col("best_peak_date").alias("date"), F.col("best_peak_players").alias("players_online")).where(F.col("date").isNotNull())
 
 
 def network_peak(samples, a, b, servers=None) -> DataFrame:
@@ -180,13 +191,16 @@ def network_peak(samples, a, b, servers=None) -> DataFrame:
 
 
 def latest_sample(samples, servers=None) -> DataFrame:
+    """The newest sample of each server. Its date is found on two columns; full rows are read for that date only."""
+    chosen = scope(samples, servers)
+    newest = chosen.groupBy("server_id").agg(F.max("date").alias("date"))
     columns = [c for c in samples.columns if c not in ("server_id", "date")]
-    order = ["date"] + (["id"] if "id" in columns else [])
+    tie = F.col("id") if "id" in columns else F.col("date")
     return (
-        scope(samples, servers)
-        .groupBy("server_id")
-        .agg(F.max_by(F.struct("date", *columns), F.struct(*order)).alias("m"))
-        .select("server_id", "m.*")
+        chosen.join(newest, ["server_id", "date"], "left_semi")
+        .groupBy("server_id", "date")
+        .agg(F.max_by(F.struct(*columns), tie).alias("m"))
+        .select("server_id", "date", "m.*")
     )
 
 
@@ -194,52 +208,71 @@ def _present(name: str) -> Column:
     return F.when(F.col(name) >= 0, F.col(name).cast("double"))
 
 
-def averages(samples, a, b, servers=None, by=("server_id",), activity: str | None = None, closed: bool = False) -> DataFrame:
-    """All averages, maxima and minima of a window in one aggregation, −1 where nothing was measured."""
-    inside = F.col("date").between(a, b) if closed else strictly_inside("date", a, b)
-    chosen = online_activity(scope(samples, servers).where(inside), activity)
-    aggs = [F.coalesce(F.avg(_present(m)), F.lit(-1.0)).alias(f"average_{m}") for m in METRICS if m not in ("mspt_95th", "mspt_jitter_max")]
-    aggs += [
+def average_columns() -> list[Column]:
+    """Averages, maxima and minima, −1 where nothing was measured."""
+    means = [m for m in METRICS if m not in ("mspt_95th", "mspt_jitter_max")]
+    return [F.coalesce(F.avg(_present(m)), F.lit(-1.0)).alias(f"average_{m}") for m in means] + [
         F.coalesce(F.max(_present("mspt_jitter_max")), F.lit(-1.0)).alias("max_jitter"),
         F.coalesce(F.max(_present("mspt_95th")), F.lit(-1.0)).alias("max_mspt_95th"),
         F.coalesce(F.max(F.when(F.col("free_disk_space") >= 0, F.col("free_disk_space"))), F.lit(-1)).alias("max_disk"),
         F.coalesce(F.min(F.when(F.col("free_disk_space") >= 0, F.col("free_disk_space"))), F.lit(-1)).alias("min_disk"),
     ]
-    return chosen.groupBy(*by).agg(*aggs)
 
 
-def under_low_tps(samples, a, b, threshold: float, servers=None, by=("server_id",)) -> DataFrame:
-    chosen = scope(samples, servers).where(strictly_inside("date", a, b) & (F.col("tps") < threshold))
-    return chosen.groupBy(*by).agg(
-        F.coalesce(F.avg(_present("mspt_average")), F.lit(-1.0)).alias("average_mspt"),
-        F.coalesce(F.max(_present("mspt_95th")), F.lit(-1.0)).alias("max_mspt_95th"),
-    )
+def low_tps_columns(threshold: float) -> list[Column]:
+    low = F.col("tps") < threshold
+    return [
+        F.coalesce(F.avg(F.when(low, _present("mspt_average"))), F.lit(-1.0)).alias("low_average_mspt"),
+        F.coalesce(F.max(F.when(low, _present("mspt_95th"))), F.lit(-1.0)).alias("low_max_mspt_95th"),
+    ]
 
 
-def load_ratios(samples, a, b, servers=None, by=("server_id",)) -> DataFrame:
+RATIOS = ["cpu_per_player", "chunks_per_player", "entities_per_chunk", "mspt_per_player", "mspt_per_chunk"]
+
+
+def ratio_columns() -> list[Column]:
     """Load per player and per chunk. The idle CPU baseline is taken from the same pass, because
     ``avg((cpu − idle) / players) = avg(cpu / players) − idle · avg(1 / players)``; −1 without a baseline.
     """
     players, chunks = F.col("players_online").cast("double"), F.col("chunks_loaded").cast("double")
-    busy = players > 0
     cpu = _present("cpu_usage")
-    sums = (
-        scope(samples, servers)
-        .where(strictly_inside("date", a, b))
-        .groupBy(*by)
-        .agg(
-            F.avg(F.when(players == 0, cpu)).alias("_idle"),
-            F.avg(F.when(busy, cpu / F.when(players != 0, players))).alias("_cpu"),
-            F.avg(F.when(busy & cpu.isNotNull(), 1 / F.when(players != 0, players))).alias("_inv"),
-            F.coalesce(F.avg(F.when(busy, _present("chunks_loaded") / F.when(players != 0, players))), F.lit(-1.0)).alias("chunks_per_player"),
-            F.coalesce(F.avg(F.when(chunks > 0, _present("entities") / F.when(chunks != 0, chunks))), F.lit(-1.0)).alias("entities_per_chunk"),
-            F.coalesce(F.avg(F.when(busy, _present("mspt_average") / F.when(players != 0, players))), F.lit(-1.0)).alias("mspt_per_player"),
-            F.coalesce(F.avg(F.when(chunks > 0, _present("mspt_average") / F.when(chunks != 0, chunks))), F.lit(-1.0)).alias("mspt_per_chunk"),
-        )
-    )
-    return sums.withColumn(
-        "cpu_per_player", F.coalesce(F.col("_cpu") - F.col("_idle") * F.col("_inv"), F.lit(-1.0))
-    ).drop("_cpu", "_idle", "_inv")
+
+    def per(metric: Column, amount: Column) -> Column:
+        return F.avg(F.when(amount > 0, metric / F.when(amount != 0, amount)))
+
+    idle = F.avg(F.when(players == 0, cpu))
+    inverse = F.avg(F.when((players > 0) & cpu.isNotNull(), 1 / F.when(players != 0, players)))
+    return [
+        F.coalesce(per(cpu, players) - idle * inverse, F.lit(-1.0)).alias("cpu_per_player"),
+        F.coalesce(per(_present("chunks_loaded"), players), F.lit(-1.0)).alias("chunks_per_player"),
+        F.coalesce(per(_present("entities"), chunks), F.lit(-1.0)).alias("entities_per_chunk"),
+        F.coalesce(per(_present("mspt_average"), players), F.lit(-1.0)).alias("mspt_per_player"),
+        F.coalesce(per(_present("mspt_average"), chunks), F.lit(-1.0)).alias("mspt_per_chunk"),
+    ]
+
+
+def in_window(samples, a, b, servers=None, activity: str | None = None, closed: bool = False) -> DataFrame:
+    inside = F.col("date").between(a, b) if closed else strictly_inside("date", a, b)
+    return online_activity(scope(samples, servers).where(inside), activity)
+
+
+def averages(samples, a, b, servers=None, by=("server_id",), activity: str | None = None, closed: bool = False) -> DataFrame:
+    """All averages and extremes of a window in one aggregation."""
+    return in_window(samples, a, b, servers, activity, closed).groupBy(*by).agg(*average_columns())
+
+
+def under_low_tps(samples, a, b, threshold: float, servers=None, by=("server_id",)) -> DataFrame:
+    chosen = in_window(samples, a, b, servers).where(F.col("tps") < threshold).groupBy(*by).agg(*low_tps_columns(threshold))
+    return chosen.withColumnsRenamed({"low_average_mspt": "average_mspt", "low_max_mspt_95th": "max_mspt_95th"})
+
+
+def load_ratios(samples, a, b, servers=None, by=("server_id",)) -> DataFrame:
+    return in_window(samples, a, b, servers).groupBy(*by).agg(*ratio_columns())
+
+
+def sample_block(samples, a, b, threshold: float, servers=None, by=()) -> DataFrame:
+    """Averages, extremes, low-TPS values and load ratios of a window from one scan."""
+    return in_window(samples, a, b, servers).groupBy(*by).agg(*average_columns(), *low_tps_columns(threshold), *ratio_columns())
 
 
 def latest_start(samples, gap: int = DOWN_GAP, servers=None) -> DataFrame:

@@ -130,8 +130,9 @@ def _kills(t, s: Scope) -> DataFrame:
 
 
 def _load(t, s: Scope) -> DataFrame:
-    a = samples.averages(t.samples, s.a, s.b, s.servers, by=())
-    return a.select(
+    """Every KPI of the samples' metrics from one scan."""
+    block = samples.sample_block(t.samples, s.a, s.b, s.low_tps, s.servers)
+    return block.select(
         F.col("average_chunks_loaded").cast("bigint").alias("CHUNKS_AVERAGE"),
         F.when(F.col("average_cpu_usage") != -1, F.col("average_cpu_usage") / 100).alias("CPU_AVERAGE"),
         F.col("average_entities").cast("bigint").alias("ENTITIES_AVERAGE"),
@@ -139,36 +140,21 @@ def _load(t, s: Scope) -> DataFrame:
         F.col("average_mspt_jitter_avg").alias("MSPT_JITTER_AVERAGE"),
         F.col("max_jitter").alias("MSPT_JITTER_MAX"),
         F.col("max_mspt_95th").alias("MSPT_MAX_95TH"),
-    )
-
-
-def _server_load(t, s: Scope) -> DataFrame:
-    a = samples.averages(t.samples, s.a, s.b, s.servers, by=())
-    return a.select(
-        F.col("max_disk").alias("DISK_MAX"),
-        F.col("min_disk").alias("DISK_MIN"),
-        F.col("average_players_online").alias("PLAYERS_ONLINE_AVERAGE"),
-        F.col("average_ram_usage").cast("bigint").alias("RAM_AVERAGE"),
-        F.col("average_tps").alias("TPS_AVERAGE"),
-    )
-
-
-def _ratios(t, s: Scope) -> DataFrame:
-    r = samples.load_ratios(t.samples, s.a, s.b, s.servers, by=())
-    return r.select(
+        F.col("low_average_mspt").alias("MSPT_AVERAGE_LOW_TPS"),
+        F.col("low_max_mspt_95th").alias("MSPT_MAX_95TH_LOW_TPS"),
         F.col("chunks_per_player").cast("bigint").alias("CHUNKS_PER_PLAYER"),
         F.when(F.col("cpu_per_player") != -1, F.col("cpu_per_player") / 100).alias("CPU_IMPACT_PER_PLAYER"),
         F.col("entities_per_chunk").alias("ENTITIES_PER_CHUNK"),
         F.col("mspt_per_chunk").alias("MSPT_IMPACT_PER_CHUNK"),
         F.col("mspt_per_player").alias("MSPT_IMPACT_PER_PLAYER"),
+        F.col("max_disk").alias("DISK_MAX"),
+        F.col("min_disk").alias("DISK_MIN"),
+        F.col("average_players_online").alias("PLAYERS_ONLINE_AVERAGE"),
+        F.col("average_ram_usage").cast("bigint").alias("RAM_AVERAGE"),
+        F.col("average_tps").alias("TPS_AVERAGE"),
     )
 
 
-def _low(t, s: Scope) -> DataFrame:
-    r = samples.under_low_tps(t.samples, s.a, s.b, s.low_tps, s.servers, by=())
-    return r.select(F.col("average_mspt").alias("MSPT_AVERAGE_LOW_TPS"), F.col("max_mspt_95th").alias("MSPT_MAX_95TH_LOW_TPS"))
-
-
 def _proxies(t):
     return t.servers.where("is_proxy").select(F.col("id").alias("server_id"))
 
@@ -196,8 +182,8 @@ def _spikes(t, s: Scope) -> DataFrame:
 def _online(t, s: Scope) -> DataFrame:
     """Sum of the newest player counts that are at most two minutes old."""
     now = s.now if s.now is not None else s.b
-    newest = samples.latest_sample(t.samples.select("id", "server_id", "date", "players_online"), s.servers or _proxies(t))
-    return newest.agg(F.sum(F.when(F.col("date") > now - 2 * MINUTE, F.col("players_online"))).alias("PLAYERS_ONLINE"))
+    newest = samples.peaks(scope(t.samples, s.servers or _proxies(t)))
+    return newest.agg(F.sum(F.when(F.col("newest_date") > now - 2 * MINUTE, F.col("newest_players"))).alias("PLAYERS_ONLINE"))
 
 
 def _peak(t, s: Scope) -> DataFrame:
@@ -224,15 +210,14 @@ GROUPS = [
     Group(("REGULAR_PLAYERS",), NO_PLAYER, _regular),
     Group(("PLAYER_KILLS",), ALL, _kills),
     Group(
-        ("CHUNKS_AVERAGE", "CPU_AVERAGE", "ENTITIES_AVERAGE", "MSPT_AVERAGE", "MSPT_JITTER_AVERAGE", "MSPT_JITTER_MAX", "MSPT_MAX_95TH"),
+        (
+            "CHUNKS_AVERAGE", "CPU_AVERAGE", "ENTITIES_AVERAGE", "MSPT_AVERAGE", "MSPT_JITTER_AVERAGE", "MSPT_JITTER_MAX", "MSPT_MAX_95TH",
+            "MSPT_AVERAGE_LOW_TPS", "MSPT_MAX_95TH_LOW_TPS", "CHUNKS_PER_PLAYER", "CPU_IMPACT_PER_PLAYER", "ENTITIES_PER_CHUNK",
+            "MSPT_IMPACT_PER_CHUNK", "MSPT_IMPACT_PER_PLAYER",
+        ),
         NO_PLAYER, _load,
     ),
-    Group(("DISK_MAX", "DISK_MIN", "PLAYERS_ONLINE_AVERAGE", "RAM_AVERAGE", "TPS_AVERAGE"), ONLY_SERVER, _server_load),
-    Group(
-        ("CHUNKS_PER_PLAYER", "CPU_IMPACT_PER_PLAYER", "ENTITIES_PER_CHUNK", "MSPT_IMPACT_PER_CHUNK", "MSPT_IMPACT_PER_PLAYER"),
-        NO_PLAYER, _ratios,
-    ),
-    Group(("MSPT_AVERAGE_LOW_TPS", "MSPT_MAX_95TH_LOW_TPS"), NO_PLAYER, _low),
+    Group(("DISK_MAX", "DISK_MIN", "PLAYERS_ONLINE_AVERAGE", "RAM_AVERAGE", "TPS_AVERAGE"), ONLY_SERVER, _load),
     Group(("UPTIME", "DOWNTIME"), NO_PLAYER, _uptime),
     Group(("SERVER_OCCUPIED",), NO_PLAYER, _occupied),
     Group(("TPS_LOW_SPIKES",), NO_PLAYER, _spikes),
@@ -262,17 +247,14 @@ def kpi_value(t, name: str, s: Scope) -> DataFrame:
 def kpi_table(t, s: Scope, names: Sequence[str] | None = None) -> DataFrame:
     """Long rows ``(kpi, value)`` (with user_id per user) of the named KPIs, by default all that are defined at this level."""
     wanted = list(names) if names is not None else [n for n, g in BY_NAME.items() if s.level in g.allowed]
+    by_source: dict[Callable, list[str]] = {}
     for name in wanted:
-        check(name, s)
-    parts = []
-    for group in GROUPS:
-        chosen = [n for n in group.names if n in wanted]
-        if chosen:
-            pairs = ", ".join(f"'{n}', cast({n} as double)" for n in chosen)
-            parts.append(group.compute(t, s).selectExpr(*s.by, f"stack({len(chosen)}, {pairs}) as (kpi, value)"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        by_source.setdefault(check(name, s).compute, []).append(name)
+    out = None
+    for compute, chosen in by_source.items():
+        pairs = ", ".join(f"'{n}', cast({n} as double)" for n in chosen)
+        part = compute(t, s).selectExpr(*s.by, f"stack({len(chosen)}, {pairs}) as (kpi, value)")
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -242,14 +242,7 @@ def totals(sessions, registrations, kills, samples, now: int, threshold: int, by
         F.sum("mob_kills").alias("mob_kills"), F.sum("deaths").alias("deaths"),
     )
     fought = combat.kill_count(kills, 0, now, by=by).withColumnRenamed("kills", "player_kills")
-    peaks = samples.groupBy(*by).agg(
-        F.max(F.struct("players_online", "date")).alias("best"),
-        F.max(F.when(F.col("date") >= now - 2 * DAY, F.struct("players_online", "date"))).alias("last"),
-        F.max_by("players_online", F.struct("date", "id")).alias("online_players"),
-    ).select(
-        *by, F.col("best.date").alias("best_peak_date"), F.col("best.players_online").alias("best_peak_players"),
-        F.col("last.date").alias("last_peak_date"), F.col("last.players_online").alias("last_peak_players"), "online_players",
-    )
+    peaks = tps.peaks(samples, now, by=by).drop("newest_date").withColumnRenamed("newest_players", "online_players")
     up = tps.current_uptime(samples, now, gap).groupBy(*by).agg(F.max("uptime").alias("current_uptime"))
     regular = _regulars(registrations, sessions, {"players": now}, threshold, by)
     counts = ["total_players", "regular_players", "playtime", "sessions", "mob_kills", "deaths", "player_kills"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arenalytics.functions.clock import DAY, MINUTE, WEEK
+from arenalytics.functions.clock import MINUTE, WEEK
 from arenalytics.functions.windows import active, clipped, length, overlap, restrict, scope
 from arenalytics.operators import samples as tps
 from arenalytics.operators import worlds as wld
@@ -148,19 +148,13 @@ def server_list(servers, user_info, sessions, samples, now: int, threshold: floa
     unique = sessions.where((F.col("session_end") <= now) & (F.col("session_start") >= week)).groupBy("server_id").agg(
         F.countDistinct("user_id").alias("unique_players")
     )
-    best = F.max(F.struct("players_online", "date"))
-    recent = F.max(F.when(F.col("date") >= now - 2 * DAY, F.struct("players_online", "date")))
-    newest = F.max_by(F.struct("date", "players_online"), F.struct("date", "id"))
     in_week = F.col("date").between(week, now)
-    peaks = samples.groupBy("server_id").agg(
-        best.alias("best"), recent.alias("recent"), newest.alias("newest"),
-        F.avg(F.when(in_week & (F.col("tps") >= 0), F.col("tps"))).alias("avg_tps"),
-    )
-    sampled = peaks.select(
-        "server_id", F.col("recent.date").alias("last_peak_date"), F.col("recent.players_online").alias("last_peak_players"),
-        F.col("best.date").alias("best_peak_date"), F.col("best.players_online").alias("best_peak_players"), "avg_tps",
-        F.when(F.col("newest.date") >= now - gap, F.col("newest.players_online")).alias("online"),
+    found = tps.peaks(samples, now)
+    peaks = found.select(
+        "server_id", "last_peak_date", "last_peak_players", "best_peak_date", "best_peak_players",
+        F.when(F.col("newest_date") >= now - gap, F.col("newest_players")).alias("online"),
     )
+    mean = samples.where(in_week & (F.col("tps") >= 0)).groupBy("server_id").agg(F.avg("tps").alias("avg_tps"))
     window = {"7d": WEEK}
     spikes = tps.spike_numbers(samples, now, threshold, window).withColumnRenamed("low_tps_spikes_7d", "low_tps_spikes")
     stops = tps.gap_numbers(samples, now, window).select("server_id", F.col("server_downtime_7d").alias("downtime"))
@@ -169,7 +163,7 @@ def server_list(servers, user_info, sessions, samples, now: int, threshold: floa
         "players", "new_players", "unique_players", "last_peak_date", "last_peak_players", "best_peak_date", "best_peak_players",
         "avg_tps", "online", "low_tps_spikes", "downtime", "current_uptime",
     ]
-    merged = merge_rows([people, unique, sampled, spikes, stops, running], ["server_id"], columns)
+    merged = merge_rows([people, unique, peaks, mean, spikes, stops, running], ["server_id"], columns)
     game = servers.where(~F.col("is_proxy")).select(F.col("id").alias("server_id"), "uuid", "name")
     counts = ["players", "new_players", "unique_players", "low_tps_spikes", "downtime"]
     return game.join(merged, "server_id", "left").fillna(0, counts)

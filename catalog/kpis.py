@@ -100,7 +100,7 @@ LIVE = NOW - 1800000
 
 
 @query("kpi_live", f"""select 'PLAYERS_ONLINE' kpi, cast((select sum(case when m>{LIVE - 120000} then p end) from (select server_id, max(date) m,
- max_by(players_online, cast(date as hugeint)*100000000+id) p from samples group by 1) x where server_id in (1,2,3,4,5)) as double) as value""", doubles="value")
+ max_by(players_online, cast(date as hugeint)*1000+players_online) p from samples group by 1) x where server_id in (1,2,3,4,5)) as double) as value""", doubles="value")
 def _(d):
     return kpis.kpi_table(d, kpis.Scope(A, B, (1, 2, 3, 4, 5), now=LIVE), ["PLAYERS_ONLINE"])
 

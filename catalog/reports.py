@@ -158,7 +158,7 @@ def _totals_sql(at, index, table, key, people, source):
  (select max_by(date, cast(players_online as hugeint)*10000000000000+date) from samples x where {at}) best_peak_date, (select max(players_online) from samples x where {at}) best_peak_players,
  (select max_by(date, cast(players_online as hugeint)*10000000000000+date) from samples x where {at} and date>={END - 2 * DAY}) last_peak_date,
  (select max(players_online) from samples x where {at} and date>={END - 2 * DAY}) last_peak_players,
- (select max_by(players_online, cast(date as hugeint)*100000000+id) from samples x where {at}) online_players,
+ (select max_by(players_online, cast(date as hugeint)*1000+players_online) from samples x where {at}) online_players,
  (select max({END}-start) from up x where {at}) current_uptime"""
     return f"""with up as (select s.server_id, s.start from ({start_sql(GAP)}) s join (select server_id, max(date) l from samples group by 1) m on m.server_id=s.server_id where {END}-l<={GAP}),
  n as (select {key} {inner} {source}) select *, {_div('playtime', 'total_players')} player_playtime, {_div('playtime', 'sessions')} session_length_avg from n"""

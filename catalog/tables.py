@@ -94,7 +94,7 @@ GAP = 5400000
  (select max_by(date, cast(players_online as hugeint)*10000000000000+date) from samples i where i.server_id=v.id) best_peak_date,
  (select max(players_online) from samples i where i.server_id=v.id) best_peak_players,
  (select avg(tps) from samples i where i.server_id=v.id and tps>=0 and date between {END - 7 * DAY} and {END}) avg_tps,
- (select case when max(date)>={END - GAP} then max_by(players_online, cast(date as hugeint)*10000000+id) end from samples i where i.server_id=v.id) as online,
+ (select case when max(date)>={END - GAP} then max_by(players_online, cast(date as hugeint)*1000+players_online) end from samples i where i.server_id=v.id) as online,
  coalesce(low_tps_spikes_7d,0) low_tps_spikes, coalesce(server_downtime_7d,0) downtime,
  case when {END}-(select max(date) from samples i where i.server_id=v.id)<={GAP} then {END}-st.start end current_uptime
  from servers v left join w on w.server_id=v.id left join x on x.server_id=v.id left join st on st.server_id=v.id where not v.is_proxy""", doubles="avg_tps")
