@@ -66,8 +66,8 @@ def _(d):
     return imports.import_users(d.users, d.other_users.unionByName(d.other_users)).select(F.col("id").isNotNull().alias("known"), "uuid", "registered", "name")
 
 
-@query("src_4_imported_sessions", f"""select u.id user_id, s.server_id, s.session_start, s.session_end from other_sessions s join other_users o on o.id=s.user_id join users u on u.uuid=o.uuid
- where not exists (select 1 from sessions x where x.user_id=u.id and x.server_id=s.server_id and x.session_start=s.session_start)""")
+@query("src_4_imported_sessions", """select u.id user_id, s.server_id, s.session_start, max(s.session_end) session_end from other_sessions s join other_users o on o.id=s.user_id join users u on u.uuid=o.uuid
+ where not exists (select 1 from sessions x where x.user_id=u.id and x.server_id=s.server_id and x.session_start=s.session_start) group by 1,2,3""")
 def _(d):
     people = d.other_users.select(F.col("id").alias("user_id"), F.col("uuid").alias("user_uuid"))
     incoming = tables.with_natural_keys(d.other_sessions.join(people, "user_id").drop("user_id"), servers=d.servers)
