@@ -140,8 +140,8 @@ def _(d):
 
 @query("kpi_server_occupied", f"""with g as (select server_id, date-lag(date) over (partition by server_id order by date) g from samples where date>={A} and date<={B}),
  o as (select date-lag(date) over (partition by server_id order by date) g from samples where date>={A} and date<={B} and players_online>0),
- s as (select cast((select sum(g) from o where g<180000) as bigint) occupied, cast((select sum(g) from g where g<=120000) as bigint) uptime)
- select occupied, uptime, occupied/uptime as share from s""", doubles="share")
+ s as (select cast((select coalesce(sum(g),0) from o where g<180000) as bigint) occupied, cast((select coalesce(sum(g),0) from g where g<=120000) as bigint) uptime)
+ select occupied, uptime, case when uptime=0 then -1 else occupied/uptime end as share from s""", doubles="share")
 def _(d):
     return kpis.occupied_out_of_uptime(d, kpis.Scope(A, B))
 

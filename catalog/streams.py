@@ -53,10 +53,11 @@ def _(d):
 
 @query("str_7_live_pings", f"""select user_id, server_id, max(date) date, coalesce(min(value) filter (where value>0 and value<=4000),-1) min_ping,
  coalesce(max(value) filter (where value>0 and value<=4000),-1) max_ping, cast(trunc(quantile_cont(value,0.5)) as double) avg_ping from raw_pings
- group by user_id, server_id, floor(date/{HOUR}) having floor(date/{HOUR})*{HOUR}<{SETTLED}-{HOUR}""", doubles="avg_ping")
+ group by user_id, server_id, floor(date/{HOUR}) having floor(date/{HOUR})*{HOUR}<(select max(date) from raw_pings)-{2 * HOUR}""", doubles="avg_ping")
 def _(d):
     done = d.spark.read.parquet(replay.drain(rollups.live_pings(Live(d, "events").raw_pings, width="1 hour"), "pings"))
-    return done.where(F.col("date") - F.pmod("date", F.lit(HOUR)) < _settled(d) - HOUR)
+    newest = d.raw_pings.agg(F.max("date")).scalar()
+    return done.where(F.col("date") - F.pmod("date", F.lit(HOUR)) < newest - 2 * HOUR)
 
 
 @query("str_0_activity_sessions", f"""with g as (select user_id, date, case when date-lag(date) over (partition by user_id order by date)<{30 * MINUTE} then 0 else 1 end n from session_events),
