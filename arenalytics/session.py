@@ -24,6 +24,20 @@ def get_session(app: str = "arenalytics", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def sized_for(input_bytes: int, cores: int, partition_bytes: int = 128 * 2**20) -> dict[str, str]:
+    """Settings for a job over ``input_bytes``: enough shuffle partitions to keep each near ``partition_bytes``.
+
+    Adaptive execution merges small partitions but cannot add any, so the start value is generous.
+    """
+    partitions = min(max(2 * cores, -(-input_bytes // partition_bytes)), 200_000)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(2 * partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+    }
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir`` that every executor can reach.
 

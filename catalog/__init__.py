@@ -31,14 +31,15 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
 
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             out = fn(Domain(spark, sf_dir))
-            return out.withColumns({c: F.round(F.col(c), 6) for c in doubles.split()}) if doubles else out
+            # Adding 0.0 turns a negative zero into zero.
+            return out.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in doubles.split()}) if doubles else out
 
         QUERIES[name] = run
         FUNCTIONS[name] = fn
         if sql is not None:
             body = sql
             if doubles:
-                rounded = ", ".join(f"round({c}, 6) as {c}" for c in doubles.split())
+                rounded = ", ".join(f"round({c}, 6)+0.0::double as {c}" for c in doubles.split())
                 body = f"select * replace ({rounded}) from (\n{sql}\n) r"
             ORACLES[name] = with_views(body)
         return fn

@@ -7,7 +7,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from arenalytics import schema
 from arenalytics.operators import activity, metrics, segments
 from arenalytics.operators.segments import Filter
@@ -143,10 +142,22 @@ def test_filters_and_columns_reach_the_scan(spark, domain, tmp_path):
     assert len(re.findall(r"\(\d+\) Scan parquet", weekly)) == 2  # sessions once, users (derived from events) once
 
 
-NO_JOINS_OVER_ALL_PAIRS = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
+def test_day_layout_prunes_days(spark, domain, tmp_path):
+    from arenalytics.sources import layout
 
+    folder = str(tmp_path / "by_day")
+    layout.write_by_day(domain.sessions, folder, "session_start")
+    window = layout.sessions_overlapping(spark, folder, A, B)
+    want = domain.sessions.where((F.col("session_end") >= A) & (F.col("session_start") <= B))
+    assert tuples(window, "id") == tuples(want, "id")
+    assert re.search(r"PartitionFilters: \[[^\]]*day", plan(window))
+    days = layout.read_days(spark, folder, A, A + 1000)
+    assert {r[0] for r in days.select(F.floor(F.col("session_start") / 86_400_000)).distinct().collect()} <= {A // 86_400_000}
 
-@pytest.mark.parametrize("name", [n for n in sorted(entry.queries()) if n.split("_")[0] not in ("str", "snk", "src")])
-def test_no_query_pairs_everything(spark, name):
-    text = plan(entry.queries()[name](spark, SMALL))
-    assert not [p for p in NO_JOINS_OVER_ALL_PAIRS if p in text]
+
+def test_sized_for():
+    from arenalytics.session import sized_for
+
+    big = sized_for(100 * 2**40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    assert int(sized_for(2**30, 8)["spark.sql.shuffle.partitions"]) == 16
