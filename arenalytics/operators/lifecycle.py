@@ -6,7 +6,7 @@ action or afk. Events of one instant are ordered by event_id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arenalytics.functions.clock import DAY, MINUTE, bucket
@@ -123,6 +123,11 @@ def minute_tps(ticks: DataFrame, ns: str = "ns") -> DataFrame:
     )
 
 
+def newest_first(date: str, tie: str) -> Column:
+    """Order by date, then by a tie column, as one decimal: a fixed-width buffer keeps max_by on hash aggregation."""
+    return F.col(date).cast("decimal(15,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")
+
+
 def minute_rollup(pulses: DataFrame) -> DataFrame:
     """Samples per server and minute from raw pulses ``(server_id, date, id, tps, players, cpu, ram, entities, chunks, disk, mspt)``.
 
@@ -131,7 +136,7 @@ def minute_rollup(pulses: DataFrame) -> DataFrame:
     """
     keys = ["server_id", "minute"]
     rows = pulses.withColumn("minute", bucket("date", MINUTE))
-    newest = F.struct("date", "id")
+    newest = newest_first("date", "id")
     base = rows.groupBy(*keys).agg(
         F.avg(F.when(F.col("tps") >= 0, F.col("tps"))).alias("tps"),
         F.max("players").alias("players_online"),

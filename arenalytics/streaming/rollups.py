@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arenalytics.functions.windows import valid_ping
+from arenalytics.operators.lifecycle import newest_first
 
 
 def _windowed(stream: DataFrame, delay: str, width: str) -> DataFrame:
@@ -15,7 +16,7 @@ def _windowed(stream: DataFrame, delay: str, width: str) -> DataFrame:
 
 def live_minutes(pulses: DataFrame, delay: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """Minute samples per server, emitted once the watermark has passed the minute."""
-    newest = F.struct("date", "id")
+    newest = newest_first("date", "id")
     rolled = _windowed(pulses, delay, width).groupBy("server_id", "w").agg(
         F.avg(F.when(F.col("tps") >= 0, F.col("tps"))).alias("tps"),
         F.max("players").alias("players_online"),

@@ -201,7 +201,7 @@ VIEWS["dirty_user_info"] = (
     "select id, user_id, server_id, 'play.a.com' join_address, registered, opped, banned from user_info union all "
     "select id+10000000 id, user_id, server_id, 'dup' join_address, registered+5 registered, opped, banned from user_info"
 )
-VIEWS["ban_list"] = "select user_id, server_id from user_info where (user_id+server_id)%19=0"
+VIEWS["ban_list"] = "select user_id, server_id from ev where event_type='error' group by user_id, server_id having max(v100)>8000"
 VIEWS["pulses"] = (
     "select event_id id, server_id, ms date, case when event_id%50=0 then -1.0 else 20.0-cast(v100%1500 as double)/100 end tps, cast(event_id%12 as int) players, "
     "cast(v100%10000 as double)/100 cpu, 1000+v100%4000 ram, cast(v100%900 as int) entities, cast(event_id%300 as int) chunks, 50000+v100%1000 disk, v100%90 mspt from ev"

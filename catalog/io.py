@@ -118,10 +118,10 @@ def _(d):
     return sinks.upsert_counts(d.allowlist_bounce, more, ["uuid", "server_id"], "times", "last_bounce")
 
 
-@query("snk_5_upsert_registrations", """with k as (select uuid, name, registered from users where id%2=0), s as (select uuid, case when id%3=0 then null else name end name, registered-id r from users)
+@query("snk_5_upsert_registrations", f"""with k as (select uuid, name, registered from users where registered<{A}), s as (select uuid, case when id%3=0 then null else name end name, registered-id r from users)
  select s.uuid, case when k.name is not null then k.name else coalesce(s.name, s.uuid) end name, least(k.registered, s.r) registered, k.uuid is null added from s left join k on k.uuid=s.uuid""")
 def _(d):
-    known = d.users.where("id % 2 = 0")
+    known = d.users.where(F.col("registered") < A)
     seen = d.users.select("uuid", F.expr("case when id % 3 = 0 then null else name end").alias("name"), (F.col("registered") - F.col("id")).alias("registered"))
     return sinks.upsert_registrations(known, seen).select("uuid", "name", "registered", F.col("id").isNull().alias("added"))
 

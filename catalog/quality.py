@@ -45,13 +45,15 @@ def _(d):
     return dq.table_counts(dq.remove_servers({"servers": d.servers, "sessions": d.sessions, "samples": d.samples, "users": d.users}, [3]))
 
 
-PAIRS = "select u.id old_id, v.id new_id, u.uuid old_uuid, v.uuid new_uuid from users u join users v on v.id=u.id-u.id%10 where u.id%10=7"
+# Users of one name are taken for one person: all move to the smallest id.
+PAIRS = """select u.id old_id, v.id new_id, u.uuid old_uuid, v.uuid new_uuid from users u join (select name, min(id) first from users group by name) f on f.name=u.name
+ join users v on v.id=f.first where u.id<>f.first"""
 
 
 def _merged(d):
-    u = d.users.select(F.col("id").alias("old_id"), F.col("uuid").alias("old_uuid")).where("old_id % 10 = 7")
-    v = d.users.select(F.col("id").alias("new_id"), F.col("uuid").alias("new_uuid"))
-    pairs = u.join(v, F.col("new_id") == F.col("old_id") - F.col("old_id") % 10)
+    first = d.users.groupBy("name").agg(F.min_by(F.struct(F.col("id").alias("new_id"), F.col("uuid").alias("new_uuid")), "id").alias("f"))
+    named = d.users.select("name", F.col("id").alias("old_id"), F.col("uuid").alias("old_uuid")).join(first, "name")
+    pairs = named.select("old_id", "f.new_id", "old_uuid", "f.new_uuid").where(F.col("old_id") != F.col("new_id"))
     return dq.merge_identities({"users": d.users, "sessions": d.sessions, "user_info": d.user_info, "kills": d.kills, "nicknames": d.nicknames}, pairs)
 
 
