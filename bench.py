@@ -35,7 +35,7 @@ STORED = [
     "servers", "ev", "sessions", "users", "user_info", "samples", "ping", "kills", "geolocations", "nicknames", "join_address",
     "worlds", "world_times", "session_events", "pulses", "country_codes",
 ]
-RUNS = 5
+RUNS = 3
 
 
 class Stored(Domain):
