@@ -97,3 +97,14 @@ class Cache(dict):
             value = self.make(key)
         self[key] = value
         return value
+
+    def has(self, key) -> bool:
+        return key in self or key in self.older
+
+    def fill(self, keys: list, values: list) -> None:
+        """Put in values made together."""
+        for key, value in zip(keys, values, strict=True):
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
