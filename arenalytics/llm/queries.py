@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenalytics.llm import bpe, token_counts
+from arenalytics.llm import bpe, token_counts, token_files
 from arenalytics.llm.common import table
+from arenalytics.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +40,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text, and whether it exceeds a context of 4096 tokens."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the corpus as packed id files, read them back, and return each document's place and checksum."""
+    path = shared_folder(spark, "token-files")
+    token_files.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_files.read_ids(spark, path, each="crc32")
