@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenalytics.llm import bpe, token_counts, token_files
+from arenalytics.llm import bpe, simhash_dedup, token_counts, token_files
 from arenalytics.llm.common import table
 from arenalytics.session import shared_folder
 
@@ -48,3 +48,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     token_files.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return token_files.read_ids(spark, path, each="crc32")
+
+
+@query("op9_simhash_dedup")
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; links are two differing bits or fewer."""
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    mark = F.lower(F.lpad(F.hex(F.element_at("marks", 1)), 16, "0"))
+    return found.select("doc_id", mark.alias("fingerprint"), "component_id")
