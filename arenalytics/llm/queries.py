@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenalytics.llm import bpe, simhash_dedup, token_counts, token_files
+from arenalytics.llm import bpe, decontamination, simhash_dedup, token_counts, token_files
 from arenalytics.llm.common import table
 from arenalytics.session import shared_folder
 
@@ -56,3 +56,36 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     mark = F.lower(F.lpad(F.hex(F.element_at("marks", 1)), 16, "0"))
     return found.select("doc_id", mark.alias("fingerprint"), "component_id")
+
+
+@query(
+    "op6_decontamination",
+    r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark
+), b1 as (
+  select item_id, w, least(len(w), 10) n, unnest(range(1, len(w) - least(len(w), 10) + 2)) i from b where len(w) > 0
+), bw as (select distinct item_id, n, w[i:i + n - 1] win from b1),
+d1 as (select doc_id, n, unnest(range(1, len(w) - n + 2)) i, w from d, (select distinct n from bw) x where len(w) >= n),
+hits as (select distinct doc_id, item_id, i, n from (select doc_id, n, i, w[i:i + n - 1] win from d1) y join bw using (n, win)),
+pos as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hits) z group by doc_id),
+its as (
+  select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids
+  from (select distinct doc_id, item_id::varchar item from hits) v group by doc_id
+)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join pos on pos.doc_id = d.doc_id left join its on its.doc_id = d.doc_id
+""",
+)
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a benchmark window, and the items they come from."""
+    found, _ = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
