@@ -38,13 +38,16 @@ def _places(count: Column) -> Column:
 
 
 def hashed(frame: DataFrame) -> DataFrame:
-    """Adds to ``words``: hashes of the words, of their 5-word runs, and the least of each window."""
+    """Adds to ``words``: hashes of the words, of their 5-word runs, and the least of each window.
+
+    Each column refers to the one before it more than once, or Spark would compute that anew inside the lambda.
+    """
     word = F.transform("words", lambda w: F.xxhash64(w))
     gram = F.transform(
         _places(F.size("hashes") - (GRAM - 1)), lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(GRAM)])
     )
     least = F.transform(
-        _places(F.size("hashes") - (WINDOW - 1)), lambda i: F.array_min(F.slice("grams", i + 1, F.lit(WINDOW - GRAM + 1)))
+        _places(F.size("grams") - (WINDOW - GRAM)), lambda i: F.array_min(F.slice("grams", i + 1, F.lit(WINDOW - GRAM + 1)))
     )
     return frame.withColumn("hashes", word).withColumn("grams", gram).withColumn("least", least)
 
@@ -111,7 +114,8 @@ def contamination(
     kinds = {r.kind for r in found}
 
     own = docs.select(F.col(doc_id).alias("key"), F.xxhash64(text).alias("tie"), words(F.col(text)).alias("words"))
-    rows = document_anchors(hashed(own), kinds).select("key", "tie", "words", F.explode("anchors").alias("a"))
+    # The outer form keeps Spark from repeating the whole calculation in a filter of empty lists; no list is empty.
+    rows = document_anchors(hashed(own), kinds).select("key", "tie", "words", F.explode_outer("anchors").alias("a"))
     rows = rows.select("key", "tie", "words", "a.*")
     met = (F.col("kind") == F.col("item_kind")) & (F.col("anchor") == F.col("item_anchor"))
     wanted = (F.col("kind") == DOCUMENT) | F.col("n").isNotNull()

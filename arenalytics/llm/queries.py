@@ -69,11 +69,12 @@ with d as (
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark
 ), b1 as (
   select item_id, w, least(len(w), 10) n, unnest(range(1, len(w) - least(len(w), 10) + 2)) i from b where len(w) > 0
-), bw as (select distinct item_id, n, w[i:i + n - 1] win from b1),
-d1 as (select doc_id, n, unnest(range(1, len(w) - n + 2)) i, w from d, (select distinct n from bw) x where len(w) >= n),
-hits as (select distinct doc_id, item_id, i, n from (select doc_id, n, i, w[i:i + n - 1] win from d1) y join bw using (n, win)),
-pos as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hits) z group by doc_id),
-its as (
+), bw as materialized (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') win from b1),
+d1 as materialized (select doc_id, n, unnest(range(1, len(w) - n + 2)) i, w from d, (select distinct n from bw) x where len(w) >= n),
+y as materialized (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') win from d1),
+hits as materialized (select distinct doc_id, item_id, i, n from y join bw using (n, win)),
+pos as materialized (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hits) z group by doc_id),
+its as materialized (
   select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids
   from (select distinct doc_id, item_id::varchar item from hits) v group by doc_id
 )

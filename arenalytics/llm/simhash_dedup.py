@@ -98,7 +98,7 @@ def table_keys(marks: Column, blocks: int, radius: int) -> Column:
 
 def collisions(classes: DataFrame, blocks: int, radius: int) -> DataFrame:
     """(key, id, centre) for the members of all table keys with two classes or more; the centre is the smallest."""
-    rows = classes.select("id", F.explode(table_keys(F.col("marks"), blocks, radius)).alias("key"))
+    rows = classes.select("id", F.explode_outer(table_keys(F.col("marks"), blocks, radius)).alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last"))
     shared = shared.where("centre != last").select(F.col("key").alias("shared"), "centre")
     return rows.join(shared, F.col("key") == F.col("shared")).select("key", "id", "centre")
@@ -116,7 +116,7 @@ def exact_links(classes: DataFrame, radius: int = 2) -> DataFrame:
     chosen = collisions(classes, 1, radius).select("id").distinct()
     near = classes.join(chosen, "id").select("id", F.element_at("marks", 1).alias("mark"))
     flips = F.array(F.lit(0), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)) for i in range(64)])
-    places = near.select("id", F.explode(F.transform(flips, lambda f: F.col("mark").bitwiseXOR(f))).alias("place"))
+    places = near.select("id", F.explode_outer(F.transform(flips, lambda f: F.col("mark").bitwiseXOR(f))).alias("place"))
     met = places.groupBy("place").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
     return met.select(F.array_min("ids").alias("a"), F.explode("ids").alias("b")).where("a != b").distinct()
 
