@@ -26,7 +26,7 @@ NGRAMS = (3, 4, 5)
 BITS = 18
 BUCKETS = 1 << BITS
 DIMENSIONS = 8
-EPOCHS = 4
+STEPS = 300
 BATCH = 256
 RATE = 0.05
 STEADY = 1e-5
@@ -128,9 +128,9 @@ def train(texts: list[str], target: np.ndarray, seed: int = 7) -> np.ndarray:
     first, second = [np.zeros_like(v) for v in state], [np.zeros_like(v) for v in state]
     truth = np.stack([1 - target, target], axis=1)
     step = 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(parts))
-        for at in range(0, len(order), BATCH):
+        for at in range(0, min(len(order), BATCH * (STEPS - step)), BATCH):
             step += 1
             chosen = order[at : at + BATCH]
             counts = edges[chosen + 1] - edges[chosen]
