@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenalytics.llm import bpe, decontamination, quality, simhash_dedup, token_counts, token_files, toxicity
+from arenalytics.llm import bpe, decontamination, line_dedup, quality, simhash_dedup, token_counts, token_files, toxicity
 from arenalytics.llm.common import table
 from arenalytics.session import shared_folder
 
@@ -105,3 +105,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated quality of every document, by a model that never sees held-out documents."""
     found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query(
+    "op7_line_dedup",
+    """
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+l as (select doc_id, unnest(ls) line, unnest(range(len(ls))) place from d),
+s as (
+  select doc_id, place, line, strlen(line) - strlen(replace(line, ' ', '')) + 1 words,
+    row_number() over (partition by doc_id order by place) i from l where trim(line) <> ''
+), n as (
+  select *, lead(line) over w l1, lead(line, 2) over w l2, lead(words) over w w1 from s window w as (partition by doc_id order by place)
+), c as (
+  select doc_id, i, case when words >= 50 then 1 when words + w1 >= 50 then 2 else 3 end k, line, l1, l2 from n
+), f as materialized (
+  select doc_id, i, k, row_number() over (
+    partition by k, line, case when k > 1 then l1 end, case when k > 2 then l2 end order by doc_id, i) nth
+  from c where k = 1 or (k = 2 and l1 is not null) or l2 is not null
+), r as materialized (
+  select distinct s.doc_id, s.place
+  from (select doc_id, unnest(range(i, i + k)) i from f where nth > 1) x join s on s.doc_id = x.doc_id and s.i = x.i
+), k as (
+  select l.doc_id, count(*) n_lines, count(r.place) n_deleted,
+    coalesce(string_agg(line, chr(10) order by l.place) filter (where r.place is null), '') txt
+  from l left join r on r.doc_id = l.doc_id and r.place = l.place group by l.doc_id
+)
+select k.doc_id, case when n_deleted > 0 then txt else text end as text, n_lines, n_deleted
+from k join documents on documents.doc_id = k.doc_id
+""",
+)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of lines that stand earlier."""
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "row.text", "n_lines", "n_deleted")
