@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenalytics.llm import bpe, decontamination, line_dedup, quality, simhash_dedup, token_counts, token_files, toxicity
+from arenalytics.llm import bpe, decontamination, licenses, line_dedup, quality, simhash_dedup, token_counts, token_files, toxicity
 from arenalytics.llm.common import table
 from arenalytics.session import shared_folder
 
+ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -139,3 +141,40 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of lines that stand earlier."""
     found = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "row.text", "n_lines", "n_deleted")
+
+
+def _licence_sql() -> str:
+    """The scan in SQL, with the known licences as values."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in licenses.known_rows())
+    line = f"trim(regexp_replace(translate(line, {ASCII}), '{licenses.PARTS}', ' ', 'g'))"
+    for old, new in licenses.EQUIVALENTS.items():
+        line = f"replace({line}, {quoted(old)}, {quoted(new)})"
+    return f"""
+with t as (
+  select 0 kind, doc_id id, coalesce(text, '') text from documents
+  union all select 1, row_number() over (), text from (values {known}) v (licence, text)
+), k as (select row_number() over () id, licence from (values {known}) v (licence, text)),
+l as (select kind, id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) place from t),
+c as (select kind, id, place, {line} line from l),
+w as (
+  select kind, id, count(*) n, min(line) one,
+    coalesce(string_agg(line, ' ' order by place) filter (where line <> '' and not regexp_matches(line, '{licenses.COPYRIGHT}')), '') whole
+  from c group by kind, id
+), known as (
+  select text, min(licence) licence from (
+    select id, whole as text from w where kind = 1 union all select id, one from w where kind = 1 and n = 1
+  ) x join k on k.id = x.id where text <> '' group by text
+), notes as (
+  select id, string_agg(distinct licence, ',' order by licence) notices from c join known on known.text = line where kind = 0 group by id
+)
+select w.id as doc_id, sha256(whole) digest, licence, coalesce(notices, '') notices
+from w left join known on known.text = whole left join notes on notes.id = w.id where kind = 0
+"""
+
+
+@query("op4_license_scan", _licence_sql())
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences among whole texts and lines of every document."""
+    found = licenses.license_scan(table(spark, sf_dir, "documents"), licenses.known_licences(spark))
+    return found.select(F.col("key").alias("doc_id"), "digest", "licence", F.array_join("notices", ",").alias("notices"))
