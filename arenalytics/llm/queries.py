@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenalytics.llm import bpe, decontamination, licenses, line_dedup, quality, simhash_dedup, token_counts, token_files, toxicity
+from arenalytics.llm import bpe, decontamination, fingerprints, licenses, line_dedup, quality, simhash_dedup, token_counts, token_files, toxicity
 from arenalytics.llm.common import table
 from arenalytics.session import shared_folder
 
@@ -178,3 +178,15 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licences among whole texts and lines of every document."""
     found = licenses.license_scan(table(spark, sf_dir, "documents"), licenses.known_licences(spark))
     return found.select(F.col("key").alias("doc_id"), "digest", "licence", F.array_join("notices", ",").alias("notices"))
+
+
+@query("op8_document_fingerprints")
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    found = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return found.select(
+        F.col("key").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(own).alias("fingerprint"), fingerprints.as_text(edited).alias("edited_fingerprint"),
+        fingerprints.likeness(own, edited).alias("near_edited"), fingerprints.likeness(own, after).alias("near_next"),
+    )
