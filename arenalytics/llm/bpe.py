@@ -204,7 +204,7 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _merges(path: str) -> Cache:
     """Packed ids by pre-token, kept for all tasks of a worker."""
     ranks = load_ranks(path)
-    return Cache(lambda piece: np.array(merge(piece, ranks), "<u4").tobytes())
+    return Cache(lambda pieces: [np.array(merge(p, ranks), "<u4").tobytes() for p in pieces])
 
 
 @lru_cache(2)
@@ -221,8 +221,7 @@ def _vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and ids per text."""
     data, first, last, per_text = pre_tokens(texts)
-    cache = _merges(path)
-    packed = [cache[data[a:b]] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    packed = _merges(path).all([data[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
     sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
     totals = np.concatenate(([0], np.cumsum(sizes)))
     edges = np.concatenate(([0], np.cumsum(per_text)))

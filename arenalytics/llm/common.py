@@ -27,7 +27,7 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
 
 
 def map_blocks(
-    frame: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], text: str = "text"
+    frame: DataFrame, schema, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], text: str = "text"
 ) -> DataFrame:
     """Apply ``start()(block)`` to blocks of about ``BLOCK_BYTES`` of the text column, in Python workers.
 
@@ -78,33 +78,27 @@ def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 class Cache(dict):
-    """A dictionary that makes missing values by a function.
+    """A dictionary that makes missing values by a function of many keys.
 
     When it is full, its entries become the older generation, from which those still in use come back; so it holds
     ``2 * limit`` entries at most.
     """
 
-    def __init__(self, make: Callable, limit: int = 300_000):
+    def __init__(self, make: Callable[[list], list], limit: int = 300_000):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-    def has(self, key) -> bool:
-        return key in self or key in self.older
-
-    def fill(self, keys: list, values: list) -> None:
-        """Put in values made together."""
-        for key, value in zip(keys, values, strict=True):
-            if len(self) >= self.limit:
+    def all(self, keys: list) -> list:
+        """Values of all keys; the missing ones are made together."""
+        values = list(map(self.get, keys))
+        lost = {k for k, v in zip(keys, values, strict=True) if v is None} if None in values else ()
+        if lost:
+            found = {k: v for k in lost if (v := self.older.get(k)) is not None}
+            new = [k for k in lost if k not in found]
+            found.update(zip(new, self.make(new), strict=True))
+            if len(self) + len(found) > self.limit:
                 self.older = dict(self)
                 self.clear()
-            self[key] = value
+            self.update(found)
+            values = [found[k] if v is None else v for k, v in zip(keys, values, strict=True)]
+        return values

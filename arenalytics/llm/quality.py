@@ -216,3 +216,17 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
     features = stored(measured(docs, doc_id, text), "statistics")
     out = score(features, fit(features, labels, label))
     return out.select(F.col("key").alias(doc_id), (fold(F.col("key")) == 0).alias("held_out"), "score")
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose text scores at least ``least``. Texts are not shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        def work(block):
+            values = np.array([statistics(t) for t in strings(block, text)])
+            return block.filter(pa.array(sent.value.score(values) >= least))
+
+        return work
+
+    return map_blocks(docs, docs.schema, start, text=text)

@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
@@ -52,7 +53,7 @@ def lengths(path: str, parts: list[str]) -> list[int]:
 
 @lru_cache(2)
 def _cache(path: str) -> Cache:
-    return Cache(lambda part: lengths(path, [part])[0])
+    return Cache(lambda parts: lengths(path, parts))
 
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text") -> dict[str, int]:
@@ -94,9 +95,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, doc_id: str = "d
 
         def work(block):
             texts = [pre_tokens(t) for t in strings(block, "text")]
-            missing = [p for p in {p for parts in texts for p in parts} if known(p) is None and not cache.has(p)]
-            cache.fill(missing, lengths(path, missing))
-            n = [sum([known(p) or cache[p] for p in parts]) for parts in texts]
+            parts = [p for own in texts for p in own]
+            sizes = list(map(known, parts))
+            places = [i for i, n in enumerate(sizes) if n is None]
+            for i, n in zip(places, cache.all([parts[i] for i in places]), strict=True):
+                sizes[i] = n
+            totals = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
+            n = np.diff(totals[np.concatenate(([0], np.cumsum([len(own) for own in texts])))])
             key = block.column("key")
             size = pc.cast(pc.fill_null(pc.binary_length(block.column("text")), 0), pa.int64())
             kinds = [("key", key.type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())]
