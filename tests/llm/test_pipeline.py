@@ -1,0 +1,126 @@
+"""Pipeline stages on planted cases, odd rows and empty tables; registered queries against DuckDB."""
+
+import hashlib
+import random
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from arenalytics.llm import queries
+from arenalytics.llm.common import stored
+from tests.llm.conftest import odd_rows
+
+SF_DIR = "/root/testdata/sf0.001"
+STEMS = ["tion", "hen", "ere", "and", "ing", "ould", "the", "shly", "or", "ent"]
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(STEMS) for _ in range(rng.randint(1, 3))) for _ in range(n)) + "."
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """A folder of tables, and what should become of each document."""
+    rng = random.Random(11)
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    leak = " ".join(f"bench{i}" for i in range(30))
+    passage = " ".join(f"shared{i}" for i in range(60))
+    rows, kind = [], {}
+    for i in range(240):
+        text = prose(rng, rng.randint(120, 300))
+        kind[i] = "junk" if i % 6 == 5 else "leak" if i % 20 == 2 else "passage" if i % 20 == 4 else "clean"
+        if kind[i] == "junk":
+            text = " ".join(w.upper() + "!!" for w in text.split())
+        elif kind[i] == "leak":
+            text += " " + leak[50:200]
+        elif kind[i] == "passage":
+            text += "\n" + passage
+        rows.append((i, text))
+    clean = [i for i in kind if kind[i] == "clean"]
+    for k in range(30):
+        kind[300 + k] = "copy"
+        rows.append((300 + k, rows[clean[0]][1]))
+        kind[400 + k] = "near"
+        words = rows[clean[1]][1].split()
+        words[rng.randrange(len(words))] = "changed"
+        rows.append((400 + k, " ".join(words)))
+    labels = [(i, int(kind[i] != "junk"), 0) for i in range(240) if i % 10]
+    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, leak), (1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, kind, {r[0]: r[1] for r in rows}
+
+
+def test_stages(spark, planted):
+    folder, kind, texts = planted
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, docs, folder), name)
+        if name != "byte_bpe":
+            assert out.schema == docs.schema
+        docs, seen[name] = out, out.collect()
+    ids = {name: {r.doc_id for r in rows} for name, rows in seen.items()}
+    of = lambda k: {i for i, x in kind.items() if x == k}
+
+    assert ids["quality"] == set(kind) - of("junk")
+    first_of = {}
+    for i in sorted(texts):
+        first_of.setdefault(texts[i], i)
+    again = {i for i in texts if first_of[texts[i]] != i}
+    assert of("copy") <= again and ids["line_dedup"] == ids["quality"] - again
+    lines = {r.doc_id: r.text for r in seen["line_dedup"]}
+    first = min(of("passage"))
+    assert all(("shared5" in lines[i]) == (i == first) for i in of("passage"))
+    assert all(r.n_chars == len(r.text) for r in seen["line_dedup"])
+    assert ids["near_dedup"] == ids["line_dedup"] - of("near")
+    assert ids["decontamination"] == ids["near_dedup"] - of("leak")
+    assert of("clean") <= ids["byte_bpe"] == ids["decontamination"]
+    final = {r.doc_id: r.text for r in seen["decontamination"]}
+    assert all(r.decoded_sha256 == hashlib.sha256(final[r.doc_id].encode()).hexdigest() for r in seen["byte_bpe"])
+    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, seen["byte_bpe"]))
+
+
+def test_near_dedup_alone_keeps_one_of_each_group(spark, planted):
+    folder, kind, _ = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    left = {r.doc_id for r in corpus_pipeline.near_dedup_filter(spark, docs, folder).collect()}
+    assert {i for i in kind if kind[i] in ("copy", "near")}.isdisjoint(left)
+    assert {i for i in kind if kind[i] == "clean"} <= left
+
+
+def test_stages_on_odd_rows(spark, planted, odd):
+    folder = planted[0]
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, odd, folder), name)
+        assert name == "byte_bpe" or docs.columns == odd.columns
+    assert docs.count() == len(odd_rows())
+    kept = corpus_pipeline.near_dedup_filter(spark, odd, folder)
+    assert kept.where("doc_id is null").count() == 2 and kept.where("doc_id = 3").count() == 1
+
+
+def test_stages_on_empty_table(spark, planted, none):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, planted[0]).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, name):
+    with duckdb.connect() as db:
+        for table in ("documents", "benchmark", "labels"):
+            db.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
+        cursor = db.execute(queries.ORACLES[name])
+        columns = [c[0] for c in cursor.description]
+        want = sorted(cursor.fetchall(), key=str)
+    frame = queries.QUERIES[name](spark, SF_DIR)
+    assert set(frame.columns) == set(columns)
+    assert sorted((tuple(r) for r in frame.select(*columns).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_one_row_per_document(spark, name):
+    frame = queries.QUERIES[name](spark, SF_DIR)
+    ids = [r.doc_id for r in frame.select("doc_id").collect()]
+    assert sorted(ids) == sorted(r.doc_id for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").collect())
