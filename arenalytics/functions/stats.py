@@ -17,8 +17,8 @@ def ratio(amount: Column, total: Column, otherwise: float | None = 0.0) -> Colum
 
 def int_ratio(amount: Column, total: Column, otherwise: int = 0) -> Column:
     """Integer division truncating towards zero, ``otherwise`` when the total is zero."""
-    q = F.floor(F.abs(amount) / F.abs(total)) * F.signum(amount.cast("double")) * F.signum(total.cast("double"))
-    return F.when(total != 0, q.cast("bigint")).otherwise(F.lit(otherwise).cast("bigint"))
+    quotient = F.call_function("div", amount.cast("bigint"), F.nullif(total.cast("bigint"), F.lit(0).cast("bigint")))
+    return F.when(total != 0, quotient).otherwise(F.lit(otherwise).cast("bigint"))
 
 
 def truncated(x: Column) -> Column:

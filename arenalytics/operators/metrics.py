@@ -121,8 +121,10 @@ class Registry:
         return kept
 
 
-def _described(aggregated: DataFrame, providers: DataFrame, plugins: DataFrame) -> DataFrame:
-    meta = providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider"), "plugin_id", "format")
+def _described(aggregated: DataFrame, providers: DataFrame, plugins: DataFrame, hidden: bool = False) -> DataFrame:
+    """Rows with the provider and plugin they belong to, without hidden providers unless ``hidden``."""
+    shown = providers if hidden else providers.where(~F.coalesce(F.col("hidden"), F.lit(False)))
+    meta = shown.select(F.col("id").alias("provider_id"), F.col("name").alias("provider"), "plugin_id", "format")
     owner = plugins.select(F.col("id").alias("plugin_id"), F.col("name").alias("plugin"), "server_id")
     return aggregated.join(meta, "provider_id").join(owner, "plugin_id").drop("plugin_id")
 
@@ -160,9 +162,9 @@ def group_sizes(groups, providers, plugins) -> DataFrame:
     return _described(sizes, providers, plugins).drop("format")
 
 
-def with_metadata(values, providers, plugins) -> DataFrame:
-    """Values of users or servers with the provider and plugin they belong to."""
-    return _described(values, providers, plugins)
+def with_metadata(values, providers, plugins, hidden: bool = False) -> DataFrame:
+    """Values of users or servers with the provider and plugin they belong to; hidden providers on request."""
+    return _described(values, providers, plugins, hidden)
 
 
 def table_rows(rows, headers, key: str) -> DataFrame:

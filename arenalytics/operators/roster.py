@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arenalytics.functions.windows import scope
 from arenalytics.operators.joins import latest_rows
 
 
@@ -33,8 +34,7 @@ def matching_names(users, nicknames, text: str) -> DataFrame:
 
 
 def allowlist_bounces(bounces, servers=None) -> DataFrame:
-    chosen = bounces if servers is None else bounces.where(F.col("server_id").isin(list(servers)))
-    return chosen.orderBy("name", "uuid", "server_id")
+    return scope(bounces, servers).orderBy("name", "uuid", "server_id")
 
 
 def installed_plugins(plugin_versions) -> DataFrame:
@@ -46,8 +46,7 @@ def installed_plugins(plugin_versions) -> DataFrame:
 
 
 def plugin_history(plugin_versions, servers=None) -> DataFrame:
-    chosen = plugin_versions if servers is None else plugin_versions.where(F.col("server_id").isin(list(servers)))
-    return chosen.orderBy(F.col("modified").desc(), "plugin_name")
+    return scope(plugin_versions, servers).orderBy(F.col("modified").desc(), "plugin_name")
 
 
 def plugin_changes(installed: DataFrame, snapshot: DataFrame, now: int) -> DataFrame:

@@ -15,10 +15,6 @@ from arenalytics.functions.stats import grouped_quantile, int_ratio, ratio
 from arenalytics.functions.windows import active, clipped, contained, length, overlap, restrict, scope, start_in
 
 
-# Spark limits rank windows on the map side up to this many rows per group (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
-
-
 def _group(df: DataFrame, by: Sequence[str]):
     return df.groupBy(*by)
 
@@ -129,14 +125,11 @@ def summary_of_players(sessions, users, a, b, servers=None) -> DataFrame:
 def latest_sessions(sessions, n: int, servers=None) -> DataFrame:
     """Per server every session that starts at or after the n-th latest start (ties kept).
 
-    A small ``n`` is cut on the map side. For a large one the hours that can hold the newest ``n`` are found
-    on hourly counts first, and sessions are ranked within their hour.
+    The hours that can hold the newest ``n`` are found on hourly counts first, and sessions are ranked within their
+    hour, so no task sees all sessions of a server.
     """
     chosen = scope(sessions, servers)
     newest = F.col("session_start").desc()
-    if n <= GROUP_LIMIT:
-        ranked = chosen.withColumn("_rank", F.rank().over(Window.partitionBy("server_id").orderBy(newest)))
-        return ranked.where(F.col("_rank") <= n).drop("_rank")
     hours = chosen.withColumn("_hour", hour("session_start"))
     later = Window.partitionBy("server_id").orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
     wanted = (
@@ -150,10 +143,11 @@ def latest_sessions(sessions, n: int, servers=None) -> DataFrame:
     return kept.select(*sessions.columns)
 
 
-def sessions_between(sessions, a, b, servers=None, users=None, limit: int = 10_000) -> DataFrame:
-    """Listing of sessions starting in ``[a, b]``, newest first."""
+def sessions_between(sessions, a, b, servers=None, users=None, limit: int | None = None) -> DataFrame:
+    """Listing of sessions starting in ``[a, b]``, newest first; all of them unless a ``limit`` is asked for."""
     chosen = restrict(scope(sessions, servers), users).where(F.col("session_start").between(a, b))
-    return chosen.orderBy(F.col("session_start").desc(), F.col("id").desc()).limit(limit)
+    ordered = chosen.orderBy(F.col("session_start").desc(), F.col("id").desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def sessions_of_user(sessions, user_id: int) -> DataFrame:

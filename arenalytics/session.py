@@ -31,7 +31,7 @@ def sized_for(input_bytes: int, cores: int, partition_bytes: int = 128 * 2**20)
 
     Adaptive execution merges small partitions but cannot add any, so the start value is generous.
     """
-    partitions = min(max(2 * cores, -(-input_bytes // partition_bytes)), 200_000)
+    partitions = max(2 * cores, -(-input_bytes // partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(2 * partition_bytes),

@@ -9,8 +9,10 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -43,9 +45,32 @@ def split_sessions(sessions: DataFrame) -> dict[str, DataFrame]:
 
 
 def store_sessions(batch: DataFrame, root: str, batch_id: int) -> None:
-    """foreachBatch writer of finished sessions."""
-    for name, table in split_sessions(batch).items():
-        write_batch(table, os.path.join(root, name), batch_id)
+    """foreachBatch writer of finished sessions; the batch is kept for its three writes, so its state is computed once."""
+    held = batch.persist()
+    try:
+        for name, table in split_sessions(held).items():
+            write_batch(table, os.path.join(root, name), batch_id)
+    finally:
+        held.unpersist()
+
+
+def read_batches(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+    """Rows of all micro-batches below ``path`` with their ``batch``, only those before batch ``before`` if given."""
+    wide = StructType([*schema.fields, StructField("batch", LongType())])
+    try:
+        rows = spark.read.schema(wide).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], wide)
+    return rows if before is None else rows.where(F.col("batch") < before)
+
+
+def newest_batch(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key of ``read_batches``: that of the newest batch."""
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_r"))
+    return newest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in values])
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from arenalytics.operators.metrics import Registry
 from arenalytics.operators.roster import plugin_changes
-from arenalytics.sources.sinks import write_batch
+from arenalytics.sources.sinks import newest_batch, read_batches, write_batch
+
+PLUGIN = ["server_id", "plugin_name"]
 
 
 def refresh_metrics(registry: Registry, tables: dict[str, DataFrame], event: str, scope: str = "user", key: str = "user_id"):
-    """Writer that re-evaluates the metrics registered for ``event`` for the keys that had it in the batch."""
+    """Writer that re-evaluates the metrics registered for ``event`` for the keys that had it in the batch.
+
+    A key in several batches has a row in each; :func:`refreshed_metrics` reads the newest one.
+    """
 
     def write(batch: DataFrame, batch_id: int, path: str) -> None:
         keys = batch.where(F.col("kind") == event).select(F.col(key).alias("key")).distinct()
@@ -24,14 +30,29 @@ def refresh_metrics(registry: Registry, tables: dict[str, DataFrame], event: str
 
 
 def record_plugin_changes(installed: DataFrame, now: int):
-    """Writer that stores the change rows between the installed plugins and each snapshot."""
+    """Writer that stores the change rows between the plugins installed so far and each snapshot.
+
+    Changes of earlier batches count as installed. A batch must hold whole snapshots of its servers: servers that are not in
+    it are left alone, plugins that its servers no longer list are removed.
+    """
+    schema = StructType.fromDDL("server_id int, plugin_name string, version string, modified bigint, change string")
 
     def write(batch: DataFrame, batch_id: int, path: str) -> None:
-        write_batch(plugin_changes(installed, batch, now), path, batch_id)
+        earlier = newest_batch(read_batches(batch.sparkSession, path, schema, batch_id), PLUGIN)
+        base = installed.select(*PLUGIN, "version").join(earlier.select(*PLUGIN), PLUGIN, "left_anti")
+        current = base.unionByName(earlier.where(F.col("version").isNotNull()).select(*PLUGIN, "version"))
+        snapshot = batch.distinct()
+        seen = current.join(snapshot.select("server_id").distinct(), "server_id", "left_semi")
+        write_batch(plugin_changes(seen, snapshot, now), path, batch_id)
 
     return write
 
 
+def refreshed_metrics(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Metrics written by :func:`refresh_metrics`, the newest row of each plugin, provider and key."""
+    return newest_batch(read_batches(spark, path, schema), ["plugin", "provider", "key"])
+
+
 def preserve_open_sessions(open_rows: DataFrame, root: str, stop_id: int) -> str:
     """Store the sessions ended by a stop; returns the folder they are read from at the next start."""
     folder = os.path.join(root, "preserved")

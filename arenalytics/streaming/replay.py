@@ -32,15 +32,15 @@ def start_batches(
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
-def drain(stream: DataFrame, purpose: str, write: Callable[[DataFrame, int, str], None] | None = None, timeout: int = 600) -> str:
-    """Process what the source holds now and return the folder with the result."""
+def drain(stream: DataFrame, purpose: str, write: Callable[[DataFrame, int, str], None] | None = None, timeout: int | None = None) -> str:
+    """Process what the source holds now and return the folder with the result; ``timeout`` in seconds, none by default."""
     folder = shared_folder(stream.sparkSession, purpose)
     out, checkpoint = os.path.join(folder, "out"), os.path.join(folder, "checkpoint")
     if write is None:
         query = start_append(stream, out, checkpoint, available_now=True)
     else:
         query = start_batches(stream, lambda batch, batch_id: write(batch, batch_id, out), checkpoint, available_now=True)
-    if not query.awaitTermination(timeout):
+    if query.awaitTermination(timeout) is False:
         query.stop()
         raise TimeoutError(f"stream {purpose} did not finish in {timeout} s")
     return out

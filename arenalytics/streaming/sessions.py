@@ -32,7 +32,8 @@ def apply_event(session: dict | None, event: list, threshold: int = AFK_THRESHOL
             gap = date - session["moved"]
             session["afk"] += gap if session["commanded"] or gap >= threshold else 0
         if kind in ("join", "switch", "leave", "world"):
-            key = f"{session['world']}|{session['mode']}"
+            mode_key = "" if session["mode"] is None else session["mode"]
+            key = f"{session['world']}|{mode_key}"
             session["times"][key] = session["times"].get(key, 0) + abs(date - session["since"])
         if kind in ("join", "switch", "leave"):
             done = [session["server"], session["start"], date, session["afk"], kind != "leave", session["times"]]
@@ -55,7 +56,9 @@ def _advance(threshold: int, session_timeout: int | None):
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         session, pending = (json.loads(s) for s in state.get) if state.exists else (None, [])
         for batch in batches:
-            pending += batch[FIELDS].astype(object).values.tolist()
+            # Pandas turns integers with nulls into floats.
+            fields = batch[FIELDS].astype({"server_id": "Int64", "mode": "Int64"}).astype(object)
+            pending += fields.where(fields.notna(), None).values.tolist()
         watermark = state.getCurrentWatermarkMs()
         pending.sort(key=lambda e: (e[0], e[1]))
         rows = []
@@ -106,4 +109,4 @@ def as_world_times(sessions: DataFrame) -> DataFrame:
     """The nested world times as rows (user, session start, world, mode, time)."""
     rows = sessions.select("user_id", "session_start", F.explode("world_times").alias("k", "time"))
     parts = F.split("k", r"\|")
-    return rows.select("user_id", "session_start", parts[0].alias("world"), parts[1].cast("int").alias("mode"), "time")
+    return rows.select("user_id", "session_start", parts[0].alias("world"), parts[1].try_cast("int").alias("mode"), "time")

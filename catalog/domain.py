@@ -85,7 +85,7 @@ VIEWS = {
     "metric_providers": "select cast(n_nationkey+1 as int) id, concat('provider-',cast(n_nationkey%5 as string)) name, "
     "case n_nationkey%5 when 0 then 'boolean' when 1 then 'double' when 2 then 'number' when 3 then 'percentage' else 'group' end type, "
     "cast(1+floor(n_nationkey/5) as int) plugin_id, case when n_nationkey%10=2 then 'DATE_YEAR' else 'NONE' end format, "
-    "n_nationkey%3=0 show_in_table, case when n_nationkey%5=0 then 'linked' end provided_condition, "
+    "n_nationkey%3=0 show_in_table, n_nationkey%7=3 hidden, case when n_nationkey%5=0 then 'linked' end provided_condition, "
     "case when n_nationkey%5=1 then 'linked' when n_nationkey%5=2 then 'not_linked' end condition from nation",
     "metric_events": "select ev.event_id, ev.user_id, ev.server_id, ev.ms, ev.v100, mp.id provider_id, mp.type kind, mp.plugin_id "
     "from ev join metric_providers mp on mp.id=1+ev.event_id%25",

@@ -5,7 +5,7 @@ from catalog import query
 from catalog.domain import NOW, T0
 
 DAY = 86400000
-META = "join metric_providers mp on mp.id=x.provider_id join metric_plugins pl on pl.id=mp.plugin_id"
+META = "join metric_providers mp on mp.id=x.provider_id and not mp.hidden join metric_plugins pl on pl.id=mp.plugin_id"
 
 
 def _stat(cols, where):

@@ -156,7 +156,7 @@ def _(d):
 
 
 @query("ses_19_sessions_between", f"""select id, user_id, session_start, session_end from sessions where session_start between {A} and {B}
- and server_id in (1,2,3) order by session_start desc, id desc limit 10000""")
+ and server_id in (1,2,3)""")
 def _(d):
     return ses.sessions_between(d.sessions, A, B, [1, 2, 3]).select("id", "user_id", "session_start", "session_end")
 

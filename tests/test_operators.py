@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arenalytics.functions import clock, stats
-from arenalytics.operators import activity, combat, geo, join_address, joins, quality, roster, samples, series, sessions
+from arenalytics.operators import activity, combat, geo, join_address, joins, metrics, quality, roster, samples, series, sessions
 from tests.conftest import tuples
 
 SESSION = "id bigint, user_id bigint, server_id int, session_start bigint, session_end bigint, mob_kills int, deaths int, afk_time bigint, join_address_id int"
@@ -102,11 +102,9 @@ def test_summary_of_an_empty_set(rows):
 
 
 @pytest.mark.parametrize("n", [2, 3, 1001])
-def test_latest_sessions_keep_ties(rows, n, monkeypatch):
+def test_latest_sessions_keep_ties(rows, n):
     df = make_sessions(rows, [(1, 1, t, t + 1, 0) for t in (10, 20, 20, 7_300_000, 7_300_000, 7_300_001)])
     starts = sorted(r["session_start"] for r in sessions.latest_sessions(df, n).collect())
-    monkeypatch.setattr(sessions, "GROUP_LIMIT", 0)
-    assert sorted(r["session_start"] for r in sessions.latest_sessions(df, n).collect()) == starts
     assert starts == {2: [7_300_000, 7_300_000, 7_300_001], 3: [7_300_000, 7_300_000, 7_300_001]}.get(n, [10, 20, 20, 7_300_000, 7_300_000, 7_300_001])
 
 
@@ -217,3 +215,22 @@ def test_same_name_users_stay_apart(rows):
     df = make_sessions(rows, [(1, 1, 10, 20, 0), (2, 1, 10, 40, 0)])
     top = combat.top_playtime(df, users, 0, 100)
     assert tuples(top, "user_id", "score") == [(1, 10), (2, 30)]
+
+
+def test_int_ratio_is_exact_beyond_doubles(rows):
+    df = rows([(2**60 + 1, 1), (-7, 2), (7, -2), (5, 0)], "a bigint, b bigint")
+    got = [r[0] for r in df.select(stats.int_ratio(F.col("a"), F.col("b"), -1)).collect()]
+    assert got == [2**60 + 1, -3, -3, -1]
+
+
+def test_no_servers_means_all(rows):
+    df = rows([(1, "a", "u", 1)], "server_id int, name string, uuid string, modified bigint")
+    assert roster.allowlist_bounces(df, []).count() == roster.allowlist_bounces(df).count() == 1
+
+
+def test_hidden_providers_are_left_out(rows):
+    providers = rows([(1, "a", 1, "NONE", False), (2, "b", 1, "NONE", True), (3, "c", 1, "NONE", None)], "id int, name string, plugin_id int, format string, hidden boolean")
+    plugins = rows([(1, "p", 1)], "id int, name string, server_id int")
+    values = rows([(i, 1.0) for i in (1, 2, 3)], "provider_id int, double_value double")
+    assert tuples(metrics.double_stats(values, providers, plugins), "provider") == [("a",), ("c",)]
+    assert metrics.with_metadata(values, providers, plugins, hidden=True).count() == 3

@@ -159,5 +159,5 @@ def test_sized_for():
     from arenalytics.session import sized_for
 
     big = sized_for(100 * 2**40, 8000)
-    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (128 * 2**20)
     assert int(sized_for(2**30, 8)["spark.sql.shuffle.partitions"]) == 16

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arenalytics.operators import lifecycle as life
 from arenalytics.operators import metrics, roster
+from arenalytics.sources import sinks
 from arenalytics.streaming import batches, replay, rollups, sessions
 from tests.conftest import tuples
 
@@ -148,3 +149,35 @@ def test_installed_after_changes(rows):
     schema = "id bigint, server_id int, plugin_name string, version string, modified bigint"
     df = rows([(1, 1, "a", "1", 5), (2, 1, "a", None, 9), (3, 1, "b", "1", 5)], schema)
     assert tuples(roster.installed_plugins(df), "plugin_name") == [("b",)]
+
+
+def test_null_modes_stay_null(rows, spark):
+    events = [[0, 1, "join", 1, "w", None], [10, 2, "world", None, "w", 2], [30, 3, "leave", None, None, None]]
+    session, times = None, None
+    for event in events:
+        session, done = sessions.apply_event(session, event)
+        times = done[-1] if done else times
+    assert times == {"w|": 10, "w|2": 20}
+    frame = rows([(1, 0, times)], "user_id bigint, session_start bigint, world_times map<string, bigint>")
+    assert sorted((tuple(r)[2:] for r in sessions.as_world_times(frame).collect()), key=str) == [("w", 2, 20), ("w", None, 10)]
+
+
+def test_newest_batch_wins_and_batches_can_be_repeated(rows, spark, tmp_path):
+    schema = rows([], "plugin string, provider string, key bigint, double_value double").schema
+    path = str(tmp_path / "metrics")
+    for batch, value in ((0, 1.0), (1, 2.0), (1, 3.0)):
+        sinks.write_batch(rows([("p", "n", 7, value)], schema), path, batch)
+    assert [tuple(r) for r in batches.refreshed_metrics(spark, path, schema).collect()] == [("p", "n", 7, 3.0)]
+    assert batches.refreshed_metrics(spark, str(tmp_path / "nothing"), schema).count() == 0
+
+
+def test_plugin_changes_are_recorded_once(rows, spark, tmp_path):
+    path = str(tmp_path / "plugins")
+    installed = rows([(1, "a", "1"), (1, "b", "1"), (2, "a", "1")], "server_id int, plugin_name string, version string")
+    write = batches.record_plugin_changes(installed, 99)
+    snapshot = rows([(1, "a", "2"), (1, "c", "1")], installed.schema)
+    for batch in (0, 1, 1):
+        write(snapshot, batch, path)
+    write(rows([(1, "a", "2"), (1, "b", "5"), (1, "c", "1")], installed.schema), 2, path)
+    done = spark.read.parquet(path).select("batch", "plugin_name", "version", "change").collect()
+    assert sorted(map(tuple, done)) == [(0, "a", "2", "updated"), (0, "b", None, "removed"), (0, "c", "1", "new"), (2, "b", "5", "new")]
