@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arenalytics.functions.ordered import running_total
@@ -123,6 +123,22 @@ def new_ids(keys: DataFrame, order: str, first: Column) -> DataFrame:
     return numbered.select(order, (first + F.col("n") - 1).alias("new_id"))
 
 
+def numbered(rows: DataFrame, key: str, first: Column) -> DataFrame:
+    """``rows`` with consecutive ``new_id`` from ``first``: hash buckets of ``key`` one after the other, by ``key`` within.
+
+    Buckets follow the number of shuffle partitions, so only one count per bucket is ever in one task; keys of one hash
+    are told apart by their value.
+    """
+    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
+    found = dealt.withColumn("_place", place).join(offsets, "_bucket")
+    return found.withColumn("new_id", first + F.col("_offset") + F.col("_place")).drop("_bucket", "_place", "_offset")
+
+
 def _next_id(table: DataFrame, column: str = "id") -> Column:
     return table.agg(F.coalesce(F.max(column).cast("bigint"), F.lit(0)) + 1).scalar()
 

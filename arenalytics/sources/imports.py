@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalytics.operators.quality import _next_id, new_ids
+from arenalytics.operators.quality import _next_id, numbered
 
 
 def valid_users(incoming: DataFrame) -> DataFrame:
@@ -19,9 +19,7 @@ def valid_users(incoming: DataFrame) -> DataFrame:
 def import_users(users: DataFrame, incoming: DataFrame) -> DataFrame:
     """The table extended by unknown users with new ids; known users stay as they are."""
     unknown = valid_users(incoming).join(users.select("uuid"), "uuid", "left_anti")
-    keyed = unknown.withColumn("_key", F.xxhash64("uuid"))
-    ids = new_ids(keyed, "_key", _next_id(users))
-    added = keyed.join(ids, "_key").withColumnRenamed("new_id", "id")
+    added = numbered(unknown, "uuid", _next_id(users)).withColumnRenamed("new_id", "id")
     return users.unionByName(added.select(*[F.col(f.name).cast(f.dataType) for f in users.schema]))
 
 

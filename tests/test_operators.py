@@ -234,3 +234,10 @@ def test_hidden_providers_are_left_out(rows):
     values = rows([(i, 1.0) for i in (1, 2, 3)], "provider_id int, double_value double")
     assert tuples(metrics.double_stats(values, providers, plugins), "provider") == [("a",), ("c",)]
     assert metrics.with_metadata(values, providers, plugins, hidden=True).count() == 3
+
+
+def test_numbered_rows_are_consecutive_and_unique(rows):
+    df = rows([(f"u-{i % 40}", i) for i in range(60)], "uuid string, n int")
+    got = quality.numbered(df, "uuid", F.lit(100)).collect()
+    assert sorted(r["new_id"] for r in got) == list(range(100, 160))
+    assert {(r["uuid"], r["n"]) for r in got} == {(f"u-{i % 40}", i) for i in range(60)}
