@@ -25,7 +25,8 @@ def _chunked(df: DataFrame, ts: str, width: int) -> DataFrame:
 def _step(df, keys, ts, cols, width, into, ties, ahead: bool) -> DataFrame:
     """Neighbouring row of each row: by a window inside the chunk, and across chunks from the chunk's edge rows.
 
-    The edge row of a chunk is found in the same window pass over the same shuffle, so the input is read once.
+    The edge row of a chunk is found in the same window pass over the same shuffle. Spark reuses that shuffle where it can; without
+    adaptive reuse the input is read twice.
     """
     rows = _chunked(df, ts, width)
     state = F.struct(ts, *ties, *cols)

@@ -150,6 +150,7 @@ def _plugin_groups(t, f):
     return metrics.users_in_groups(t.metric_groups, _provider_ids(t, p["server"], p["plugin"], p["provider"]), f.selected())
 
 
+# The kinds of filters and their options.
 FILTERS: dict[str, Callable[[Any, Filter], DataFrame]] = {
     "allPlayers": _all_players,
     "activityIndexOn": _activity,

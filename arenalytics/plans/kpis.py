@@ -1,6 +1,6 @@
 """KPI catalogue: named values of a window, a server scope and optionally each user.
 
-KPIs that read the same table share one aggregation; a table of many KPIs runs one job per group, not per KPI.
+KPIs of one group share one aggregation; groups read their tables apart, so a table of many KPIs scans a fact several times.
 """
 
 from __future__ import annotations
@@ -182,7 +182,8 @@ def _spikes(t, s: Scope) -> DataFrame:
 def _online(t, s: Scope) -> DataFrame:
     """Sum of the newest player counts that are at most two minutes old."""
     now = s.now if s.now is not None else s.b
-    newest = samples.peaks(scope(t.samples, s.servers or _proxies(t)))
+    recent = t.samples.where(F.col("date") > now - 2 * MINUTE)
+    newest = samples.peaks(scope(recent, s.servers or _proxies(t)))
     return newest.agg(F.sum(F.when(F.col("newest_date") > now - 2 * MINUTE, F.col("newest_players"))).alias("PLAYERS_ONLINE"))
 
 
@@ -199,6 +200,7 @@ def _current_uptime(t, s: Scope) -> DataFrame:
     return samples.current_uptime(t.samples, now, servers=s.servers or _proxies(t)).agg(F.max("uptime").alias("UPTIME_CURRENT"))
 
 
+# The names of KPIs.
 GROUPS = [
     Group(("AFK_TIME", "DEATHS", "MOB_KILLS", "PLAYTIME", "SESSION_COUNT", "SESSION_LENGTH_AVERAGE"), ALL, _session_sums),
     Group(("AFK_TIME_PERCENTAGE",), NO_PLAYER, _afk_share),

@@ -1,4 +1,4 @@
-"""Composite reports. Every report reads each fact table once: all its windows are conditional aggregates.
+"""Composite reports. All windows of a part are conditional aggregates of one pass; parts of different kinds read a fact again.
 
 ``by`` is ``["server_id"]`` for one row per server or ``[]`` for the whole network.
 """
