@@ -10,6 +10,7 @@ the blocks, an index holds the position of the first token id of each shard; sha
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -37,13 +38,14 @@ def pack(values: np.ndarray) -> bytes:
     """Unsigned 64-bit values as: how many values, how many words, the words, the escaped values."""
     values = np.asarray(values, np.uint64)
     n = len(values)
-    bits = np.searchsorted(_POWERS, values, side="right")
-    place = np.arange(n)
-    selector = np.full(n, ESCAPE, np.int64)
+    bits = np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
+    selector = np.full(n, ESCAPE, np.uint8)
+    wide = np.zeros(n + int(PER_WORD[0]) + 1, np.int32)
     for s in range(ESCAPE - 1, -1, -1):
-        wide = np.where(bits > BITS[s], place, n)
-        first_wide = np.minimum.accumulate(wide[::-1])[::-1]
-        selector[first_wide >= np.minimum(place + PER_WORD[s], n)] = s
+        np.cumsum(bits > BITS[s], out=wide[1 : n + 1])
+        wide[n + 1 :] = wide[n]
+        k = int(PER_WORD[s])
+        selector[wide[k : n + k] == wide[:n]] = s
     steps = PER_WORD[selector].tolist()
     starts, i = [], 0
     while i < n:
@@ -84,24 +86,62 @@ def unpack(data: bytes) -> np.ndarray:
     return out[:n]
 
 
+# The tokenizer's own pattern for words, written out for the code points below U+0100 in lower case.
+WORD = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]"
+    r"|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\t-\r \x85\xa0]+"
+)
+WIDE = re.compile(r"[^\x00-\xff]|<\|")
+"""Texts with wider code points, or what may be a special token, are cut at blanks and line breaks only."""
+
+
+class Coder:
+    """Packed 32-bit ids of words and pieces, kept for all tasks of a worker."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words = Cache(self._words, 400_000)
+        self.pieces = Cache(self._pieces, 50_000)
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in coded]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of the pattern: encoded as one text, and cut at the tokens that end words."""
+        data = self._pieces([" ".join(words)])[0]
+        stops = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4
+        if len(stops) != len(words) or stops[-1] != len(data):
+            return self._pieces(words)
+        stops = stops.tolist()
+        return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        parts = [t.replace("\n", " ").split(" ") if WIDE.search(t) else None for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        for cache, chosen in (
+            (self.words, [(i, WORD.findall(t.lower())) for i, t in enumerate(texts) if parts[i] is None]),
+            (self.pieces, [(i, own) for i, own in enumerate(parts) if own is not None]),
+        ):
+            coded, at = cache.all([p for _, own in chosen for p in own]), 0
+            for i, own in chosen:
+                out[i] = b"".join(coded[at : at + len(own)])
+                at += len(own)
+        return out
+
+
 @lru_cache(2)
-def _pieces(path: str) -> tuple[Tokenizer, Cache]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    return tokenizer, Cache(lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+def _coder(path: str) -> Coder:
+    return Coder(path)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Packed 32-bit ids of each text.
-
-    The tokenizer never joins what blanks or line breaks part, so texts are cut there and pieces are looked up.
-    """
-    tokenizer, cache = _pieces(path)
-    pieces = [t.replace("\n", " ").split(" ") for t in texts]
-    missing = [p for p in {p for own in pieces for p in own} if not cache.has(p)]
-    coded = tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-    cache.fill(missing, [np.array(x.ids, "<u4").tobytes() for x in coded])
-    return [b"".join([cache[p] for p in own]) for own in pieces]
+    """Packed 32-bit ids of each text, word by word, as the tokenizer gives them for the whole text."""
+    return _coder(path).texts(texts)
 
 
 def write_ids(
@@ -151,36 +191,33 @@ def write_ids(
     shards.select("shard", before.alias("shard_start")).write.parquet(f"{path}/index")
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks with ``start``, the position of their first id in the whole corpus."""
-    blocks, index = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/index")
-    own = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")
-    starts = blocks.select("shard", "block", "n_ids").withColumn("own", own).join(index, "shard")
-    starts = starts.select("shard", "block", (F.col("own") + F.col("shard_start")).alias("start"))
-    return blocks.join(starts, ["shard", "block"])
-
-
 def read_ids(spark: SparkSession, path: str, each: str = "ids", doc_id: str = "doc_id") -> DataFrame:
     """Documents of ``write_ids``: (``doc_id``, start, n_tokens, ids), ids packed as little-endian 32-bit integers.
 
-    With ``each="crc32"`` the ids are only summed up: the last column is ids_crc32.
+    ``start`` is the number of ids before the document. With ``each="crc32"`` the ids are only summed up: the last column is
+    ids_crc32, and no ids are moved.
     """
     ship_package(spark)
-    blocks = read_blocks(spark, path)
+    blocks, index = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/index")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     last = ("ids", pa.binary(), "binary") if each == "ids" else ("ids_crc32", pa.int64(), "long")
 
     def run(batches):
         for batch in batches:
             key_type = batch.schema.field("doc_ids").type.value_type
-            kinds = [("key", key_type), ("start", pa.int64()), ("n_tokens", pa.int64()), last[:2]]
-            for row in batch.to_pylist():
-                ids = unpack(row["words"]).astype("<u4")
-                ends = np.cumsum(np.array(row["lengths"], np.int64))
-                firsts = ends - row["lengths"]
-                own = [ids[a:b].tobytes() for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
+            kinds = [("shard", pa.int32()), ("block", pa.int32()), ("key", key_type), ("within", pa.int64()), ("n_tokens", pa.int64())]
+            for i in range(batch.num_rows):
+                shard, number, keys, lengths, words = (batch.column(c)[i].as_py() for c in range(5))
+                ids = unpack(words).astype("<u4")
+                ends = np.cumsum(np.array(lengths, np.int64))
+                own = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths, strict=True)]
                 values = own if each == "ids" else [zlib.crc32(x) for x in own]
-                yield result(kinds, row["doc_ids"], row["start"] + firsts, row["lengths"], values)
+                count = len(keys)
+                yield result([*kinds, last[:2]], [shard] * count, [number] * count, keys, ends - lengths, lengths, values)
 
-    columns = blocks.select("start", "doc_ids", "lengths", "words")
-    return columns.mapInArrow(run, f"key {kind}, start long, n_tokens long, {last[0]} {last[2]}").withColumnRenamed("key", doc_id)
+    own = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")
+    starts = blocks.select("shard", "block", "n_ids").withColumn("own", own).join(index, "shard")
+    starts = starts.select("shard", "block", (F.col("own") + F.col("shard_start")).alias("first"))
+    schema = f"shard int, block int, key {kind}, within long, n_tokens long, {last[0]} {last[2]}"
+    rows = blocks.select("shard", "block", "doc_ids", "lengths", "words").mapInArrow(run, schema).join(starts, ["shard", "block"])
+    return rows.select(F.col("key").alias(doc_id), (F.col("first") + F.col("within")).alias("start"), "n_tokens", last[0])
