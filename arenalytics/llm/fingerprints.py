@@ -66,7 +66,7 @@ def as_text(sketch: Column) -> Column:
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """(name, tie, n_chars, next_name, next_tie): the next document by descending id of (key, name, tie, n_chars).
+    """(key, name, tie, n_chars, next_name, next_tie): the next document by descending id of (key, name, tie, n_chars).
 
     Ranges of ids are ordered in parallel; only the first row of each range is put in order with the others. Rows of one id
     are ordered by the hash of their text, null ids come last, the first document follows the last.
@@ -81,7 +81,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
     follow = F.coalesce(F.lead("head").over(over), F.first("head").over(over))
     heads = heads.select(F.col("range").alias("after"), follow.alias("follow"))
     rows = rows.join(heads, F.col("range") == F.col("after")).withColumn("next", F.coalesce("next", "follow"))
-    return rows.select("name", "tie", "n_chars", F.col("next.name").alias("next_name"), F.col("next.tie").alias("next_tie"))
+    return rows.select("key", "name", "tie", "n_chars", F.col("next.name").alias("next_name"), F.col("next.tie").alias("next_tie"))
 
 
 def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,13 +95,14 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     base = docs.select(F.col(doc_id).alias("key"), name.alias("name"), F.xxhash64(plain).alias("tie"), plain.alias("text"))
     links = neighbours(base.select("key", "name", "tie", F.char_length("text").alias("n_chars")).distinct())
-    texts = with_sketch(base, "text", "sketch").repartition("name", "tie")
+    # Both joins need the same columns of the texts, so that Spark deals them out once.
+    texts = with_sketch(base.drop("key"), "text", "sketch").repartition("name", "tie")
     copy = F.row_number().over(Window.partitionBy("name", "tie").orderBy("name"))
     source = texts.withColumn("copy", copy).where("copy = 1")
     source = source.select(F.col("name").alias("next_name"), F.col("tie").alias("next_tie"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     parts = links.join(source, ["next_name", "next_tie"]).select(
-        "name", "tie", "n_chars", F.substring("next_text", F.lit(1), half).alias("part"), "next_sketch"
+        "key", "name", "tie", "n_chars", F.substring("next_text", F.lit(1), half).alias("part"), "next_sketch"
     )
     whole = texts.join(parts, ["name", "tie"])
     whole = whole.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), "part"))
