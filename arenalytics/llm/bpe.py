@@ -46,7 +46,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 def point_classes() -> np.ndarray:
     """Class of every code point, and of ``BREAK_POINT``, by the Unicode tables of the library that results must equal."""
     table = np.full(BREAK_POINT + 1, OTHER, np.uint8)
-    points = "".join(map(chr, (c for c in range(BREAK_POINT) if not 0xD800 <= c < 0xE000)))
+    every = np.arange(BREAK_POINT, dtype="<u4")
+    points = every[(every < 0xD800) | (every >= 0xE000)].tobytes().decode("utf-32-le")
     single = {bytes([i]): i for i in range(256)}
     for kind, name in ((LETTER, "L"), (NUMBER, "N")):
         only = tiktoken.Encoding(name, pat_str=rf"\p{{{name}}}", mergeable_ranks=single, special_tokens={})

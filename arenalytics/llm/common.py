@@ -14,6 +14,10 @@ from arenalytics.session import shared_folder, ship_package
 BLOCK_BYTES = 1 << 20
 """UTF-8 bytes of text that a Python worker holds in one piece; a longer text is a block of its own."""
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1_000
+"""Whole texts are long rows: unless the session sets its own number, so many go to a Python worker at once."""
+
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,7 +37,10 @@ def map_blocks(
 
     ``start`` runs once per task, so it may open a model; what it keeps at module level outlives the task.
     """
-    ship_package(frame.sparkSession)
+    spark = frame.sparkSession
+    ship_package(spark)
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
@@ -84,7 +91,7 @@ class Cache(dict):
     ``2 * limit`` entries at most.
     """
 
-    def __init__(self, make: Callable[[list], list], limit: int = 300_000):
+    def __init__(self, make: Callable[[list], list], limit: int = 250_000):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
