@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalytics.llm.common import Cache, map_blocks, result, strings
+from arenalytics.llm.common import Cache, map_blocks, result, stored, strings
 from arenalytics.llm.labels import fold, learnable
 
 WORD = re.compile(r"[^\W_]+")
@@ -32,10 +32,12 @@ RATE = 0.05
 STEADY = 1e-5
 """Slopes well below this move a vector little, so that buckets of rare words stay near their start."""
 CALIBRATION_FOLD = 4
+DOCUMENTS_PER_CLASS = 6_000
+"""Bound of the training sample: so many labelled documents of each class, the first by a hash of their id."""
 WINDOWS_PER_CLASS = 9_000
-"""Bound of the training sample: so many windows of labelled documents of each class, chosen by a hash."""
-CALIBRATION_ROWS = 20_000
-"""Bound of the calibration sample: so many labelled documents, chosen by a hash."""
+"""Bound of the windows that are learnt from, of each class, the first by a hash."""
+CALIBRATION_DOCUMENTS = 20_000
+"""Bound of the calibration sample, the first by a hash of their id."""
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,10 +121,9 @@ def train(texts: list[str], target: np.ndarray, seed: int = 7) -> np.ndarray:
     """Weights of all buckets: vectors and softmax fitted jointly by Adam on small batches of windows."""
     parts = [t.split(" ") for t in texts]
     ids, per_word = subwords([w for p in parts for w in p])
-    sizes = np.array([len(p) for p in parts])
-    row = np.repeat(np.repeat(np.arange(len(parts)), sizes), per_word)
-    share = np.repeat(1 / per_word / WINDOW, per_word)
-    edges = np.searchsorted(row, np.arange(len(parts) + 1))
+    words = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    share = np.repeat((1 / per_word / WINDOW).astype(np.float32), per_word)
+    edges = np.concatenate(([0], np.cumsum(per_word)))[words]
     rng = np.random.default_rng(seed)
     state = [rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)]
     first, second = [np.zeros_like(v) for v in state], [np.zeros_like(v) for v in state]
@@ -168,23 +169,29 @@ def calibrate(peak: np.ndarray, log_words: np.ndarray, target: np.ndarray) -> tu
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Model:
     """Train on windows of folds 1 to 3 and calibrate on fold 4; the held-out fold 0 is never read.
 
-    At most ``WINDOWS_PER_CLASS`` windows of each class and two numbers of ``CALIBRATION_ROWS`` documents reach the driver.
+    The sample is drawn from the ids alone, so only its texts are cut into windows and no text is shuffled. At most
+    ``WINDOWS_PER_CLASS`` windows of each class and two numbers of ``CALIBRATION_DOCUMENTS`` documents reach the driver.
     Without both classes in either part the score is the share of class 1, one half without any label.
     """
     spark = docs.sparkSession
-    known = learnable(docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")), labels, label)
-    counts = {(r.late, r.label): r.n for r in known.groupBy((F.col("fold") == CALIBRATION_FOLD).alias("late"), "label").agg(F.count("*").alias("n")).collect()}
+    ids = learnable(docs.select(F.col(doc_id).alias("key")).where(F.col(doc_id).isNotNull()).distinct(), labels, label)
+    late = F.col("fold") == CALIBRATION_FOLD
+    ids = stored(ids.select("key", "label", late.alias("late")), "labelled-ids")
+    counts = {(r.late, r.label): r.n for r in ids.groupBy("late", "label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 4:
         ones, total = sum(n for (_, y), n in counts.items() if y), sum(counts.values())
         share = ones / total if total else 0.5
         return Model(np.zeros(BUCKETS, np.float32), (0.0, 0.0, float(np.log((share + 1e-3) / (1.001 - share)))))
-    cut = windows(known.where(F.col("fold") != CALIBRATION_FOLD))
+    first = lambda part, n: part.orderBy(F.xxhash64("key"), "key").limit(n)
+    chosen = [first(ids.where(~F.col("late") & (F.col("label") == c)), DOCUMENTS_PER_CLASS) for c in (0.0, 1.0)]
+    texts = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text"))
+    cut = windows(texts.join(F.broadcast(chosen[0].union(chosen[1])), "key"))
     order = F.xxhash64("key", "number")
     keep = [cut.where(F.col("label") == c).orderBy(order, "window").limit(WINDOWS_PER_CLASS) for c in (0.0, 1.0)]
     rows = sorted((r.window, r.label) for r in keep[0].union(keep[1]).select("window", "label").collect())
     model = Model(train([w for w, _ in rows], np.array([y for _, y in rows])), (1.0, 0.0, 0.0))
-    late = known.where(F.col("fold") == CALIBRATION_FOLD).orderBy(F.xxhash64("key"), "key").limit(CALIBRATION_ROWS)
-    seen = measured(late.select("key", "label", "text"), spark.sparkContext.broadcast(model), "label").collect()
+    tried = texts.join(F.broadcast(first(ids.where("late"), CALIBRATION_DOCUMENTS)), "key")
+    seen = measured(tried, spark.sparkContext.broadcast(model), "label").collect()
     seen = sorted((r.peak, r.log_words, r.label) for r in seen)
     return Model(model.weights, calibrate(*np.array(seen).T))
 
