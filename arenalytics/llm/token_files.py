@@ -31,14 +31,14 @@ BLOCK_IDS = 32_768
 PER_WORD = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int64)
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64], np.int64)
 ESCAPE = 14
-_POWERS = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
 
 
 def pack(values: np.ndarray) -> bytes:
     """Unsigned 64-bit values as: how many values, how many words, the words, the escaped values."""
     values = np.asarray(values, np.uint64)
     n = len(values)
-    bits = np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
+    # The exponent is the bit length; beyond 2 ** 53 rounding may make it one too large, never too small.
+    bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     selector = np.full(n, ESCAPE, np.uint8)
     wide = np.zeros(n + int(PER_WORD[0]) + 1, np.int32)
     for s in range(ESCAPE - 1, -1, -1):
