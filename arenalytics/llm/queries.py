@@ -143,6 +143,35 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "row.text", "n_lines", "n_deleted")
 
 
+@query(
+    "op7_line_runs",
+    """
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+l as (select doc_id, unnest(ls) line, unnest(range(len(ls))) place from d),
+s as (
+  select doc_id, place, line, strlen(line) - strlen(replace(line, ' ', '')) + 1 words,
+    row_number() over (partition by doc_id order by place) i from l where trim(line) <> ''
+), e as (select a.doc_id, a.i, b.i as last, list(m.line order by m.i) run, sum(m.words) words
+  from s a join s b on b.doc_id = a.doc_id and b.i between a.i and a.i + 4 join s m on m.doc_id = a.doc_id and m.i between a.i and b.i
+  group by all having count(*) >= 3 or sum(m.words) >= 50
+), f as materialized (select doc_id, i, last, row_number() over (partition by run order by doc_id, i) nth from e),
+r as materialized (
+  select distinct s.doc_id, s.place from f join s on s.doc_id = f.doc_id and s.i between f.i and f.last where nth > 1
+), k as (
+  select l.doc_id, count(*) n_lines, count(r.place) n_deleted,
+    coalesce(string_agg(line, chr(10) order by l.place) filter (where r.place is null), '') txt
+  from l left join r on r.doc_id = l.doc_id and r.place = l.place group by l.doc_id
+)
+select k.doc_id, case when n_deleted > 0 then txt else text end as text, n_lines, n_deleted
+from k join documents on documents.doc_id = k.doc_id
+""",
+)
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without any line of a maximal run that stands earlier; the SQL looks at runs of up to five lines."""
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"), whole_runs=True)
+    return found.select("row.doc_id", "row.text", "n_lines", "n_deleted")
+
+
 def _licence_sql() -> str:
     """The scan in SQL, with the known licences as values."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"

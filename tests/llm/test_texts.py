@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from arenalytics.llm import decontamination, fingerprints, licenses, line_dedup
 from tests.llm.conftest import odd_rows, text_of
 
@@ -125,6 +126,44 @@ def test_long_repeated_passage_goes_once(spark):
     assert {r.row.doc_id: passage in r.row.text for r in found} == {k: k == 0 for k in range(30)}
 
 
+def whole_runs_deleted(rows):
+    """Lines of each document in maximal runs shared with an earlier place, found by extending every pair of equal lines both ways."""
+    docs = [[(p, x, x.count(" ") + 1) for p, x in enumerate(t.split("\n")) if x.strip(" ")] for _, t in rows]
+    gone = [set() for _ in docs]
+    for b, later in enumerate(docs):
+        for a, early in enumerate(docs[: b + 1]):
+            for j in range(len(later)):
+                for i in range(len(early) if a < b else j):
+                    if early[i][1] != later[j][1] or (i and j and early[i - 1][1] == later[j - 1][1]):
+                        continue
+                    n = 0
+                    while i + n < len(early) and j + n < len(later) and early[i + n][1] == later[j + n][1]:
+                        n += 1
+                    run = later[j : j + n]
+                    if n >= 3 or sum(w for _, _, w in run) >= 50:
+                        gone[b].update(p for p, _, _ in run)
+    return [(i, "\n".join(x for p, x in enumerate(t.split("\n")) if p not in g), len(g)) for (i, t), g in zip(rows, gone, strict=True)]
+
+
+def test_whole_runs_go_with_their_short_ends(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(0, f"a\n{long}"), (1, f"b\n{long}\ntail one\ntail two"), (2, f"c\n{long}\ntail one\n\ntail two"), (3, f"head\n{long}"), (4, f"d\nhead\n{long}")]
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice("ab cd ef".split()) for _ in range(n)) for n in (1, 2, 3, 1, 2, 20, 30, 45, 55, 60)] + [""]
+    rows += [(100 + k, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for k in range(60)]
+    found = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), whole_runs=True).collect()
+    got = sorted((r.row.doc_id, r.row.text, r.n_deleted) for r in found)
+    assert got == whole_runs_deleted(rows)
+    assert got[2][1] == "c\n" and got[4][1] == "d"
+
+
+def test_line_dedup_stage_leaves_nothing_of_copies(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(k, f"{long}\nshort end", "en", "s", 1) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.line_dedup_filter(spark, docs, "").collect()] == [0]
+
+
 def test_licences(spark, odd, none):
     known = licenses.known_licences(spark)
     text = dict(licenses.known_rows())["BSD-2-Clause"]
