@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arenalytics.llm.common import stored
 
+CELL = 256
+"""Members of a key that one task compares with each other at a time."""
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b): the smallest node that can be reached.
@@ -38,3 +43,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _total(labels: DataFrame):
     return labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+
+
+def links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs that share a key of ``members`` (key, id) and are confirmed.
+
+    ``confirm`` keeps the rows of pairs (a, b) that are links. First each member is compared with the smallest of its
+    key. Then, where a key still has members of several components, all its pairs from different components are compared,
+    in cells of some ``CELL`` members. Pairs of one component need no link; no other pair is left out.
+    """
+    # Nearly all keys are single, so they are dealt out once, uncombined, for both the smallest member and the join.
+    members = members.repartition("key")
+    shared = members.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last")
+    held = stored(members.join(shared.select("key", "centre").hint("shuffle_hash"), "key"), "members")
+    star = held.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    edges = stored(confirm(star).select("a", "b"), "star-links")
+    named = held.join(components(edges), F.col("id") == F.col("node"), "left")
+    named = named.select("key", "id", "centre", F.coalesce("component", "id").alias("label"))
+    named = stored(named, "labelled")
+    split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    split = split.where("low != high and n > 2").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
+    rest = stored(named.where("id != centre").join(split, "key").drop("centre"), "split-members")
+    cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
+    left = rest.select("key", F.col("id").alias("a"), F.col("label").alias("la"), cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("to"))
+    right = rest.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), cell.alias("to"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    pairs = left.join(right, ["key", "cell", "to"]).where("a < b and la != lb").select("a", "b").distinct()
+    return edges.union(stored(confirm(pairs).select("a", "b"), "further-links"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arenalytics.llm.common import map_blocks, result, stored
-from arenalytics.llm.graph import components
+from arenalytics.llm.graph import components, links
 
 SEED = 42
 # The multipliers of a public 64-bit finaliser, which derives further hashes from the first.
@@ -122,20 +122,16 @@ def exact_links(classes: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def close_links(classes: DataFrame, blocks: int, radius: int, total: int) -> DataFrame:
-    """Edges (a, b) between members of shared keys and their centre that differ in at most ``total`` bits of all blocks.
+    """Edges (a, b) whose components are those of all members of shared keys that differ in at most ``total`` bits of all blocks.
 
-    Nearly all keys are single, so they are dealt out once, uncombined, for both the smallest member and the join. A
-    class has one row in each of many tables, so even a key that all classes share is a small part of all rows.
+    A class has one row in each of many tables, so even a key that all classes share is a small part of all rows.
     """
-    rows = classes.select("id", F.explode_outer(table_keys(F.col("marks"), blocks, radius)).alias("key")).repartition("key")
-    shared = rows.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last")
-    pairs = rows.join(shared.select("key", "centre").hint("shuffle_hash"), "key").where("id != centre")
-    pairs = pairs.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    rows = classes.select("id", F.explode_outer(table_keys(F.col("marks"), blocks, radius)).alias("key"))
     left = classes.select(F.col("id").alias("a"), F.col("marks").alias("left"))
     right = classes.select(F.col("id").alias("b"), F.col("marks").alias("right"))
     differ = F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     distance = F.aggregate(differ, F.lit(0), lambda total, x: total + x)
-    return pairs.join(left, "a").join(right, "b").where(distance <= total).select("a", "b")
+    return links(rows, lambda pairs: pairs.join(left, "a").join(right, "b").where(distance <= total))
 
 
 def near_duplicates(

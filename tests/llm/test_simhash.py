@@ -94,6 +94,24 @@ def test_blocks_link_by_total_distance(spark):
     assert {found[i] for i, _ in rows if i >= 1000} == {1000} and found[1] == found[2] == 1
 
 
+def test_members_far_from_the_centre_are_linked(spark):
+    """A family that shares block 0 with its centre; pairs of it are 56 bits apart, and further than that from the centre."""
+    rng = np.random.default_rng(8)
+    bits = np.zeros((1201, 512), bool)
+    for k in range(1, 1201, 2):
+        bits[k, 64:] = rng.random(448) < 0.5
+        bits[k + 1] = bits[k]
+        for block in range(1, 8):
+            bits[k + 1, block * 64 + rng.choice(64, 8, replace=False)] ^= True
+    marks = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    rows = [(i, [int(x) for x in m]) for i, m in enumerate(marks)]
+    classes = spark.createDataFrame(rows, "id long, marks array<bigint>").repartition(5)
+    got = {(r.node, r.component) for r in components(sd.close_links(classes, 8, 4, 56)).collect()}
+    near = {(i, j) for i in range(len(bits)) for j in np.flatnonzero((bits[i] ^ bits).sum(1) <= 56).tolist() if i < j}
+    assert near == {(k, k + 1) for k in range(1, 1201, 2)}
+    assert got == {(n, a) for a, b in near for n in (a, b)}
+
+
 def test_further_blocks_are_other_fingerprints():
     hashes = np.random.default_rng(0).integers(0, 1 << 63, 500, dtype=np.int64).astype(np.uint64)
     marks = sd.majority(hashes, 3)
