@@ -10,6 +10,7 @@ import corpus_pipeline
 from arenalytics.llm import queries
 from arenalytics.llm.common import stored
 from tests.llm.conftest import odd_rows
+from tests.llm.test_texts import tie
 
 SF_DIR = "/root/testdata/sf0.001"
 STEMS = ["tion", "hen", "ere", "and", "ing", "ould", "the", "shly", "or", "ent"]
@@ -90,6 +91,51 @@ def test_near_dedup_alone_keeps_one_of_each_group(spark, planted):
     assert {i for i in kind if kind[i] == "clean"} <= left
 
 
+def near_firsts(rows):
+    """Ids that stay of (id, text): all pairs compared by exact five-word similarity, the smallest of each group kept."""
+    def own(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets, parent = [own(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[find(j)] = find(i)
+    first = {}
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0], tie(rows[k][1]))):
+        first.setdefault(find(k), k)
+    return sorted((rows[k][0], rows[k][1] or "") for k in first.values())
+
+
+def test_near_dedup_is_exact_at_the_border(spark):
+    """Edits that leave similarities about 0.8, families that drift away from their first text, template pages, shared ids."""
+    rng = random.Random(21)
+    rows = [(0, None), (1, ""), (2, " \n"), (3, "one two"), (4, "One  two"), (5, "one two three four five"), (6, "six other words\nstand here now"), (6, "unlike that")]
+    for f in range(6):
+        base = prose(rng, 100).split()
+        for k in range(40):
+            words = list(base)
+            for _ in range(rng.randint(0, 5)):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(99999)}"
+            rows.append((100 * (f + 1) + k, " ".join(words)))
+            if f % 2 and k % 4 == 0:
+                base[rng.randrange(len(base))] = f"drift{k}"
+    template = prose(rng, 80)
+    rows += [(1000 + k, f"{template} {prose(rng, rng.randint(5, 30))}") for k in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.near_dedup_filter(spark, docs.repartition(4), "").collect())
+    want = near_firsts(rows)
+    assert got == want and 30 < len(want) < len(rows) - 100
+    assert [t for i, t in got if i == 6] == sorted(t for i, t in rows if i == 6)
+
+
 def test_stages_on_odd_rows(spark, planted, odd):
     folder = planted[0]
     docs = odd
