@@ -136,6 +136,13 @@ def test_near_dedup_is_exact_at_the_border(spark):
     assert [t for i, t in got if i == 6] == sorted(t for i, t in rows if i == 6)
 
 
+def test_near_dedup_keeps_other_texts_of_a_shared_id(spark):
+    rows = [(4, f"{w} text that nobody else has here", "en", "s", 1) for w in ("one", "another", "another")] + [(5, "one text that nobody else has here", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text.split()[0]) for r in corpus_pipeline.near_dedup_filter(spark, docs, "").collect())
+    assert got == [(4, "another"), (4, "one")]
+
+
 def test_stages_on_odd_rows(spark, planted, odd):
     folder = planted[0]
     docs = odd
