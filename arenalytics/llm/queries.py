@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenalytics.llm import bpe, decontamination, fingerprints, licenses, line_dedup, quality, simhash_dedup, token_counts, token_files, toxicity
+from arenalytics.llm import (
+    bpe, chat, decontamination, fingerprints, lexical, licenses, line_dedup, quality, resampling, simhash_dedup, token_counts, token_files, toxicity,
+)
 from arenalytics.llm.common import table
 from arenalytics.session import shared_folder
 
@@ -219,3 +221,73 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.as_text(own).alias("fingerprint"), fingerprints.as_text(edited).alias("edited_fingerprint"),
         fingerprints.likeness(own, edited).alias("near_edited"), fingerprints.likeness(own, after).alias("near_next"),
     )
+
+
+@query(
+    "op11_lexical_search",
+    r"""
+with d as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from documents
+), q as materialized (
+  select item_id, term, count(*) qtf from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark) u group by all
+), tf as materialized (select doc_id, term, count(*) tf from d group by all),
+n as materialized (select doc_id, sum(tf)::bigint n from tf group by all),
+c as (select count(*) as n_docs, sum(n)::bigint as n_terms from n),
+w as (
+  select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint w
+  from tf, c where term in (select term from q) group by term
+), s as (
+  select item_id, tf.doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::bigint score
+  from q join w using (term) join tf using (term) join n on n.doc_id = tf.doc_id, c group by all
+)
+select item_id, rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id)::integer rank from s where score > 0
+) r where rank <= 20
+""",
+)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _turns_sql() -> str:
+    """Flat conversations in SQL; the template is written out anew."""
+    marks = r"regexp_replace({}, '([\[<])(\\*)(/?(?:INST|SYS|ANS|ROLE)\]|/?s>)', '\1\\\2\3', 'g')"
+    return f"""
+with c as (
+  select conv_id, turn, role, coalesce(text, '') text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) loss_sha256,
+  sum(length(case role when 'user' then '[INST] ' when 'system' then '[SYS] ' when 'assistant' then '[ANS] ' end || {marks.format("text")} || '</s>'))::bigint
+    formatted_chars
+from c group by conv_id
+"""
+
+
+@query("op12_chat_format", _turns_sql())
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back: digests of its turns and of what the loss sees."""
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role")
+    planted = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role, said)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    found = chat.conversations(chat.from_turns(rows))
+    turns, learnt = chat.read_turns(F.col("formatted")), chat.read_learnt(F.col("formatted"), F.col("mask"))
+    read = found.select(F.col("tree").alias("conv_id"), turns.alias("turns"), learnt.alias("learnt"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+    listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"),
+        F.char_length("learnt").cast("bigint").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+@query("op13_importance_resampling")
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark texts, and its rank if it is drawn."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
