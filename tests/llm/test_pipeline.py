@@ -162,7 +162,7 @@ def test_stages_on_empty_table(spark, planted, none):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, name):
     with duckdb.connect() as db:
-        for table in ("documents", "benchmark", "labels"):
+        for table in ("documents", "benchmark", "labels", "conversations"):
             db.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
         cursor = db.execute(queries.ORACLES[name])
         columns = [c[0] for c in cursor.description]
@@ -172,7 +172,7 @@ def test_oracle(spark, name):
     assert sorted((tuple(r) for r in frame.select(*columns).collect()), key=str) == want
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op11_lexical_search", "op12_chat_format"}))
 def test_one_row_per_document(spark, name):
     frame = queries.QUERIES[name](spark, SF_DIR)
     ids = [r.doc_id for r in frame.select("doc_id").collect()]
