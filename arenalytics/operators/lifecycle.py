@@ -56,21 +56,50 @@ def _in_sessions(events: DataFrame, kinds: list[str]) -> DataFrame:
     return marked.withColumn("open_start", F.col("_open.start")).drop("_state", "_open")
 
 
+def with_exemption(events: DataFrame, exempt: DataFrame | None) -> DataFrame:
+    """Add ``exempt``: whether the user's AFK time is not counted at the event's date.
+
+    ``exempt`` lists users by ``user_id``; ``valid_from`` (inclusive) and ``valid_to`` (exclusive) limit an entry in time, null or absent
+    for no limit. Entries may overlap. The versions of one user are one row, so an event meets one row at most.
+    """
+    if exempt is None:
+        return events.withColumn("exempt", F.lit(False))
+    bounds = [F.col(c) if c in exempt.columns else F.lit(None).cast("bigint").alias(c) for c in ("valid_from", "valid_to")]
+    versions = exempt.select("user_id", F.struct(*bounds).alias("v")).groupBy("user_id").agg(F.collect_set("v").alias("_versions"))
+
+    def holds(v: Column) -> Column:
+        since = v["valid_from"].isNull() | (F.col("date") >= v["valid_from"])
+        return since & (v["valid_to"].isNull() | (F.col("date") < v["valid_to"]))
+
+    return events.join(versions, "user_id", "left").withColumn("exempt", F.coalesce(F.exists("_versions", holds), F.lit(False))).drop("_versions")
+
+
 def afk_times(events: DataFrame, threshold: int = AFK_THRESHOLD, exempt: DataFrame | None = None) -> DataFrame:
     """AFK per session: idle gaps of at least ``threshold`` before an action or the leave.
 
-    After an AFK command the time from the command on counts, without the threshold.
+    After an AFK command the time from the command on counts, without the threshold. A gap that ends while its user is exempt
+    (see :func:`with_exemption`) adds nothing, and neither does a command given then. Who is exempt without limits has no rows.
     """
-    rows = _in_sessions(events, ["action", "afk"])
-    if exempt is not None:
-        rows = rows.join(exempt.select("user_id"), "user_id", "left_anti")
+    if exempt is not None and not {"valid_from", "valid_to"} & set(exempt.columns):
+        events = events.join(exempt.select("user_id"), "user_id", "left_anti")
+    rows = with_exemption(_in_sessions(events, ["action", "afk"]), exempt)
+    rows = rows.withColumn("kind", F.when(F.col("exempt") & (F.col("kind") == "afk"), "still").otherwise(F.col("kind")))
     steps = with_previous(rows, ["user_id"], "date", ["kind", "open_start"], DAY, ties=["event_id"])
     gap = F.col("date") - F.col("prev.date")
-    idle = F.when(F.col("prev.kind") == "afk", gap).when(gap >= threshold, gap).otherwise(0)
+    idle = F.when(F.col("exempt"), 0).when(F.col("prev.kind") == "afk", gap).when(gap >= threshold, gap).otherwise(0)
     ending = F.col("kind").isin("action", "leave") & F.col("prev.open_start").isNotNull()
     return steps.where(ending).groupBy("user_id", F.col("prev.open_start").alias("session_start")).agg(F.sum(idle).alias("afk_time"))
 
 
+def event_counters(events: DataFrame) -> DataFrame:
+    """Mob kills and deaths per session, from events of these kinds while it is open; sessions without any are absent."""
+    rows = _in_sessions(events, ["mob_kill", "death"]).where(F.col("open_start").isNotNull() & F.col("kind").isin("mob_kill", "death"))
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).cast("int")
+    return rows.groupBy("user_id", F.col("open_start").alias("session_start")).agg(
+        count("mob_kill").alias("mob_kills"), count("death").alias("deaths")
+    )
+
+
 def world_times(events: DataFrame) -> DataFrame:
     """Time per session, world and mode: each change credits the time since to what was current before."""
     rows = _in_sessions(events, ["world"])

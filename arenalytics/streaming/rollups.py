@@ -15,7 +15,11 @@ def _windowed(stream: DataFrame, delay: str, width: str) -> DataFrame:
 
 
 def live_minutes(pulses: DataFrame, delay: str = "10 minutes", width: str = "1 minute") -> DataFrame:
-    """Minute samples per server, emitted once the watermark has passed the minute."""
+    """Minute samples per server, emitted once the watermark has passed the minute; the columns of the batch form.
+
+    The tick times of a server's minute wait in its state as a list; in order they give the 95th percentile by rank and the
+    changes between neighbours.
+    """
     newest = newest_first("date", "id")
     rolled = _windowed(pulses, delay, width).groupBy("server_id", "w").agg(
         F.avg(F.when(F.col("tps") >= 0, F.col("tps"))).alias("tps"),
@@ -26,9 +30,19 @@ def live_minutes(pulses: DataFrame, delay: str = "10 minutes", width: str = "1 m
         F.max_by("chunks", newest).alias("chunks_loaded"),
         F.max_by("disk", newest).alias("free_disk_space"),
         F.avg(F.when(F.col("mspt") > 0, F.col("mspt"))).alias("mspt_average"),
-        F.percentile(F.when(F.col("mspt") > 0, F.col("mspt")), 0.95).alias("mspt_95th"),
+        F.collect_list(F.when(F.col("mspt") > 0, F.struct("date", "id", "mspt"))).alias("ticks"),
+    )
+    kept = [c for c in rolled.columns if c not in ("server_id", "w", "ticks")]
+    in_time = F.transform(F.array_sort("ticks"), lambda t: t["mspt"])
+    changes = F.transform(F.slice("series", 2, F.greatest(F.size("series"), F.lit(1))), lambda x, i: F.abs(x - F.get("series", i)).cast("double"))
+    rank = F.floor(F.size("series") * F.lit(0.95)).cast("int") - 1
+    rows = rolled.select("server_id", F.unix_millis("w.start").alias("date"), *kept, in_time.alias("series"))
+    rows = rows.select("server_id", "date", *kept, "series", changes.alias("changes"))
+    mean = F.aggregate("changes", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("changes"), F.lit(0))
+    return rows.select(
+        "server_id", "date", *kept, F.when(rank > 0, F.get(F.array_sort("series"), rank)).alias("mspt_95th"),
+        mean.alias("mspt_jitter_avg"), F.array_max("changes").alias("mspt_jitter_max"),
     )
-    return rolled.select("server_id", F.unix_millis("w.start").alias("date"), *[c for c in rolled.columns if c not in ("server_id", "w")])
 
 
 def live_pings(pings: DataFrame, delay: str = "10 minutes", width: str = "1 minute") -> DataFrame:

@@ -1,112 +1,181 @@
-"""Sessions, AFK time and world times from a live event stream, keyed by user.
+"""Sessions, AFK time, world times and counters from a live event stream, in typed state keyed by user.
 
-Events wait in state until the watermark has passed them and are then applied in event order, so events that
-arrive out of order by less than the delay give the same sessions as the batch form. Events later than that
-are dropped by the watermark; :func:`late_events` keeps them for a side table.
+Events wait in list state until the watermark has passed them and are then applied in event order, so events that arrive
+out of order by less than the delay give the same sessions as the batch form. Events behind the watermark are rows of the
+same stream, marked late: what is on time and what is late together are all events. An open session is one value, its
+times are map state by (world, mode), of which only the touched entries are written; a batch reads and writes
+what is new and what still waits, not the user's history.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from arenalytics.operators.lifecycle import AFK_THRESHOLD
-
-OUTPUT = "user_id bigint, server_id int, session_start bigint, session_end bigint, afk_time bigint, interrupted boolean, world_times map<string, bigint>"
-STATE = "session string, pending string"
-FIELDS = ["date", "event_id", "kind", "server_id", "world", "mode"]
-USED = ("join", "switch", "leave", "world", "action", "afk")
-
-
-def apply_event(session: dict | None, event: list, threshold: int = AFK_THRESHOLD) -> tuple[dict | None, list | None]:
-    """Advance one user's open session by one event; returns the session and a finished row, if any."""
-    date, _, kind, server, world, mode = event
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from arenalytics.operators.lifecycle import AFK_THRESHOLD, with_exemption
+from arenalytics.session import ship_package
+from arenalytics.streaming.replay import CLOSING
+
+FIELDS = ["date", "event_id", "kind", "server_id", "world", "mode", "exempt"]
+EVENT = "date bigint, event_id bigint, kind string, server_id int, world string, mode int, exempt boolean"
+SESSION_FIELDS = ["server", "start", "moved", "commanded", "afk", "world", "mode", "since", "seen", "mob_kills", "deaths"]
+SESSION = (
+    "server int, start bigint, moved bigint, commanded boolean, afk bigint, world string, mode int, since bigint, seen bigint, "
+    "mob_kills int, deaths int"
+)
+FINISHED = (
+    "server_id int, session_start bigint, session_end bigint, afk_time bigint, interrupted boolean, mob_kills int, deaths int, "
+    "world_times array<struct<world: string, mode: int, time: bigint>>"
+)
+OUTPUT = f"user_id bigint, session struct<{FINISHED}>, late struct<{EVENT}>"
+USED = ("join", "switch", "leave", "world", "action", "afk", "mob_kill", "death")
+
+
+def apply_event(session: dict | None, times: dict, event: tuple, threshold: int = AFK_THRESHOLD) -> tuple[dict | None, dict, tuple | None]:
+    """Advance one user's open session by one event; returns the session, its times by (world, mode), and a finished row, if any."""
+    date, _, kind, server, world, mode, exempt = event
     done = None
     if session is not None:
-        if kind in ("action", "leave"):
+        if kind in ("action", "leave") and not exempt:
             gap = date - session["moved"]
             session["afk"] += gap if session["commanded"] or gap >= threshold else 0
         if kind in ("join", "switch", "leave", "world"):
-            mode_key = "" if session["mode"] is None else session["mode"]
-            key = f"{session['world']}|{mode_key}"
-            session["times"][key] = session["times"].get(key, 0) + abs(date - session["since"])
+            key = (session["world"], session["mode"])
+            times[key] = times.get(key, 0) + abs(date - session["since"])
         if kind in ("join", "switch", "leave"):
-            done = [session["server"], session["start"], date, session["afk"], kind != "leave", session["times"]]
-            session = None
+            ended = (session["server"], session["start"], date, session["afk"], kind != "leave", session["mob_kills"], session["deaths"])
+            done = (*ended, [(w, m, t) for (w, m), t in times.items()])
+            session, times = None, {}
         elif kind == "world":
             session.update(world=world, mode=mode, since=date)
-        if session is not None and kind in ("action", "afk"):
-            session.update(moved=date, commanded=kind == "afk")
+        elif kind in ("action", "afk"):
+            session.update(moved=date, commanded=kind == "afk" and not exempt)
+        elif kind == "mob_kill":
+            session["mob_kills"] += 1
+        elif kind == "death":
+            session["deaths"] += 1
     if kind in ("join", "switch"):
         session = {
-            "server": server, "start": date, "afk": 0, "moved": date, "commanded": False, "world": world, "mode": mode,
-            "since": date, "times": {}, "seen": date,
+            "server": server, "start": date, "moved": date, "commanded": False, "afk": 0, "world": world, "mode": mode,
+            "since": date, "seen": date, "mob_kills": 0, "deaths": 0,
         }
     if session is not None:
         session["seen"] = date
-    return session, done
-
-
-def _advance(threshold: int, session_timeout: int | None):
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, pending = (json.loads(s) for s in state.get) if state.exists else (None, [])
-        for batch in batches:
-            # Pandas turns integers with nulls into floats.
-            fields = batch[FIELDS].astype({"server_id": "Int64", "mode": "Int64"}).astype(object)
-            pending += fields.where(fields.notna(), None).values.tolist()
-        watermark = state.getCurrentWatermarkMs()
-        pending.sort(key=lambda e: (e[0], e[1]))
-        rows = []
-        ready = [e for e in pending if e[0] <= watermark]
-        pending = pending[len(ready):]
+    return session, times, done
+
+
+class Sessions(StatefulProcessor):
+    """One user's waiting events and open session."""
+
+    def __init__(self, threshold: int, session_timeout: int | None):
+        self.threshold, self.session_timeout = threshold, session_timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", SESSION)
+        self.times = handle.getMapState("times", "world string, mode int", "time bigint")
+        self.waiting = handle.getListState("waiting", EVENT)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        fresh = []
+        for row in rows:
+            event = tuple(row[f] for f in FIELDS)
+            if row["kind"] not in USED:
+                continue
+            if row["date"] <= watermark:
+                yield Row(user_id=key[0], session=None, late=event)
+            else:
+                fresh.append(event)
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._wake(min(e[0] for e in fresh), watermark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2]) if self.waiting.exists() else []
+        ready = [e for e in events if e[0] <= watermark]
+        rest = events[len(ready):]
+        if ready and rest:
+            self.waiting.put(rest)
+        elif ready:
+            self.waiting.clear()
+        session = dict(zip(SESSION_FIELDS, self.open.get(), strict=True)) if self.open.exists() else None
+        if not ready and (session is None or rest or self.session_timeout is None or session["seen"] + self.session_timeout > watermark):
+            if rest:
+                self._wake(rest[0][0], watermark)
+            return
+        stored = session is not None
+        times = {tuple(k): v[0] for k, v in self.times.iterator()} if stored else {}
+        before, reopened = dict(times), False
         for event in ready:
-            session, done = apply_event(session, event, threshold)
+            session, times, done = apply_event(session, times, event, self.threshold)
             if done:
-                rows.append([key[0], *done])
-        if session is not None and session_timeout is not None and not pending and session["seen"] + session_timeout <= watermark:
+                reopened = True
+                yield Row(user_id=key[0], session=done, late=None)
+        if session is not None and not rest and self.session_timeout is not None and session["seen"] + self.session_timeout <= watermark:
             # The leave never came: the session ends with its last event.
-            session, done = apply_event(session, [session["seen"], 0, "leave", session["server"], None, None], threshold)
-            rows.append([key[0], *done])
-        if session is None and not pending:
-            state.remove()
+            end = (session["seen"], 0, "leave", session["server"], None, None, False)
+            session, times, done = apply_event(session, times, end, self.threshold)
+            reopened = True
+            yield Row(user_id=key[0], session=done, late=None)
+        if reopened and stored:
+            self.times.clear()
+            before = {}
+        if session is None:
+            self.open.clear()
         else:
-            state.update((json.dumps(session), json.dumps(pending)))
-            wake = pending[0][0] if pending else session["seen"] + session_timeout if session_timeout is not None else None
-            if wake is not None:
-                state.setTimeoutTimestamp(max(int(wake), watermark + 1))
-        names = ["user_id", "server_id", "session_start", "session_end", "afk_time", "interrupted", "world_times"]
-        yield pd.DataFrame(rows, columns=names)
+            self.open.update(tuple(session[f] for f in SESSION_FIELDS))
+            for place, time in times.items():
+                if reopened or before.get(place) != time:
+                    self.times.updateValue(place, (time,))
+        if rest:
+            self._wake(rest[0][0], watermark)
+        elif session is not None and self.session_timeout is not None:
+            self._wake(max(session["seen"] + self.session_timeout, watermark + 1), watermark)
+
+    def _wake(self, at: int, watermark: int) -> None:
+        """One timer ahead of the watermark at a time, the earliest; one that is due goes by itself once it has fired."""
+        own = [t for t in self.handle.listTimers() if t > watermark]
+        if not own or at < min(own):
+            for t in own:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(int(at))
+
+    def close(self) -> None:
+        pass
+
+
+def live_rows(
+    events: DataFrame, delay: str = "10 minutes", threshold: int = AFK_THRESHOLD, session_timeout: int | None = 24 * 3_600_000,
+    exempt: DataFrame | None = None,
+) -> DataFrame:
+    """(user_id, session, late) of a stream of events (columns as in the batch form): finished sessions and late events.
 
-    return advance
+    ``exempt`` lists users whose AFK time isn't counted, with ``valid_from`` and ``valid_to`` if it holds versions. Start the
+    stream with :func:`arenalytics.streaming.replay.drain` or with its ``TYPED_STATE`` settings.
+    """
+    ship_package(events.sparkSession)
+    used = events.where(F.col("kind").isin(*USED, CLOSING))
+    timed = with_exemption(used, exempt).withColumn("at", F.timestamp_millis("date")).withWatermark("at", delay)
+    # Without the watermark's own column Spark drops no late row; they are told apart by their date.
+    keyed = timed.select("user_id", *FIELDS).groupBy("user_id")
+    return keyed.transformWithState(Sessions(threshold, session_timeout), OUTPUT, "Append", "EventTime")
 
 
-def live_sessions(
-    events: DataFrame, delay: str = "10 minutes", threshold: int = AFK_THRESHOLD, session_timeout: int | None = 24 * 3_600_000
-) -> DataFrame:
-    """Finished sessions of a stream of events (columns as in the batch form)."""
-    timed = (
-        events.where(F.col("kind").isin(*USED))
-        .withColumn("at", F.timestamp_millis("date"))
-        .withWatermark("at", delay)
-        .select("user_id", "at", *FIELDS)
-    )
-    return timed.groupBy("user_id").applyInPandasWithState(
-        _advance(threshold, session_timeout), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+def finished(rows: DataFrame) -> DataFrame:
+    """The finished sessions among the rows of :func:`live_rows`."""
+    return rows.where("session is not null").select("user_id", "session.*")
 
 
-def late_events(batch: DataFrame, newest: int, delay_ms: int) -> DataFrame:
-    """Events of a batch that are older than the watermark, for a side table."""
-    return batch.where(F.col("date") < newest - delay_ms)
+def late_events(rows: DataFrame) -> DataFrame:
+    """The events that came behind the watermark, among the rows of :func:`live_rows`."""
+    return rows.where("late is not null").select("user_id", "late.*")
 
 
 def as_world_times(sessions: DataFrame) -> DataFrame:
     """The nested world times as rows (user, session start, world, mode, time)."""
-    rows = sessions.select("user_id", "session_start", F.explode("world_times").alias("k", "time"))
-    parts = F.split("k", r"\|")
-    return rows.select("user_id", "session_start", parts[0].alias("world"), parts[1].try_cast("int").alias("mode"), "time")
+    return sessions.select("user_id", "session_start", F.inline("world_times"))

@@ -207,3 +207,14 @@ VIEWS["pulses"] = (
     "cast(v100%10000 as double)/100 cpu, 1000+v100%4000 ram, cast(v100%900 as int) entities, cast(event_id%300 as int) chunks, 50000+v100%1000 disk, v100%90 mspt from ev"
 )
 VIEWS["raw_pings"] = "select event_id id, user_id, server_id, ms date, cast(v100%4200-20 as int) value from ev where event_type='click'"
+# Mob kills and deaths among the session events, and who is exempt from AFK times when.
+VIEWS["combat_events"] = (
+    "select event_id, user_id, server_id, kind, date, world, mode from session_events union all "
+    "select event_id+1000000000 event_id, user_id, server_id, case when v100%3=0 then 'death' else 'mob_kill' end kind, ms date, "
+    "concat('w',cast(event_id%3 as string)) world, cast(v100%4 as int) mode from ev where event_id%4<>1"
+)
+VIEWS["exemptions"] = (
+    f"select user_id, cast({T0}+(user_id%9)*{2 * DAY} as bigint) valid_from, case when user_id%3=0 then null else cast({T0}+(user_id%9+user_id%5)*{2 * DAY} as bigint) end valid_to "
+    "from ev where user_id%2=0 group by user_id union all "
+    f"select user_id, cast(null as bigint) valid_from, cast({T0}+{DAY} as bigint) valid_to from ev where user_id%5=0 group by user_id"
+)

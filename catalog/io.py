@@ -178,13 +178,16 @@ def _(d):
     return life.with_first_flag(d.sessions, people).select("id", "first_session")
 
 
-@query("str_5_minute_rollup_batch", """with p as (select *, date-date%60000 m from pulses), t as (select *, row_number() over (partition by server_id, m order by mspt)-1 i, count(*) over (partition by server_id, m) n,
+ROLLUP_SQL = """with p as (select *, date-date%60000 m from pulses), t as (select *, row_number() over (partition by server_id, m order by mspt)-1 i, count(*) over (partition by server_id, m) n,
  abs(mspt-lag(mspt) over (partition by server_id, m order by date, id)) j from p where mspt>0),
  q as (select server_id, m, max(mspt) filter (where i=cast(floor(n*0.95) as bigint)-1 and i>0) p95, avg(j) ja, cast(max(j) as double) jm from t group by 1,2)
  select p.server_id, p.m date, avg(tps) filter (where tps>=0) tps, max(players) players_online, avg(cpu) cpu_usage, cast(floor(avg(ram)) as bigint) ram_usage,
  max_by(entities, cast(date as hugeint)*100000000+id) entities, max_by(chunks, cast(date as hugeint)*100000000+id) chunks_loaded, max_by(disk, cast(date as hugeint)*100000000+id) free_disk_space,
  avg(mspt) filter (where mspt>0) mspt_average, any_value(q.p95) mspt_95th, any_value(q.ja) mspt_jitter_avg, any_value(q.jm) mspt_jitter_max
- from p left join q on q.server_id=p.server_id and q.m=p.m group by 1,2""", doubles="tps cpu_usage mspt_average mspt_jitter_avg mspt_jitter_max")
+ from p left join q on q.server_id=p.server_id and q.m=p.m group by 1,2"""
+
+
+@query("str_5_minute_rollup_batch", ROLLUP_SQL, doubles="tps cpu_usage mspt_average mspt_jitter_avg mspt_jitter_max")
 def _(d):
     return life.minute_rollup(d.pulses)
 

@@ -2,15 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from arenalytics.operators import lifecycle as life
 from arenalytics.operators import roster
+from arenalytics.session import shared_folder
 from arenalytics.streaming import batches, replay, rollups, sessions
 from catalog import query
-from catalog.domain import NOW, Domain
-from catalog.io import AFK_SQL, CHANGES, FINISHED, WORLD_SQL
+from catalog.domain import DAY, NOW, T0, Domain
+from catalog.io import AFK_SQL, CHANGES, FINISHED, ROLLUP_SQL, STATE, WORLD_SQL
 from catalog.metrics import _registry
 
 HOUR, MINUTE = 3600000, 60000
-SETTLED = f"(select max(ms) from ev)-{HOUR}"
+DELAY = 10 * MINUTE
 
 
 class Live(Domain):
@@ -22,50 +24,95 @@ class Live(Domain):
         self._made[table] = replay.file_stream(d.spark, d.sf_dir, schema, f"{table}.parquet")
 
 
-def _settled(d):
-    """Newest event less an hour: what ended before is beyond every watermark."""
-    return d.ev.agg(F.max("ms") - HOUR).scalar()
+def _whole(d, view: str, build, purpose: str):
+    """The rows that a stream gives for a view of the event log, up to and with the stream's end."""
+    return d.spark.read.parquet(replay.drain_closed(getattr(Live(d, "events"), view), build, purpose))
+
+
+def _sessions(d, view: str = "session_events", exempt=None):
+    build = lambda events: sessions.live_rows(events, session_timeout=None, exempt=exempt)
+    return sessions.finished(_whole(d, view, build, "sessions"))
 
 
 @query("str_1_live_sessions", f"""with f as ({FINISHED}), a as ({AFK_SQL}) select f.user_id, f.server_id, f.session_start, f.session_end, f.interrupted, coalesce(a.afk_time,0) afk_time
- from f left join a on a.user_id=f.user_id and a.session_start=f.session_start where session_end<{SETTLED}""")
+ from f left join a on a.user_id=f.user_id and a.session_start=f.session_start""")
+def _(d):
+    return _sessions(d).select("user_id", "server_id", "session_start", "session_end", "interrupted", "afk_time")
+
+
+@query("str_2_live_exemption", f"""with s as ({STATE.format(k="'join','leave','action','afk'")}), e as (select *, exists (select 1 from exemptions x where x.user_id=s.user_id
+ and s.date>=coalesce(x.valid_from, s.date) and (x.valid_to is null or s.date<x.valid_to)) ex from s),
+ p as (select *, lag(date) over w pd, lag(case when ex and kind='afk' then 'still' else kind end) over w pk, lag(open_start) over w po from e window w as (partition by user_id order by date, event_id)),
+ a as (select user_id, po session_start, cast(sum(case when ex then 0 when pk='afk' then date-pd when date-pd>=180000 then date-pd else 0 end) as bigint) afk_time from p
+ where kind in ('action','leave') and po>=0 group by 1,2), f as ({FINISHED})
+ select f.user_id, f.session_start, coalesce(a.afk_time,0) afk_time from f left join a on a.user_id=f.user_id and a.session_start=f.session_start""")
+def _(d):
+    return _sessions(d, exempt=d.exemptions).select("user_id", "session_start", "afk_time")
+
+
+@query("str_2_versioned_exemption_batch", f"""with s as ({STATE.format(k="'join','leave','action','afk'")}), e as (select *, exists (select 1 from exemptions x where x.user_id=s.user_id
+ and s.date>=coalesce(x.valid_from, s.date) and (x.valid_to is null or s.date<x.valid_to)) ex from s),
+ p as (select *, lag(date) over w pd, lag(case when ex and kind='afk' then 'still' else kind end) over w pk, lag(open_start) over w po from e window w as (partition by user_id order by date, event_id))
+ select user_id, po session_start, cast(sum(case when ex then 0 when pk='afk' then date-pd when date-pd>=180000 then date-pd else 0 end) as bigint) afk_time from p
+ where kind in ('action','leave') and po>=0 group by 1,2""")
+def _(d):
+    return life.afk_times(d.session_events, exempt=d.exemptions)
+
+
+@query("str_3_live_world_times", f"""with f as ({FINISHED}), w as ({WORLD_SQL}) select w.* from w join f on f.user_id=w.user_id and f.session_start=w.session_start""")
+def _(d):
+    return sessions.as_world_times(_sessions(d))
+
+
+COUNTED = f"""select user_id, open_start session_start, cast(count(*) filter (where kind='mob_kill') as int) mob_kills, cast(count(*) filter (where kind='death') as int) deaths
+ from ({STATE.replace("session_events", "combat_events").format(k="'join','leave','mob_kill','death'")}) c where open_start>=0 and kind in ('mob_kill','death') group by 1,2"""
+
+
+@query("str_4_event_counters_batch", COUNTED)
 def _(d):
-    live = sessions.live_sessions(Live(d, "events").session_events, session_timeout=None)
-    done = d.spark.read.parquet(replay.drain(live, "sessions"))
-    return done.where(F.col("session_end") < _settled(d)).select("user_id", "server_id", "session_start", "session_end", "interrupted", "afk_time")
+    return life.event_counters(d.combat_events)
 
 
-@query("str_3_live_world_times", f"""with f as ({FINISHED}), w as ({WORLD_SQL}) select w.* from w join f on f.user_id=w.user_id and f.session_start=w.session_start where f.session_end<{SETTLED}""")
+@query("str_4_live_counters", f"""with f as ({FINISHED}), k as ({COUNTED}) select f.user_id, f.server_id, f.session_start, f.session_end, coalesce(mob_kills,0) mob_kills, coalesce(deaths,0) deaths
+ from f left join k on k.user_id=f.user_id and k.session_start=f.session_start""")
 def _(d):
-    live = sessions.live_sessions(Live(d, "events").session_events, session_timeout=None)
-    done = d.spark.read.parquet(replay.drain(live, "worlds"))
-    return sessions.as_world_times(done.where(F.col("session_end") < _settled(d)))
+    return _sessions(d, "combat_events").select("user_id", "server_id", "session_start", "session_end", "mob_kills", "deaths")
 
 
-@query("str_5_live_minutes", f"""select server_id, date-date%{MINUTE} date, avg(tps) filter (where tps>=0) tps, max(players) players_online, avg(cpu) cpu_usage, cast(floor(avg(ram)) as bigint) ram_usage,
- max_by(entities, cast(date as hugeint)*100000000+id) entities, max_by(chunks, cast(date as hugeint)*100000000+id) chunks_loaded, max_by(disk, cast(date as hugeint)*100000000+id) free_disk_space,
- avg(mspt) filter (where mspt>0) mspt_average, quantile_cont(mspt,0.95) filter (where mspt>0) mspt_95th from pulses group by server_id, date-date%{MINUTE} having date-date%{MINUTE}<{SETTLED}""",
-    doubles="tps cpu_usage mspt_average mspt_95th")
+@query("str_5_live_minutes", ROLLUP_SQL, doubles="tps cpu_usage mspt_average mspt_jitter_avg mspt_jitter_max")
 def _(d):
-    done = d.spark.read.parquet(replay.drain(rollups.live_minutes(Live(d, "events").pulses), "minutes"))
-    return done.where(F.col("date") < _settled(d))
+    return _whole(d, "pulses", rollups.live_minutes, "minutes")
 
 
 @query("str_7_live_pings", f"""select user_id, server_id, max(date) date, coalesce(min(value) filter (where value>0 and value<=4000),-1) min_ping,
  coalesce(max(value) filter (where value>0 and value<=4000),-1) max_ping, cast(trunc(quantile_cont(value,0.5)) as double) avg_ping from raw_pings
- group by user_id, server_id, floor(date/{HOUR}) having floor(date/{HOUR})*{HOUR}<(select max(date) from raw_pings)-{2 * HOUR}""", doubles="avg_ping")
+ group by user_id, server_id, floor(date/{HOUR})""", doubles="avg_ping")
 def _(d):
-    done = d.spark.read.parquet(replay.drain(rollups.live_pings(Live(d, "events").raw_pings, width="1 hour"), "pings"))
-    newest = d.raw_pings.agg(F.max("date")).scalar()
-    return done.where(F.col("date") - F.pmod("date", F.lit(HOUR)) < newest - 2 * HOUR)
+    return _whole(d, "raw_pings", lambda pings: rollups.live_pings(pings, width="1 hour"), "pings")
 
 
 @query("str_0_activity_sessions", f"""with g as (select user_id, date, case when date-lag(date) over (partition by user_id order by date)<{30 * MINUTE} then 0 else 1 end n from session_events),
  s as (select user_id, date, sum(n) over (partition by user_id order by date rows unbounded preceding) k from g)
- select user_id, min(date) session_start, max(date) session_end, count(*) "events" from s group by user_id, k having max(date)<{SETTLED}""")
+ select user_id, min(date) session_start, max(date) session_end, count(*) "events" from s group by user_id, k""")
 def _(d):
-    done = d.spark.read.parquet(replay.drain(rollups.activity_sessions(Live(d, "events").session_events), "activity"))
-    return done.where(F.col("session_end") < _settled(d))
+    return _whole(d, "session_events", rollups.activity_sessions, "activity")
+
+
+@query("str_11_late_side_output", f"""with a as (select *, least(cast(floor((date-{T0}+case when event_id%40=0 then {2 * DAY} else 0 end)/{5 * DAY}) as int), 5) arrival from session_events),
+ m as (select arrival, max(max(date)) over (order by arrival rows between unbounded preceding and 1 preceding)-{DELAY} watermark from a group by arrival)
+ select a.user_id, a.event_id, a.date, a.kind from a join m on m.arrival=a.arrival where a.date<=m.watermark""")
+def _(d):
+    """Events that arrive two days late, in six batches: the side output of the running session stream."""
+    late = F.when(F.col("event_id") % 40 == 0, 2 * DAY).otherwise(0)
+    arrival = F.least(F.floor((F.col("date") - T0 + late) / (5 * DAY)).cast("int"), F.lit(5))
+    arriving = d.session_events.withColumn("arrival", arrival)
+    folder = shared_folder(d.spark, "arrivals")
+    for (n,) in sorted(arriving.select("arrival").distinct().collect()):
+        arriving.where(F.col("arrival") == n).drop("arrival").coalesce(1).write.mode("append").parquet(folder)
+    source = replay.file_stream(d.spark, folder, d.session_events.schema, files_per_batch=1)
+    build = lambda events: sessions.live_rows(events, session_timeout=None)
+    rows = d.spark.read.parquet(replay.drain_closed(source, build, "late"))
+    return sessions.late_events(rows).select("user_id", "event_id", "date", "kind")
 
 
 @query("str_8_metric_refresh", """select 'mean_deaths' provider, user_id as key, avg(deaths) double_value from sessions where user_id in (select user_id from session_events where kind='leave') group by user_id""",
@@ -92,8 +139,5 @@ def _(d):
 @query("str_9_preserved_sessions", f"""select user_id, server_id, date session_start, {NOW} session_end from (select *, lead(date) over (partition by user_id order by date, event_id) nd from ({CHANGES}) c) x
  where kind='join' and nd is null""")
 def _(d):
-    from arenalytics.operators.lifecycle import close_open_sessions
-    from arenalytics.session import shared_folder
-
-    folder = batches.preserve_open_sessions(close_open_sessions(d.session_events, NOW), shared_folder(d.spark, "stop"), 1)
+    folder = batches.preserve_open_sessions(life.close_open_sessions(d.session_events, NOW), shared_folder(d.spark, "stop"), 1)
     return d.spark.read.parquet(folder).select("user_id", "server_id", "session_start", "session_end")
