@@ -4,11 +4,16 @@ A plain ``Window.partitionBy(server)`` sends the whole history of a server to on
 cut each key into time chunks, run the window inside ``(key, chunk)``, and carry the last state of a
 chunk into the next through a summary with one row per chunk. Inputs are collapsed to one row per
 ``(key, ts)`` first, so a chunk never holds more rows than it has milliseconds.
+
+Where only totals over the steps of a key are asked for, :func:`step_totals` needs no carry on the rows: a chunk becomes one
+summary (first state, last state, totals of its inner steps), summaries are put in order, and the steps between them are
+added. Rows are shuffled once, whatever the number of measures. :func:`interval_sums` cuts intervals at chunk edges
+instead, so that a piece is settled where its chunk is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,6 +85,42 @@ def gaps(df: DataFrame, keys: Sequence[str], ts: str, width: int = HOUR) -> Data
     )
 
 
+Measure = Callable[[Column, Column], Column]
+"""A value of a step, made from the structs (ts, state) of two neighbouring instants; the first is null at a key's start."""
+
+
+def step_totals(
+    df: DataFrame, keys: Sequence[str], ts: str, sums: Mapping[str, Measure], maxima: Mapping[str, Measure] | None = None,
+    state: Mapping[str, Column] | None = None, width: int = HOUR,
+) -> DataFrame:
+    """Per key: sums and maxima over all steps from one distinct instant to the next, ``steps`` (their number) and ``last``.
+
+    ``state`` reduces the rows of one instant to the columns that measures read, with ``ts``, from their two structs. A key's
+    first instant is a step from nothing, which measures see as null; it isn't counted in ``steps``. Null measures add
+    nothing. Without keys there is one row; without rows it holds zeros and nulls.
+    """
+    state, maxima = dict(state or {}), dict(maxima or {})
+    rows = _chunked(df, ts, width)
+    columns = sorted({ts, *keys, CHUNK} | set(df.columns)) if state else [*keys, CHUNK, ts]
+    dealt = rows.select(*columns).repartition(*keys, CHUNK)
+    instants = dealt.groupBy(*keys, CHUNK, ts).agg(*[c.alias(n) for n, c in state.items()]) if state else dealt.distinct()
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(ts)
+    here = F.struct(ts, *state)
+    walked = instants.select(*keys, CHUNK, here.alias("_here"), F.lag(here).over(inside).alias("_prev"))
+    prev, cur = F.col("_prev"), F.col("_here")
+    inner = {n: F.sum(F.when(prev.isNotNull(), m(prev, cur))) for n, m in sums.items()}
+    inner |= {n: F.max(F.when(prev.isNotNull(), m(prev, cur))) for n, m in maxima.items()}
+    summaries = walked.groupBy(*keys, CHUNK).agg(
+        F.min("_here").alias("_first"), F.max("_here").alias("_last"), (F.count("*") - 1).alias("_inner_steps"), *[c.alias(n) for n, c in inner.items()]
+    )
+    joined = summaries.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK)))
+    before, first = F.col("_before"), F.col("_first")
+    totals = [F.sum(F.coalesce(F.col(n), F.lit(0)) + F.coalesce(m(before, first), F.lit(0))).alias(n) for n, m in sums.items()]
+    totals += [F.max(F.greatest(F.col(n), m(before, first))).alias(n) for n, m in maxima.items()]
+    steps = F.sum(F.col("_inner_steps") + F.when(before.isNotNull(), 1).otherwise(0))
+    return joined.groupBy(*keys).agg(*totals, F.coalesce(steps, F.lit(0)).alias("steps"), F.max("_last")[ts].alias("last"))
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: str, totals: dict[str, str | Column], width: int, reverse: bool = False
 ) -> DataFrame:
@@ -137,26 +178,24 @@ def interval_sums(
 ) -> DataFrame:
     """Sums of the points with ``start <= ts < end`` for every interval of the same keys.
 
-    Running totals are read at both ends and subtracted, so the work is linear in points plus intervals
-    however many of them overlap: no point is paired with an interval.
+    One sweep: intervals are cut at chunk edges, points and the signed ends of the pieces are one stream, and a piece is
+    the running total at its end less that at its start. Work is linear in points and pieces however many intervals overlap:
+    no point is paired with an interval, and a chunk needs nothing from another.
     """
-    edges = intervals.select(
-        interval_id,
-        *keys,
-        F.explode(
-            F.array(
-                F.struct((F.col(end) - 1).alias(ts), F.lit(1).alias("_sign")),
-                F.struct((F.col(start) - 1).alias(ts), F.lit(-1).alias("_sign")),
-            )
-        ).alias("_e"),
-    ).select(interval_id, *keys, f"_e.{ts}", "_e._sign")
-    measured = points.select(*keys, ts, *[F.col(e).alias(n) if isinstance(e, str) else e.alias(n) for n, e in totals.items()])
-    silent = edges.select(*keys, ts).distinct().select(*keys, ts, *[F.lit(0).cast(measured.schema[n].dataType).alias(n) for n in totals])
-    upto = running_total(measured.unionByName(silent), keys, ts, {n: n for n in totals}, width)
+    cut = intervals.select(interval_id, *keys, F.col(start).alias("_from"), F.greatest(F.col(end) - 1, F.col(start)).alias("_last"), F.col(end).alias("_to"))
+    chunks = F.sequence(bucket("_from", width), bucket("_last", width), F.lit(width).cast("bigint"))
+    pieces = cut.select("*", F.explode(chunks).alias(CHUNK))
+    low = F.greatest(F.col("_from"), F.col(CHUNK))
+    high = F.greatest(F.least(F.col("_to"), F.col(CHUNK) + width), low)
+    ends = F.explode(F.array(F.struct(high.alias("at"), F.lit(1).alias("sign")), F.struct(low.alias("at"), F.lit(-1).alias("sign"))))
+    ends = pieces.select(interval_id, *keys, CHUNK, ends.alias("_e")).select(interval_id, *keys, CHUNK, F.col("_e.at").alias("_at"), F.col("_e.sign").alias("_sign"))
+    measured = _chunked(points, ts, width).select(*keys, CHUNK, F.col(ts).alias("_at"), *[F.col(e).alias(n) if isinstance(e, str) else e.alias(n) for n, e in totals.items()])
+    upto = Window.partitionBy(*keys, CHUNK).orderBy("_at", F.col("_sign").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = measured.unionByName(ends, allowMissingColumns=True).select("*", *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(f"_upto_{n}") for n in totals])
     return (
-        edges.join(upto, [*keys, ts])
+        swept.where(F.col("_sign").isNotNull())
         .groupBy(interval_id)
-        .agg(*[F.sum(F.col("_sign") * F.col(n)).alias(n) for n in totals])
+        .agg(*[F.sum(F.col("_sign") * F.col(f"_upto_{n}")).alias(n) for n in totals])
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arenalytics.functions.clock import HOUR, bucket
 from arenalytics.functions.ordered import last_known
 
 
@@ -66,10 +67,26 @@ def online_on(samples, instants: DataFrame) -> DataFrame:
 
 
 def lonely_joins(sessions, samples, by=("server_id",)) -> DataFrame:
-    """Joins that found nobody online. Joins are counted per instant before the lookup."""
-    joins = sessions.groupBy("server_id", F.col("session_start").alias("date")).agg(F.count("*").alias("n"))
-    seen = joins.join(online_on(samples, joins), ["server_id", "date"])
-    return seen.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("players_online") == 0, F.col("n"))), F.lit(0)).alias("lonely_joins"))
+    """Joins that found nobody online, by the newest sample at or before them.
+
+    Samples and joins of a server are one stream, cut into chunks. A chunk's summary holds its lonely joins, the joins before
+    its first sample, which the chunks before decide on, and its last sample; rows are shuffled once.
+    """
+    server = ["server_id"]
+    state = samples.select(*server, "date", F.col("id").alias("tie"), "players_online", F.lit(0).alias("join"))
+    asked = sessions.select(*server, F.col("session_start").alias("date"), F.lit(None).cast("bigint").alias("tie"), F.lit(None).cast("int").alias("players_online"), F.lit(1).alias("join"))
+    rows = state.unionByName(asked).withColumn("chunk", bucket("date", HOUR)).repartition(*server, "chunk")
+    upto = Window.partitionBy(*server, "chunk").orderBy("date", "join", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.last(F.when(F.col("join") == 0, F.struct("players_online")), ignorenulls=True).over(upto)
+    joined = F.col("join") == 1
+    summaries = rows.withColumn("known", known).groupBy(*server, "chunk").agg(
+        F.count_if(joined).alias("n"), F.count_if(joined & (F.col("known.players_online") == 0)).alias("lonely"), F.count_if(joined & F.col("known").isNull()).alias("first"),
+        F.max(F.when(~joined, F.struct("date", "tie", "players_online"))).alias("last"),
+    )
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy(*server).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    alone = F.col("lonely") + F.when(F.col("before.players_online") == 0, F.col("first")).otherwise(0)
+    counted = summaries.withColumn("before", before).groupBy(*by).agg(F.sum("n").alias("n"), F.coalesce(F.sum(alone), F.lit(0)).alias("lonely_joins"))
+    return counted.where((F.col("n") > 0) | F.lit(not by)).select(*by, "lonely_joins")
 
 
 def server_online_at(samples, instants: DataFrame, limit: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arenalytics.functions.clock import DAY, HOUR, MINUTE, bucket
-from arenalytics.functions.ordered import gaps, with_previous
+from arenalytics.functions.ordered import step_totals, with_previous
 from arenalytics.functions.stats import ratio
 from arenalytics.functions.windows import scope, strictly_inside
 from arenalytics.operators.sessions import merge_rows
@@ -88,8 +88,13 @@ def _keys(merge_servers: bool) -> list[str]:
     return [] if merge_servers else ["server_id"]
 
 
-def _by_server(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(*aggs)
+def _gap(prev: Column, cur: Column) -> Column:
+    return cur["date"] - prev["date"]
+
+
+def _gap_totals(samples: DataFrame, keys: Sequence[str], sums: dict) -> DataFrame:
+    """Sums over the gaps between neighbouring instants; keys with a single instant have no gap and no row."""
+    return step_totals(samples, keys, "date", sums).where((F.col("steps") > 0) | F.lit(not keys)).select(*keys, *[F.coalesce(n, F.lit(0)).alias(n) for n in sums])
 
 
 def occupied_time(samples, a, b, servers=None, merge_servers: bool = False) -> DataFrame:
@@ -97,10 +102,8 @@ def occupied_time(samples, a, b, servers=None, merge_servers: bool = False) -> D
 
     A run ends at a gap of three minutes or more, so its length is the sum of its shorter inner gaps.
     """
-    keys = _keys(merge_servers)
     busy = dated(samples, a, b, servers).where(F.col("players_online") > 0)
-    steps = gaps(busy, keys, "date")
-    return _by_server(steps, keys, F.coalesce(F.sum(F.when(F.col("gap") < DOWN_GAP, F.col("gap"))), F.lit(0)).alias("occupied"))
+    return _gap_totals(busy, _keys(merge_servers), {"occupied": lambda p, c: F.when(_gap(p, c) < DOWN_GAP, _gap(p, c))})
 
 
 def up_and_down_time(samples, a, b, servers=None, merge_servers: bool = False, exclusive: bool = False) -> DataFrame:
@@ -109,17 +112,14 @@ def up_and_down_time(samples, a, b, servers=None, merge_servers: bool = False, e
     Limits are ≤ 2 min and ≥ 3 min; ``exclusive`` uses < 2 min and > 3 min as the in-memory form does.
     ``merge_servers`` interleaves the samples of all servers.
     """
-    keys = _keys(merge_servers)
-    gap = F.col("gap")
-    up = gap < UP_GAP if exclusive else gap <= UP_GAP
-    down = gap > DOWN_GAP if exclusive else gap >= DOWN_GAP
-    steps = gaps(dated(samples, a, b, servers), keys, "date")
-    return _by_server(
-        steps,
-        keys,
-        F.coalesce(F.sum(F.when(up, gap)), F.lit(0)).alias("uptime"),
-        F.coalesce(F.sum(F.when(down, gap)), F.lit(0)).alias("downtime"),
-    )
+
+    def up(p, c):
+        return F.when(_gap(p, c) < UP_GAP if exclusive else _gap(p, c) <= UP_GAP, _gap(p, c))
+
+    def down(p, c):
+        return F.when(_gap(p, c) > DOWN_GAP if exclusive else _gap(p, c) >= DOWN_GAP, _gap(p, c))
+
+    return _gap_totals(dated(samples, a, b, servers), _keys(merge_servers), {"uptime": up, "downtime": down})
 
 
 def _instants(samples: DataFrame, *aggs: Column) -> DataFrame:
@@ -129,25 +129,27 @@ def _instants(samples: DataFrame, *aggs: Column) -> DataFrame:
 
 def occupied_time_by_sample(samples, a, b, servers=None) -> DataFrame:
     """The in-memory form: gaps of at most three minutes that end in a sample with players online."""
-    points = _instants(dated(samples, a, b, servers), F.max("players_online").alias("players_online"))
-    steps = with_previous(points, ["server_id"], "date")
-    gap = F.col("date") - F.col("prev.date")
-    return steps.groupBy("server_id").agg(
-        F.coalesce(F.sum(F.when((F.col("players_online") > 0) & (gap <= DOWN_GAP), gap)), F.lit(0)).alias("occupied")
-    )
+    busy = {"occupied": lambda p, c: F.when((c["players_online"] > 0) & (_gap(p, c) <= DOWN_GAP), _gap(p, c))}
+    most = {"players_online": F.max("players_online")}
+    return step_totals(dated(samples, a, b, servers), ["server_id"], "date", busy, state=most).select("server_id", "occupied")
+
 
+def _lowest() -> dict[str, Column]:
+    """The lowest TPS stands for an instant."""
+    return {"tps": F.min("tps")}
 
-def tps_steps(samples) -> DataFrame:
-    """Each instant with the TPS of the previous one; the lowest TPS stands for an instant."""
-    return with_previous(_instants(samples, F.min("tps").alias("tps")), ["server_id"], "date", ["tps"])
+
+def _counted(condition: Column) -> Column:
+    return F.when(condition, 1).otherwise(0)
 
 
 def low_tps_spikes(samples, threshold: float, a, b, servers=None) -> DataFrame:
     """Transitions into ``0 < tps < threshold`` from the start or from ``tps >= threshold``."""
-    steps = tps_steps(dated(samples, a, b, servers))
-    low = (F.col("tps") > 0) & (F.col("tps") < threshold)
-    entered = F.col("prev").isNull() | (F.col("prev.tps") >= threshold)
-    return steps.groupBy("server_id").agg(F.count_if(low & entered).alias("spikes"))
+
+    def entered(p, c):
+        return _counted((c["tps"] > 0) & (c["tps"] < threshold) & (p.isNull() | (p["tps"] >= threshold)))
+
+    return step_totals(dated(samples, a, b, servers), ["server_id"], "date", {"spikes": entered}, state=_lowest()).select("server_id", "spikes")
 
 
 def is_low(tps: Column, threshold: float) -> Column:
@@ -156,9 +158,11 @@ def is_low(tps: Column, threshold: float) -> Column:
 
 def low_tps_spikes_by_sample(samples, threshold: float, a, b, servers=None) -> DataFrame:
     """The in-memory form: any sample that is not low (−1 included) ends a spike."""
-    steps = tps_steps(dated(samples, a, b, servers))
-    was = F.coalesce(is_low(F.col("prev.tps"), threshold), F.lit(False))
-    return steps.groupBy("server_id").agg(F.count_if(is_low(F.col("tps"), threshold) & ~was).alias("spikes"))
+
+    def entered(p, c):
+        return _counted(is_low(c["tps"], threshold) & ~F.coalesce(is_low(p["tps"], threshold), F.lit(False)))
+
+    return step_totals(dated(samples, a, b, servers), ["server_id"], "date", {"spikes": entered}, state=_lowest()).select("server_id", "spikes")
 
 
 def peaks(samples, now: int | None = None, recent: int = 2 * DAY, by=("server_id",)) -> DataFrame:
@@ -275,20 +279,21 @@ def sample_block(samples, a, b, threshold: float, servers=None, by=()) -> DataFr
     return in_window(samples, a, b, servers).groupBy(*by).agg(*average_columns(), *low_tps_columns(threshold), *ratio_columns())
 
 
+def _starts(samples, gap: int, servers) -> DataFrame:
+    """(server_id, start, last): the newest sample that follows a gap longer than ``gap``, or the first one, and the last."""
+    start = {"start": lambda p, c: F.when(p.isNull() | (_gap(p, c) > gap), c["date"])}
+    return step_totals(scope(samples, servers), ["server_id"], "date", {}, start).select("server_id", "start", "last")
+
+
 def latest_start(samples, gap: int = DOWN_GAP, servers=None) -> DataFrame:
     """The newest sample that follows a gap longer than ``gap``, else the first sample of the server."""
-    chosen = scope(samples, servers)
-    starts = gaps(chosen, ["server_id"], "date").where(F.col("gap") > gap).select("server_id", F.col("ts").alias("start"))
-    first = chosen.groupBy("server_id").agg(F.min("date").alias("start"))
-    return starts.unionByName(first).groupBy("server_id").agg(F.max("start").alias("start"))
+    return _starts(samples, gap, servers).select("server_id", "start")
 
 
 def current_uptime(samples, now: int, gap: int = DOWN_GAP, servers=None) -> DataFrame:
     """``now − latest start`` of the servers whose last sample is at most ``gap`` old."""
-    last = scope(samples, servers).groupBy("server_id").agg(F.max("date").alias("last"))
-    started = latest_start(samples, gap, servers)
-    merged = merge_rows([last, started], ["server_id"], ["last", "start"])
-    return merged.where(F.lit(now) - F.col("last") <= gap).select("server_id", (F.lit(now) - F.col("start")).alias("uptime"))
+    found = _starts(samples, gap, servers)
+    return found.where(F.lit(now) - F.col("last") <= gap).select("server_id", (F.lit(now) - F.col("start")).alias("uptime"))
 
 
 def share_above(samples, threshold: float, a, b, servers=None, by=("server_id",)) -> DataFrame:
@@ -337,56 +342,84 @@ def sample_numbers(samples, now: int, by=("server_id",), windows=WINDOWS) -> Dat
     return dated(samples, now - max(windows.values()), now).groupBy(*by).agg(*aggs)
 
 
+def _gap_measures(now: int, windows) -> dict:
+    """Up- and down-time of every window; a gap counts where both its ends lie inside."""
+    out = {}
+    for tag, span in windows.items():
+        inside = lambda p, span=span: p["date"] >= now - span
+        out[f"server_downtime_{tag}"] = lambda p, c, inside=inside: F.when(inside(p) & (_gap(p, c) > DOWN_GAP), _gap(p, c)).otherwise(0)
+        out[f"server_uptime_{tag}"] = lambda p, c, inside=inside: F.when(inside(p) & (_gap(p, c) < UP_GAP), _gap(p, c)).otherwise(0)
+    return out
+
+
+def _spike_measures(now: int, threshold: float, windows) -> dict:
+    def entered(span):
+        def measure(p, c):
+            was = F.coalesce((p["date"] >= now - span) & is_low(p["tps"], threshold), F.lit(False))
+            return _counted((c["date"] >= now - span) & is_low(c["tps"], threshold) & ~was)
+
+        return measure
+
+    return {f"low_tps_spikes_{tag}": entered(span) for tag, span in windows.items()}
+
+
 def gap_numbers(samples, now: int, windows=WINDOWS) -> DataFrame:
     """Per server up- and down-time of every window; a gap counts where both its ends lie inside."""
-    steps = gaps(dated(samples, now - max(windows.values()), now), ["server_id"], "date")
-    gap, aggs = F.col("gap"), []
-    for tag, span in windows.items():
-        inside = F.col("prev_ts") >= now - span
-        aggs.append(F.sum(F.when(inside & (gap > DOWN_GAP), gap).otherwise(0)).alias(f"server_downtime_{tag}"))
-        aggs.append(F.sum(F.when(inside & (gap < UP_GAP), gap).otherwise(0)).alias(f"server_uptime_{tag}"))
-    return steps.groupBy("server_id").agg(*aggs)
+    return _gap_totals(dated(samples, now - max(windows.values()), now), ["server_id"], _gap_measures(now, windows))
 
 
 def spike_numbers(samples, now: int, threshold: float, windows=WINDOWS) -> DataFrame:
-    steps = tps_steps(dated(samples, now - max(windows.values()), now))
-    low, was = is_low(F.col("tps"), threshold), F.coalesce(is_low(F.col("prev.tps"), threshold), F.lit(False))
-    aggs = []
-    for tag, span in windows.items():
-        edge = now - span
-        prev_inside = F.coalesce(F.col("prev.date") >= edge, F.lit(False))
-        aggs.append(F.count_if((F.col("date") >= edge) & low & ~(prev_inside & was)).alias(f"low_tps_spikes_{tag}"))
-    return steps.groupBy("server_id").agg(*aggs)
+    measures = _spike_measures(now, threshold, windows)
+    found = step_totals(dated(samples, now - max(windows.values()), now), ["server_id"], "date", measures, state=_lowest())
+    return found.select("server_id", *measures)
+
+
+def step_numbers(samples, now: int, threshold: float, windows=WINDOWS) -> DataFrame:
+    """Up-time, down-time and spikes per server from one pass."""
+    measures = {**_gap_measures(now, windows), **_spike_measures(now, threshold, windows)}
+    found = step_totals(dated(samples, now - max(windows.values()), now), ["server_id"], "date", measures, state=_lowest())
+    return found.select("server_id", *measures)
 
 
 def performance_numbers(samples, now: int, threshold: float, windows=WINDOWS) -> DataFrame:
     """The whole performance block per server: spikes, up- and down-time, averages, extremes."""
     columns = [f"{c}_{t}" for t in windows for c in [*NUMBER_COLUMNS, *GAP_COLUMNS, "low_tps_spikes"]]
-    frames = [sample_numbers(samples, now, windows=windows), gap_numbers(samples, now, windows), spike_numbers(samples, now, threshold, windows)]
+    frames = [sample_numbers(samples, now, windows=windows), step_numbers(samples, now, threshold, windows)]
     merged = merge_rows(frames, ["server_id"], columns)
     return merged.fillna(0, [f"{c}_{t}" for t in windows for c in [*GAP_COLUMNS, "low_tps_spikes"]])
 
 
-def pooled_spikes(samples, now: int, threshold: float, windows=WINDOWS) -> DataFrame:
-    """Spikes over the samples of all servers laid end to end in server order.
+def _edge_measures(now: int, threshold: float, windows) -> dict:
+    """The first and the last instant of every window, as structs that order by date, with whether it is low."""
+    out = {}
+    for tag, span in windows.items():
+        for name, sign in (("first", -1), ("last", 1)):
+            out[f"{name}_{tag}"] = lambda p, c, span=span, sign=sign: F.when(
+                c["date"] >= now - span, F.struct((sign * c["date"]).alias("date"), is_low(c["tps"], threshold).alias("low"))
+            )
+    return out
+
 
-    Per-server spikes, less one for every server that starts low right after a server that ended low.
+def pooled_steps(samples, now: int, threshold: float, windows=WINDOWS) -> DataFrame:
+    """One row, from one pass: per window the up- and down-time summed over the servers, the spikes over the samples of all servers
+    laid end to end in server order, and the number of ``servers``.
+
+    Spikes are those per server, less one for every server that starts low right after a server that ended low.
     """
-    own = spike_numbers(samples, now, threshold, windows)
-    points = _instants(dated(samples, now - max(windows.values()), now), F.min("tps").alias("tps"))
-    edges, aggs = [], []
-    for tag, span in windows.items():
-        inside = F.col("date") >= now - span
-        state = F.when(inside, F.struct("date", is_low(F.col("tps"), threshold).alias("low")))
-        edges += [F.min(state)["low"].alias(f"first_{tag}"), F.max(state)["low"].alias(f"last_{tag}")]
-    ends = points.groupBy("server_id").agg(*edges)
+    measures = {**_gap_measures(now, windows), **_spike_measures(now, threshold, windows)}
+    chosen = dated(samples, now - max(windows.values()), now)
+    found = step_totals(chosen, ["server_id"], "date", measures, _edge_measures(now, threshold, windows), state=_lowest())
     order = Window.partitionBy().orderBy("server_id").rowsBetween(Window.unboundedPreceding, -1)
     for tag in windows:
-        joined = F.col(f"first_{tag}") & F.last(f"last_{tag}", ignorenulls=True).over(order)
-        aggs.append(F.when(F.coalesce(joined, F.lit(False)), -1).otherwise(0).cast("bigint").alias(f"low_tps_spikes_{tag}"))
-    return own.unionByName(ends.select("server_id", *aggs)).agg(
-        *[F.coalesce(F.sum(f"low_tps_spikes_{t}"), F.lit(0)).alias(f"low_tps_spikes_{t}") for t in windows]
-    )
+        joined = F.col(f"first_{tag}.low") & F.last(f"last_{tag}.low", ignorenulls=True).over(order)
+        again = F.when(F.coalesce(joined, F.lit(False)), 1).otherwise(0)
+        found = found.withColumn(f"low_tps_spikes_{tag}", F.col(f"low_tps_spikes_{tag}") - again)
+    return found.agg(F.count("*").alias("servers"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in measures])
+
+
+def pooled_spikes(samples, now: int, threshold: float, windows=WINDOWS) -> DataFrame:
+    """Spikes over the samples of all servers laid end to end in server order."""
+    return pooled_steps(samples, now, threshold, windows).select(*[f"low_tps_spikes_{t}" for t in windows])
 
 
 def metric_series(samples, metric: str, a, b, servers=None) -> DataFrame:

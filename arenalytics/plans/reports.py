@@ -202,7 +202,7 @@ def last_days(sessions, user_info, samples, now: int, low_tps: float, span: int
     mean = tps.dated(samples, now - span, now).groupBy(*by).agg(F.avg(F.when(F.col("tps") >= 0, F.col("tps"))).alias("average_tps"))
     frames = [
         *_session_numbers(sessions, window, offset, by), _new_numbers(user_info, window, offset, by), retained, mean,
-        tps.spike_numbers(samples, now, low_tps, {"7d": span}), tps.gap_numbers(samples, now, {"7d": span}),
+        tps.step_numbers(samples, now, low_tps, {"7d": span}),
     ]
     counts = ["unique_players_7d", "unique_players_avg_7d", "new_players_7d", "new_players_retention", "low_tps_spikes_7d", "server_downtime_7d"]
     merged = merge_rows(frames, by, [*counts, "average_tps"]).fillna(0, counts)
@@ -363,15 +363,12 @@ def performance(samples, now: int, low_tps: float) -> DataFrame:
 def network_performance(samples, now: int, low_tps: float, windows=tps.WINDOWS) -> DataFrame:
     """Averages and spikes over the pooled samples; up- and down-time per server, summed and averaged over the servers."""
     pooled = tps.sample_numbers(samples, now, (), windows).drop(*[f"{c}_{t}" for t in windows for c in ("max_disk", "min_disk")])
-    spikes = tps.pooled_spikes(samples, now, low_tps, windows)
-    # Servers with a single sample have no gap but count in the mean.
-    seen = tps.dated(samples, now - max(windows.values()), now).groupBy("server_id").agg(F.lit(1).alias("one"))
     names = [f"{c}_{t}" for t in windows for c in tps.GAP_COLUMNS]
-    per_server = merge_rows([tps.gap_numbers(samples, now, windows), seen], ["server_id"], [*names, "one"])
-    summed = per_server.agg(F.count("*").alias("servers"), *[_zero(F.sum(n)).alias(n) for n in names])
-    stops = summed.select("*", *[int_ratio(F.col(n), F.col("servers")).alias(f"avg_{n}") for n in names]).drop("servers")
-    columns = [*pooled.columns, *spikes.columns, *stops.columns]
-    return merge_rows([pooled, spikes, stops], [], columns)
+    spikes = [f"low_tps_spikes_{t}" for t in windows]
+    # Servers with a single sample have no gap but count in the mean.
+    steps = tps.pooled_steps(samples, now, low_tps, windows)
+    steps = steps.select(*spikes, *names, *[int_ratio(F.col(n), F.col("servers")).alias(f"avg_{n}") for n in names])
+    return merge_rows([pooled, steps], [], [*pooled.columns, *steps.columns])
 
 
 def combat_overview(kills, sessions, users, now: int) -> DataFrame:

@@ -156,14 +156,14 @@ def server_list(servers, user_info, sessions, samples, now: int, threshold: floa
     )
     mean = samples.where(in_week & (F.col("tps") >= 0)).groupBy("server_id").agg(F.avg("tps").alias("avg_tps"))
     window = {"7d": WEEK}
-    spikes = tps.spike_numbers(samples, now, threshold, window).withColumnRenamed("low_tps_spikes_7d", "low_tps_spikes")
-    stops = tps.gap_numbers(samples, now, window).select("server_id", F.col("server_downtime_7d").alias("downtime"))
+    steps = tps.step_numbers(samples, now, threshold, window)
+    steps = steps.select("server_id", F.col("low_tps_spikes_7d").alias("low_tps_spikes"), F.col("server_downtime_7d").alias("downtime"))
     running = tps.current_uptime(samples, now, gap).withColumnRenamed("uptime", "current_uptime")
     columns = [
         "players", "new_players", "unique_players", "last_peak_date", "last_peak_players", "best_peak_date", "best_peak_players",
         "avg_tps", "online", "low_tps_spikes", "downtime", "current_uptime",
     ]
-    merged = merge_rows([people, unique, peaks, mean, spikes, stops, running], ["server_id"], columns)
+    merged = merge_rows([people, unique, peaks, mean, steps, running], ["server_id"], columns)
     game = servers.where(~F.col("is_proxy")).select(F.col("id").alias("server_id"), "uuid", "name")
     counts = ["players", "new_players", "unique_players", "low_tps_spikes", "downtime"]
     return game.join(merged, "server_id", "left").fillna(0, counts)

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import catalog
 from arenalytics import schema
 from arenalytics.operators import activity, metrics, segments
 from arenalytics.operators.segments import Filter
@@ -161,3 +162,34 @@ def test_sized_for():
     big = sized_for(100 * 2**40, 8000)
     assert int(big["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (128 * 2**20)
     assert int(sized_for(2**30, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+@pytest.fixture(scope="module")
+def on_disk(spark, tmp_path_factory):
+    """The derived tables as stored ones, so that a plan shows one scan per read of a table."""
+    folder = tmp_path_factory.mktemp("tables")
+    stored = Domain(spark, SMALL)
+    for name in ("samples", "sessions", "ping", "users", "user_info", "servers"):
+        getattr(Domain(spark, SMALL), name).write.parquet(str(folder / name))
+        stored._made[name] = spark.read.parquet(str(folder / name))
+    return stored
+
+
+@pytest.mark.parametrize(
+    ("name", "scans", "exchanges"),
+    [
+        ("tps_6_occupied_time", 1, 2), ("tps_7_uptime", 1, 2), ("tps_8_downtime", 1, 2), ("tps_9_low_tps_spikes", 1, 2),
+        ("tps_10_up_and_down_by_sample", 1, 2), ("tps_10_occupied_by_sample", 1, 2), ("tps_10_spikes_by_sample", 1, 2),
+        ("tps_18_latest_start", 1, 2), ("tps_19_current_uptime", 1, 2), ("tps_23_performance_numbers", 2, 4),
+        ("join_8_ping_per_session", 2, 2), ("join_7b_lonely_joins", 2, 2), ("rep_15_network_performance", 2, 6),
+    ],
+)
+def test_scans_and_exchanges(spark, on_disk, name, scans, exchanges):
+    catalog.load()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(catalog.FUNCTIONS[name](on_disk))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall(r"^\(\d+\) Scan parquet", text, re.MULTILINE)) == scans
+    assert len(re.findall(r"^\(\d+\) (?:Reused)?Exchange", text, re.MULTILINE)) <= exchanges
