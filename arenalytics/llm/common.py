@@ -84,11 +84,15 @@ def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     ).cast(pa.binary())
 
 
+LONG_KEY = 256
+"""Longer keys are not kept: they hardly come again, and a few of them could fill a worker's memory."""
+
+
 class Cache(dict):
     """A dictionary that makes missing values by a function of many keys.
 
     When it is full, its entries become the older generation, from which those still in use come back; so it holds
-    ``2 * limit`` entries at most.
+    ``2 * limit`` entries at most, none with a key of over ``LONG_KEY``.
     """
 
     def __init__(self, make: Callable[[list], list], limit: int = 250_000):
@@ -106,6 +110,6 @@ class Cache(dict):
             if len(self) + len(found) > self.limit:
                 self.older = dict(self)
                 self.clear()
-            self.update(found)
+            self.update((k, v) for k, v in found.items() if len(k) <= LONG_KEY)
             values = [found[k] if v is None else v for k, v in zip(keys, values, strict=True)]
         return values

@@ -10,7 +10,6 @@ the blocks, an index holds the position of the first token id of each shard; sha
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from functools import lru_cache
 
@@ -86,13 +85,47 @@ def unpack(data: bytes) -> np.ndarray:
     return out[:n]
 
 
-# The tokenizer's own pattern for words, written out for the code points below U+0100 in lower case.
-WORD = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]"
-    r"|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\t-\r \x85\xa0]+"
-)
-WIDE = re.compile(r"[^\x00-\xff]|<\|")
-"""Texts with wider code points, or what may be a special token, are cut at blanks and line breaks only."""
+# The classes and contractions of the tokenizer's own pattern for words, for the code points below U+0100 in
+# lower case: runs of letters, single digits, runs of anything else but white space.
+LETTERS = "abcdefghijklmnopqrstuvwxyzªµºßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+DIGITS = "0123456789²³¹¼½¾"
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0"
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+BLANK, LETTER, DIGIT, OTHER = range(4)
+CLASS = np.array([BLANK if chr(i) in BLANKS else LETTER if chr(i) in LETTERS else DIGIT if chr(i) in DIGITS else OTHER for i in range(256)], np.uint8)
+
+
+def narrow(text: str) -> bool:
+    """Whether the classes hold for a text: no wider code points, and nothing that may be a special token."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
+
+
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Where a word of the pattern starts in lower-case Latin-1 bytes.
+
+    A word starts at a change of class and at every digit. A contraction is one word if its sign is not part of a longer run of
+    signs; what letters follow it start a new word.
+    """
+    kind = CLASS[data]
+    before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+    start = (kind != BLANK) & ((kind != before) | (kind == DIGIT))
+    at = np.flatnonzero((data == ord("'")) & (before != OTHER))
+    padded = np.concatenate((data, np.zeros(3, np.uint8)))
+    free = np.ones(len(at), bool)
+    for word in CONTRACTIONS:
+        held = free.copy()
+        for k, letter in enumerate(word[1:].encode(), 1):
+            held &= padded[at + k] == letter
+        free &= ~held
+        own = at[held]
+        start[own + 1] = False
+        after = own[own + len(word) < len(data)] + len(word)
+        start[after[kind[after] == LETTER]] = True
+    return start
 
 
 class Coder:
@@ -111,8 +144,9 @@ class Coder:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in coded]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Words of the pattern: encoded as one text, and cut at the tokens that end words."""
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Words of the pattern, in Latin-1: encoded as one text, and cut at the tokens that end words."""
+        words = [w.decode("latin-1") for w in words]
         data = self._pieces([" ".join(words)])[0]
         stops = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4
         if len(stops) != len(words) or stops[-1] != len(data):
@@ -120,17 +154,42 @@ class Coder:
         stops = stops.tolist()
         return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
+    def _narrow(self, texts: list[str]) -> list[bytes]:
+        """All texts at once: words by their places, each different word looked up once, ids gathered by word number."""
+        data = np.frombuffer("\n".join(texts).lower().encode("latin-1"), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        start = word_starts(data)
+        solid = CLASS[data] != BLANK
+        places = (np.cumsum(solid) - 1)[start]
+        offsets = np.append(places, np.count_nonzero(solid)).astype(np.int64)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places), buffers).dictionary_encode()
+        _, cuts, kept = words.dictionary.buffers()
+        cuts = np.frombuffer(cuts, np.int64, len(words.dictionary) + 1).tolist()
+        kept = kept.to_pybytes() if kept is not None else b""
+        coded = self.words.all([kept[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        sizes = np.array([len(c) // 4 for c in coded], np.int64)
+        number = words.indices.to_numpy()
+        counts = sizes[number]
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
+        first = (np.cumsum(sizes) - sizes)[number] - upto[:-1]
+        flat = ids[np.repeat(first, counts) + np.arange(upto[-1])]
+        edges = upto[np.searchsorted(np.flatnonzero(start), ends)].tolist()
+        return [flat[a:b].tobytes() for a, b in zip([0, *edges[:-1]], edges, strict=True)]
+
     def texts(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") if WIDE.search(t) else None for t in texts]
+        """Ids of each text. No word goes across blanks or line breaks, so wide texts are cut there."""
         out: list[bytes] = [b""] * len(texts)
-        for cache, chosen in (
-            (self.words, [(i, WORD.findall(t.lower())) for i, t in enumerate(texts) if parts[i] is None]),
-            (self.pieces, [(i, own) for i, own in enumerate(parts) if own is not None]),
-        ):
-            coded, at = cache.all([p for _, own in chosen for p in own]), 0
-            for i, own in chosen:
-                out[i] = b"".join(coded[at : at + len(own)])
-                at += len(own)
+        plain = [i for i, t in enumerate(texts) if narrow(t)]
+        if plain:
+            for i, ids in zip(plain, self._narrow([texts[i] for i in plain]), strict=True):
+                out[i] = ids
+        wide = {i: texts[i].replace("\n", " ").split(" ") for i in sorted(set(range(len(texts))) - set(plain))}
+        coded, at = self.pieces.all([p for own in wide.values() for p in own]), 0
+        for i, own in wide.items():
+            out[i] = b"".join(coded[at : at + len(own)])
+            at += len(own)
         return out
 
 
