@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from arenalytics.llm import queries
+from arenalytics.llm import queries, similar
 from arenalytics.llm.common import stored
 from tests.llm.conftest import odd_rows
 from tests.llm.test_texts import tie
@@ -177,3 +177,18 @@ def test_one_row_per_document(spark, name):
     frame = queries.QUERIES[name](spark, SF_DIR)
     ids = [r.doc_id for r in frame.select("doc_id").collect()]
     assert sorted(ids) == sorted(r.doc_id for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").collect())
+
+
+def test_template_pages_make_few_pairs(spark, monkeypatch):
+    """Pages that differ by a fifth of their shingles, just too much, and some that differ by less: no pairs of the first kind."""
+    rng = random.Random(31)
+    pages, near = 3000, 200
+    template, other = prose(rng, 200), prose(rng, 200)
+    rows = [(k, f"{template} {prose(rng, 40)}") for k in range(pages)] + [(pages + k, f"{other} {prose(rng, 15)}") for k in range(near)]
+    asked = []
+    whole = similar.sharing
+    monkeypatch.setattr(similar, "sharing", lambda made, pairs: asked.append(pairs.count()) or whole(made, pairs))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.near_dedup_filter(spark, docs.repartition(3), "").collect()}
+    assert left == set(range(pages + 1))
+    assert sum(asked) < pages * pages / 500
