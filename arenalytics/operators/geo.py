@@ -68,6 +68,63 @@ def _inside(number: Column, first: str, bits: int) -> Column:
     return (number >= a) & (number < a + 2 ** (32 - bits))
 
 
+V4 = "00000000000000000000ffff"
+"""The first 96 bits of an IPv4 address as an IPv6 one, in hexadecimal digits."""
+
+
+def address_bits(ip: Column) -> Column:
+    """An IPv4 or IPv6 text as 128 binary digits, IPv4 as its mapped IPv6 form; null when it is neither."""
+
+    def dotted(text: Column) -> Column:
+        parts = F.split(text, r"\.")
+        return F.concat(*[F.lpad(F.lower(F.hex(F.get(parts, F.lit(i)).cast("int"))), 2, "0") for i in range(4)])
+
+    def groups(text: Column) -> Column:
+        """Groups of four digits; a dotted end is two groups."""
+        listed = F.filter(F.split(text, ":"), lambda g: g != "")
+        return F.flatten(F.transform(listed, lambda g: F.when(g.contains("."), F.array(F.substring(dotted(g), 1, 4), F.substring(dotted(g), 5, 4))).otherwise(F.array(F.lpad(F.lower(g), 4, "0")))))
+
+    sides = F.split(ip, "::", -1)
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    zeros = F.array_repeat(F.lit("0000"), F.when(F.size(sides) == 2, missing).otherwise(0))
+    digits = F.array_join(F.concat(left, zeros, right), "")
+    octet = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
+    v4 = ip.rlike(rf"^{octet}(\.{octet}){{3}}$")
+    group = "[0-9a-fA-F]{1,4}"
+    end = rf"({group}|{octet}(\.{octet}){{3}})"
+    v6 = ip.rlike(rf"^(({group}:)+{end}|(({group}:)*{group})?::(({group}:)*{end})?)$") & (F.length(digits) == 32)
+    v6 = v6 & ((F.size(sides) == 1) | (missing > 0))
+    whole = F.when(v4, F.concat(F.lit(V4), dotted(ip))).when(v6, digits)
+    words = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.lpad(F.conv(F.substring(whole, i * 8 + 1, F.lit(8)), 16, 2), 32, "0"))
+    return F.when(whole.isNotNull(), F.array_join(words, ""))
+
+
+def prefixes(networks: DataFrame, cidr: str = "cidr") -> DataFrame:
+    """Adds to networks ``prefix``, the digits that all their addresses begin with, and its length ``bits``; null where it isn't a network."""
+    parts = F.split(cidr, "/")
+    digits = address_bits(F.get(parts, F.lit(0)))
+    own = F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.when(F.get(parts, F.lit(0)).contains(":"), 128).otherwise(32))
+    bits = F.when(F.get(parts, F.lit(0)).contains(":"), own).otherwise(own + 96)
+    named = networks.withColumn("bits", F.when(digits.isNotNull() & bits.between(0, 128), bits))
+    return named.withColumn("prefix", F.substring(digits, F.lit(1), F.col("bits")))
+
+
+def locate_by_prefix(addresses: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFrame:
+    """Distinct addresses with the country of the longest network that holds them; IPv4, IPv6 and networks within networks.
+
+    Networks are (cidr, country); of equal ones the first country in order counts. For every length that occurs, at most 129 of
+    them, an address looks its first digits up by hash, so no address is compared with a range. What is no address is "Not Found".
+    """
+    known = prefixes(networks).where("prefix is not null").groupBy("bits", "prefix").agg(F.min("country").alias("country"))
+    lengths = sorted(r.bits for r in known.select("bits").distinct().collect())
+    named = addresses.select(ip).distinct().withColumn("digits", address_bits(F.col(ip)))
+    asked = named.select(ip, "digits", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("bits"))
+    asked = asked.select(ip, "bits", F.substring("digits", F.lit(1), F.col("bits")).alias("prefix"))
+    found = asked.join(known, ["bits", "prefix"]).groupBy(ip).agg(F.max_by("country", "bits").alias("country"))
+    return named.select(ip).join(found, ip, "left").select(ip, F.coalesce("country", F.lit("Not Found")).alias("country"))
+
+
 def locate(addresses: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     """Distinct addresses with their country. ``ranges`` holds disjoint (first, last, country) numbers.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalytics.functions.clock import DAY, bucket
+from arenalytics.functions.clock import DAY, HOUR, bucket
 from arenalytics.functions.windows import contained, scope
 
 
@@ -21,6 +21,28 @@ def unique_players_per_bucket(sessions, a, b, width=DAY, offset=0, servers=None,
     return chosen.groupBy(*by, bucket("session_start", width, offset).alias("date")).agg(count("user_id").alias("players"))
 
 
+PERIODS = {"hour": HOUR, "day": DAY, "week": 7 * DAY, "month": 30 * DAY}
+
+
+def unique_cells(sessions, a, b, offset=0, servers=None, by=(), user: str = "user_id") -> DataFrame:
+    """Cells (by, hour, part, users): who started a session in an hour, as bitmaps over 32,768 user numbers each.
+
+    ``user`` numbers users densely from 0 or 1, as ids do. Cells can be stored, and cells of later sessions be added: bitmaps are
+    merged by OR, so uniques of any longer period need no session again.
+    """
+    chosen = scope(sessions, servers).where(contained(a, b))
+    return chosen.groupBy(*by, bucket("session_start", HOUR, offset).alias("hour"), F.bitmap_bucket_number(user).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(user)).alias("users")
+    )
+
+
+def unique_rollup(cells: DataFrame, periods: dict[str, int] = PERIODS, by=()) -> DataFrame:
+    """(by, period, date, players): exact unique users of every period that the cells hold, from one pass over them."""
+    starts = F.explode(F.array(*[F.struct(F.lit(name).alias("period"), bucket("hour", width).alias("date")) for name, width in periods.items()]))
+    merged = cells.select(*by, "part", "users", starts.alias("p")).groupBy(*by, "p.period", "p.date", "part").agg(F.bitmap_or_agg("users").alias("users"))
+    return merged.groupBy(*by, "period", "date").agg(F.sum(F.bitmap_count("users")).alias("players"))
+
+
 def average_unique_players(sessions, a, b, offset=0, servers=None, by=()) -> DataFrame:
     per_day = unique_players_per_bucket(sessions, a, b, DAY, offset, servers, by)
     return per_day.groupBy(*by).agg(F.avg("players").alias("average_players"))

@@ -16,10 +16,10 @@ AFK_SLACK = 5
 
 
 def retain_samples(samples, cutoff: int) -> DataFrame:
-    """Drop samples older than ``cutoff`` except those that show the server's all-time peak."""
-    peaks = samples.groupBy("server_id").agg(F.max("players_online").alias("_peak"))
-    kept = samples.join(peaks, "server_id", "left")
-    return kept.where((F.col("date") >= cutoff) | (F.col("players_online") == F.col("_peak"))).drop("_peak")
+    """Drop samples older than ``cutoff`` except those that show the server's all-time peak. Only old samples meet the peaks."""
+    peaks = samples.groupBy("server_id").agg(F.max("players_online").alias("players_online"))
+    old = samples.where(F.col("date") < cutoff).join(peaks, ["server_id", "players_online"], "left_semi")
+    return samples.where(F.col("date") >= cutoff).unionByName(old)
 
 
 def retain_pings(ping, cutoff: int) -> DataFrame:

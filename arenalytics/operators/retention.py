@@ -137,10 +137,16 @@ def retained_in_both_halves(users: DataFrame, sessions: DataFrame, after: int, b
     return seen.groupBy("user_id").agg(F.max(early).alias("e"), F.max(late).alias("l")).where("e and l").select("user_id")
 
 
+def home_servers(sessions: DataFrame) -> DataFrame:
+    """``(user_id, server_id)`` of each user's first session; of several at one instant the one with the smallest id."""
+    return sessions.groupBy("user_id").agg(F.min_by("server_id", F.struct("session_start", "id")).alias("server_id"))
+
+
 def first_day_features(users: DataFrame, sessions: DataFrame, samples: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """Per user: activity index one day after registering, players online when they registered, retained or not.
 
-    Retained = played in both halves of the first 30 days. The online count comes from the given samples (−1 unknown).
+    Retained = played in both halves of the first 30 days. The online count is that of the server on which the user first
+    played (−1 unknown).
     """
     people = users.select(F.col("id").alias("user_id"), "registered")
     at = F.col("registered") + DAY
@@ -159,12 +165,13 @@ def first_day_features(users: DataFrame, sessions: DataFrame, samples: DataFrame
             ).alias("retained"),
         )
     )
-    online = samples.groupBy("date").agg(F.max_by("players_online", "id").alias("players_online"))
-    asked = people.select(F.col("registered").alias("date"))
-    known = last_known(online, asked, [], "date", "players_online").select(F.col("date").alias("registered"), "players_online")
+    online = samples.groupBy("server_id", "date").agg(F.max_by("players_online", "id").alias("players_online"))
+    homes = people.join(home_servers(sessions), "user_id", "left")
+    asked = homes.where(F.col("server_id").isNotNull()).select("server_id", F.col("registered").alias("date"))
+    known = last_known(online, asked, ["server_id"], "date", "players_online").select("server_id", F.col("date").alias("registered"), "players_online")
     return (
-        people.join(sums, "user_id", "left")
-        .join(known, "registered", "left")
+        homes.join(sums, "user_id", "left")
+        .join(known, ["server_id", "registered"], "left")
         .select(
             "user_id",
             "registered",

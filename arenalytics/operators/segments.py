@@ -44,10 +44,15 @@ def parse_time(date: str, time: str, offset: int = 0) -> int:
     return int(moment.timestamp() * 1000) - offset
 
 
+def _instant(f: Filter, date: str = "date", time: str = "time") -> int:
+    """The instant that two parameters name, in the zone whose ``offset`` from UTC, in ms, is a parameter as well (none: UTC)."""
+    return parse_time(f.parameters[date], f.parameters[time], f.parameters.get("offset", 0))
+
+
 def _range(f: Filter) -> tuple[int, int]:
     p = f.parameters
-    after = parse_time(p["afterDate"], p["afterTime"]) if p.get("afterDate") and p.get("afterTime") else 0
-    before = parse_time(p["beforeDate"], p["beforeTime"]) if p.get("beforeDate") and p.get("beforeTime") else FOREVER
+    after = _instant(f, "afterDate", "afterTime") if p.get("afterDate") and p.get("afterTime") else 0
+    before = _instant(f, "beforeDate", "beforeTime") if p.get("beforeDate") and p.get("beforeTime") else FOREVER
     return after, before
 
 
@@ -80,7 +85,7 @@ def _activity(t, f):
     if set(activity.GROUPS) <= set(chosen):
         raise EveryoneSelected
     p = f.parameters
-    date = parse_time(p["date"], p["time"]) if f.kind == "activityIndexOn" else p["now"]
+    date = _instant(f) if f.kind == "activityIndexOn" else p["now"]
     base = t.users.select(F.col("id").alias("user_id"), "registered")
     index = activity.activity_index(t.sessions, base, date, p.get("threshold", activity.DEFAULT_THRESHOLD))
     return index.where(activity.activity_group().isin(chosen)).select("user_id")
@@ -104,7 +109,7 @@ def _played(t, f):
 
 
 def _played_on(t, f):
-    instant = parse_time(f.parameters["date"], f.parameters["time"])
+    instant = _instant(f)
     return sessions.users_played_between(t.sessions, instant, instant, _servers(t, f))
 
 

@@ -44,16 +44,33 @@ def page(df: DataFrame, after, limit: int, key: str = "id") -> DataFrame:
     return df.where(F.col(key) > after).orderBy(key).limit(limit)
 
 
-def with_natural_keys(facts: DataFrame, users: DataFrame | None = None, servers: DataFrame | None = None) -> DataFrame:
-    """A fact table with user uuid and server uuid in place of the ids."""
+def with_natural_keys(
+    facts: DataFrame, users: DataFrame | None = None, servers: DataFrame | None = None, join_address: DataFrame | None = None
+) -> DataFrame:
+    """A fact table with user uuid, server uuid and join address in place of the ids."""
     out = facts
     if users is not None:
         out = out.join(users.select(F.col("id").alias("user_id"), F.col("uuid").alias("user_uuid")), "user_id").drop("user_id")
     if servers is not None:
         out = out.join(servers.select(F.col("id").alias("server_id"), F.col("uuid").alias("server_uuid")), "server_id").drop("server_id")
+    if join_address is not None:
+        out = out.join(join_address.select(F.col("id").alias("join_address_id"), "join_address"), "join_address_id").drop("join_address_id")
     return out
 
 
+def nicknames_per_user(nicknames: DataFrame) -> DataFrame:
+    """(user_uuid, nicknames): every user's nicknames with server and last use, the latest first."""
+    order = F.struct((-F.col("last_used")).alias("o"), "nickname", "server_uuid", "last_used")
+    listed = nicknames.groupBy(F.col("uuid").alias("user_uuid")).agg(F.sort_array(F.collect_list(order)).alias("n"))
+    named = F.transform("n", lambda x: F.struct(x["server_uuid"].alias("server_uuid"), x["nickname"].alias("nickname"), x["last_used"].alias("last_used")))
+    return listed.select("user_uuid", named.alias("nicknames"))
+
+
+def world_names(worlds: DataFrame) -> DataFrame:
+    """(server_uuid, world_names): the names of a server's worlds, in order."""
+    return worlds.groupBy("server_uuid").agg(F.sort_array(F.collect_set("world_name")).alias("world_names"))
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, sort: str | None = None) -> None:
     """Store a fact as a table bucketed by a join key, so later joins and aggregations on it need no shuffle."""
     writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key)

@@ -218,3 +218,22 @@ VIEWS["exemptions"] = (
     "from ev where user_id%2=0 group by user_id union all "
     f"select user_id, cast(null as bigint) valid_from, cast({T0}+{DAY} as bigint) valid_to from ev where user_id%5=0 group by user_id"
 )
+# Addresses of both kinds as texts and, for the SQL side, as two halves of 128 bits; networks that lie within each other.
+VIEWS["addresses"] = (
+    "select ip, cast(0 as bigint) hi, 281470681743360+cast(split_part(ip,'.',1) as bigint)*16777216+cast(split_part(ip,'.',2) as bigint)*65536"
+    "+cast(split_part(ip,'.',3) as bigint)*256+cast(split_part(ip,'.',4) as bigint) lo from logins union all "
+    "select concat('2001:db8:',lower(hex(event_id%23)),'::',lower(hex(v100))) ip, 2306139568115548160+(event_id%23)*65536 hi, v100 lo from ev union all "
+    "select concat('2A02:0:0:',hex(event_id%7),':0:0:0:',hex(1+event_id%300)) ip, 3026981734365233152+event_id%7 hi, 1+event_id%300 lo from ev where event_id%5=0"
+)
+VIEWS["networks"] = (
+    "select concat(cast(n_nationkey*9 as string),'.0.0.0/8') cidr, n_name country, 104 bits, cast(0 as bigint) hi1, cast(0 as bigint) hi2, "
+    "281470681743360+cast(n_nationkey as bigint)*9*16777216 lo1, 281470681743360+(cast(n_nationkey as bigint)*9+1)*16777216-1 lo2 from nation union all "
+    "select concat(cast(n_nationkey*9 as string),'.128.0.0/10'), concat(n_name,' half'), 106, cast(0 as bigint), cast(0 as bigint), "
+    "281470681743360+cast(n_nationkey as bigint)*9*16777216+8388608, 281470681743360+cast(n_nationkey as bigint)*9*16777216+8388608+4194303 from nation union all "
+    "select '2001:db8::/32', 'documents', 32, 2306139568115548160, 2306139572410515455, cast(0 as bigint), 9223372036854775807 from region where r_regionkey=0 union all "
+    "select concat('2001:DB8:',hex(n_nationkey),'::/48'), n_name, 48, 2306139568115548160+cast(n_nationkey as bigint)*65536, 2306139568115548160+cast(n_nationkey as bigint)*65536+65535, "
+    "cast(0 as bigint), 9223372036854775807 from nation where n_nationkey%2=0 union all "
+    "select concat('2001:db8:',hex(n_nationkey),'::0:0/119'), concat(n_name,' low'), 119, 2306139568115548160+cast(n_nationkey as bigint)*65536, 2306139568115548160+cast(n_nationkey as bigint)*65536, "
+    "cast(0 as bigint), cast(511 as bigint) from nation where n_nationkey%3=0 union all "
+    "select '2a02:0:0:3::/64', 'sixty-four', 64, 3026981734365233155, 3026981734365233155, cast(0 as bigint), 9223372036854775807 from region where r_regionkey=0"
+)

@@ -19,6 +19,38 @@ def _(d):
     return tables.with_natural_keys(d.ping, d.users, d.servers).select("id", "user_uuid", "server_uuid", "date", "avg_ping")
 
 
+@query("src_1_sessions_with_keys", """select s.id, u.uuid user_uuid, v.uuid server_uuid, s.session_start, s.session_end, s.mob_kills, s.deaths, s.afk_time, j.join_address
+ from sessions s join users u on u.id=s.user_id join servers v on v.id=s.server_id join join_address j on j.id=s.join_address_id""")
+def _(d):
+    named = tables.with_natural_keys(d.sessions, d.users, d.servers, d.join_address)
+    return named.select("id", "user_uuid", "server_uuid", "session_start", "session_end", "mob_kills", "deaths", "afk_time", "join_address")
+
+
+@query("src_1_geolocations_with_keys", "select u.uuid user_uuid, g.geolocation, g.last_used from geolocations g join users u on u.id=g.user_id")
+def _(d):
+    return tables.with_natural_keys(d.geolocations, d.users).select("user_uuid", "geolocation", "last_used")
+
+
+@query("src_1_nicknames_per_user", """select uuid user_uuid, cast(row_number() over (partition by uuid order by last_used desc, nickname, server_uuid)-1 as int) place, server_uuid, nickname, last_used from nicknames""")
+def _(d):
+    return tables.nicknames_per_user(d.nicknames).select("user_uuid", F.posexplode("nicknames").alias("place", "n")).select("user_uuid", "place", "n.*")
+
+
+@query("src_1_user_info_with_keys", """select i.id, u.uuid user_uuid, v.uuid server_uuid, i.join_address, i.registered, i.opped, i.banned from user_info i join users u on u.id=i.user_id join servers v on v.id=i.server_id""")
+def _(d):
+    return tables.with_natural_keys(d.user_info, d.users, d.servers).select("id", "user_uuid", "server_uuid", "join_address", "registered", "opped", "banned")
+
+
+@query("src_1_users_by_key", "select id, uuid, name, registered, times_kicked from users")
+def _(d):
+    return d.users.select("id", "uuid", "name", "registered", "times_kicked")
+
+
+@query("src_1_world_names", "select server_uuid, list(world_name order by world_name) world_names from (select distinct server_uuid, world_name from worlds) w group by server_uuid")
+def _(d):
+    return tables.world_names(d.worlds)
+
+
 @query("src_2_keyset_page", "select id, session_start from sessions where id>(select max(id)//2 from sessions) order by id limit 500")
 def _(d):
     middle = d.sessions.agg(F.floor(F.max("id") / 2)).scalar()

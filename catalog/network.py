@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from arenalytics.operators import geo, joins, ping as png
 from arenalytics.operators import join_address as ja
 from arenalytics.operators import roster
+from arenalytics.session import shared_folder
 from catalog import query
 from catalog.domain import A, B, NOW
 
@@ -28,6 +29,24 @@ def _(d):
     return roster.matching_names(d.users, d.nicknames, "ick-4")
 
 
+def _indexed(d, text):
+    folder = shared_folder(d.spark, "names")
+    roster.write_name_index(d.users, d.nicknames, folder)
+    return roster.indexed_names(d.spark.read.parquet(folder), text)
+
+
+@query("flt_9_indexed_names", """select name from users where lower(name) like '%ame-11%' union
+ select u.name from users u join nicknames n on n.uuid=u.uuid where lower(nickname) like '%ame-11%'""")
+def _(d):
+    return _indexed(d, "aMe-11")
+
+
+@query("flt_9_indexed_short", """select name from users where lower(name) like '%-4%' union
+ select u.name from users u join nicknames n on n.uuid=u.uuid where lower(nickname) like '%-4%'""")
+def _(d):
+    return _indexed(d, "-4")
+
+
 @query("flt_11_redacted_addresses", r"""select id, case when regexp_full_match(join_address, 'play\.b\..*|.*COM') then 'unknown' else join_address end join_address from join_address""")
 def _(d):
     return ja.redact(d.join_address, [r"play\.b\..*", ".*COM"])
@@ -117,6 +136,12 @@ def _(d):
 LATEST = """select user_id, geolocation from (select *, rank() over (partition by user_id order by last_used desc) r from geolocations) x where r=1"""
 
 
+@query("join_11_longest_prefix", """with a as (select distinct ip, hi, lo from addresses), m as (select a.ip, n.country, n.bits from a join networks n on a.hi between n.hi1 and n.hi2 and a.lo between n.lo1 and n.lo2),
+ b as (select ip, max_by(country, bits) country from m group by ip) select a.ip, coalesce(b.country, 'Not Found') country from a left join b on b.ip=a.ip""")
+def _(d):
+    return geo.locate_by_prefix(d.addresses, d.networks.select("cidr", "country"))
+
+
 @query("join_12_country_codes", f"""select code, users from (select geolocation, count(*) users from ({LATEST}) l group by 1) c join country_codes k on lower(k.name)=lower(c.geolocation)""")
 def _(d):
     return geo.with_codes(geo.counts(d.geolocations), d.country_codes)

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from arenalytics.functions.clock import DAY, HOUR
 from arenalytics.operators import players as pc
+from arenalytics.session import shared_folder
 from catalog import query
 from catalog.domain import A, B, NOW
 
@@ -33,6 +34,24 @@ def _(d):
     return pc.unique_players_per_bucket(d.sessions, A, B, HOUR, OFF, by=["server_id"])
 
 
+PERIODS = (("hour", HOUR), ("day", DAY), ("week", 7 * DAY), ("month", 30 * DAY))
+
+
+@query("pc_2_unique_rollup", " union all ".join(f"select '{n}' period, {_bucket(_bucket('session_start', HOUR) + f'-{OFF}', w)} date, count(distinct user_id) players from sessions where {INSIDE} group by 2" for n, w in PERIODS))
+def _(d):
+    return pc.unique_rollup(pc.unique_cells(d.sessions, A, B, OFF))
+
+
+@query("pc_2_unique_rollup_per_server", " union all ".join(f"select server_id, '{n}' period, {_bucket('session_start', w)} date, count(distinct user_id) players from sessions where {INSIDE} group by 1,3" for n, w in PERIODS))
+def _(d):
+    """Cells stored in two parts, as by two runs, and merged."""
+    folder = shared_folder(d.spark, "unique-cells")
+    for odd in (0, 1):
+        cells = pc.unique_cells(d.sessions.where(F.col("id") % 2 == odd), A, B, OFF, by=["server_id"])
+        cells.write.mode("append").parquet(folder)
+    return pc.unique_rollup(d.spark.read.parquet(folder), by=["server_id"])
+
+
 @query("pc_3_average_unique", f"""select server_id, avg(n) average_players from (select server_id, {_bucket('session_start', DAY)} dt, count(distinct user_id) n
  from sessions where {INSIDE} group by 1,2) x group by server_id""", doubles="average_players")
 def _(d):

@@ -93,7 +93,9 @@ def _(d):
     return dq.without_dangling(known, d.servers.select("uuid"), "server_uuid").select("id", "killer_uuid", "victim_uuid")
 
 
-@query("dq_9_corrected_addresses", "select * from (values (cast(1 as int),'unknown'),(4,'MC.B.com'),(5,'192.0.2.7'),(6,'play.a.com')) v(id, join_address)")
+@query("dq_9_corrected_addresses", """with c as (select id, split_part(join_address, chr(0), 1) a, contains(join_address, chr(0)) bad from dirty_addresses),
+ n as (select a, row_number() over (order by min(id)) k from c where bad and a not in (select a from c where not bad) group by a)
+ select id, a join_address from c where not bad union all select cast((select max(id) from c)+k as int), a from n""")
 def _(d):
     return dq.corrected_addresses(d.dirty_addresses, d.sessions)[0]
 

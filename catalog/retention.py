@@ -108,8 +108,10 @@ def _(d):
 
 
 HALF_MONTH, MONTH = 15 * DAY, 30 * DAY
-FEATURES = f"""with o as (select date, max_by(players_online, id) p from samples where server_id=1 group by date),
- j as (select u.id user_id, u.registered, o.p from users u asof left join o on o.date<=u.registered),
+FEATURES = f"""with o as (select server_id, date, max_by(players_online, id) p from samples group by 1,2),
+ h as (select user_id, server_id home from (select *, row_number() over (partition by user_id order by session_start, id) r from sessions) z where r=1),
+ k as (select u.id user_id, u.registered, h.home from users u left join h on h.user_id=u.id),
+ j as (select k.user_id, k.registered, o.p from k asof left join o on o.server_id=k.home and o.date<=k.registered),
  s as (select x.*, u.registered from sessions x join users u on u.id=x.user_id),
  w as (select user_id, sum(1/(pi()/2*(t/{THRESHOLD})+1)) s3, count(*) n from (select user_id, k, sum(session_end-session_start-afk_time) t from s
  join (select unnest([0,1,2]) k) kk on session_end>=registered+{DAY}-(k+1)*{WEEK} and session_start<=registered+{DAY}-k*{WEEK} group by 1,2) q group by 1),
@@ -120,7 +122,7 @@ FEATURES = f"""with o as (select date, max_by(players_online, id) p from samples
 
 
 def _features(d):
-    return ret.first_day_features(d.users, d.sessions, d.samples.where("server_id = 1"), THRESHOLD)
+    return ret.first_day_features(d.users, d.sessions, d.samples, THRESHOLD)
 
 
 @query("ret_9_first_day_features", f"select * from ({FEATURES} select * from f) y", doubles="activity_index")

@@ -47,6 +47,19 @@ _one(
     f"select distinct user_id from sessions where session_end>={B} and session_start<={B}",
     Filter("playedOn", {"date": "22/01/2024", "time": "24:00"}),
 )
+ZONE = 2 * 3600000 + 1800000
+_one("seg_8_played_between_in_zone", f"select distinct user_id from sessions where session_end>={LO - ZONE} and session_start<={HI - ZONE}", Filter("playedBetween", {**RANGE, "offset": ZONE}))
+_one("seg_13_registered_in_zone", f"select id user_id from users where registered between {LO + ZONE} and {HI + ZONE}", Filter("registeredBetween", {**RANGE, "offset": -ZONE}))
+_one(
+    "seg_7_last_seen_in_zone",
+    f"select user_id from sessions group by 1 having max(session_end) between {T0 + 26 * DAY - ZONE} and {T0 + 29 * DAY - ZONE}",
+    Filter("lastSeenBetween", {"afterDate": "27/01/2024", "afterTime": "24:00", "beforeDate": "30/01/2024", "beforeTime": "24:00", "offset": ZONE}),
+)
+_one(
+    "seg_9_played_on_in_zone",
+    f"select distinct user_id from sessions where session_end>={B - ZONE} and session_start<={B - ZONE}",
+    Filter("playedOn", {"date": "22/01/2024", "time": "24:00", "offset": ZONE}),
+)
 _one("seg_10_played_on_server", "select distinct user_id from user_info where server_id=(select id from servers where name='ASIA')", Filter("playedOnServer", {"selected": ["ASIA"]}))
 _one(
     "seg_11_boolean_groups",
@@ -90,7 +103,9 @@ def _(d):
     return seg.run(d, PIPELINE).path()
 
 
-@query("seg_0_path_stops_when_empty", "select cast(1 as int) step, 'registeredBetween' kind, cast(0 as bigint) size")
+@query("seg_0_path_stops_when_empty", f"""with a as (select id from users where registered>={T0 + 2192 * DAY}), b as (select id from a where id in {F0})
+ select cast(1 as int) step, 'registeredBetween' kind, (select count(*) from a) size union all
+ select cast(2 as int), 'playedBetween', (select count(*) from b) where (select count(*) from a)>0""")
 def _(d):
     nobody = Filter("registeredBetween", {"afterDate": "01/01/2030", "afterTime": "24:00"})
     return seg.run(d, [nobody, *PIPELINE]).path()

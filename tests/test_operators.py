@@ -241,3 +241,66 @@ def test_numbered_rows_are_consecutive_and_unique(rows):
     got = quality.numbered(df, "uuid", F.lit(100)).collect()
     assert sorted(r["new_id"] for r in got) == list(range(100, 160))
     assert {(r["uuid"], r["n"]) for r in got} == {(f"u-{i % 40}", i) for i in range(60)}
+
+
+ADDRESSES = [
+    "1.2.3.4", "0.0.0.0", "255.255.255.255", "256.1.1.1", "1.2.3", "::", "::1", "1::", "2001:db8::ff00:42:8329", "2001:0DB8:0000:0000:0000:FF00:0042:8329",
+    "::ffff:10.1.2.3", "64:ff9b::192.0.2.33", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7", "1::2::3", "12345::", "g::1", "", None, "nonsense", "1:2:3:4:5:6:1.2.3.4", ":::",
+]
+
+
+def parsed(text):
+    import ipaddress
+
+    try:
+        a = ipaddress.ip_address(text or "")
+    except ValueError:
+        return None
+    return int(a) + (0xFFFF << 32 if a.version == 4 else 0)
+
+
+def test_address_bits(rows):
+    from arenalytics.operators import geo
+
+    df = rows([(a,) for a in ADDRESSES], "ip string")
+    got = {r.ip: r.b for r in df.select("ip", geo.address_bits(F.col("ip")).alias("b")).collect()}
+    assert got == {a: None if parsed(a) is None else f"{parsed(a):0128b}" for a in ADDRESSES}
+
+
+def test_longest_prefix_of_nested_networks(rows):
+    from arenalytics.operators import geo
+
+    networks = [("0.0.0.0/0", "v4"), ("1.0.0.0/8", "one"), ("1.2.0.0/16", "one two"), ("1.2.3.4/32", "host"), ("1.2.3.4", "again"), ("::/0", "all"), ("2001:db8::/32", "docs"),
+                ("2001:db8::ff00:0:0/80", "deep"), ("64:ff9b::/96", "nat"), ("bad/8", "x"), ("1.2.3.0/33", "y"), (None, "z")]
+    ips = [a for a in ADDRESSES] + ["1.2.9.9", "1.9.9.9", "2001:db8:1::"]
+    found = geo.locate_by_prefix(rows([(a,) for a in ips], "ip string"), rows(networks, "cidr string, country string"))
+    got = {r.ip: r.country for r in found.collect()}
+    assert got["1.2.3.4"] == "again" and got["1.2.9.9"] == "one two" and got["1.9.9.9"] == "one" and got["0.0.0.0"] == "v4"
+    assert got["2001:db8::ff00:42:8329"] == "deep" and got["2001:db8:1::"] == "docs" and got["64:ff9b::192.0.2.33"] == "nat" and got["::1"] == "all"
+    assert got["nonsense"] == got["256.1.1.1"] == got[None] == "Not Found"
+    assert geo.locate_by_prefix(rows([("1.2.3.4",)], "ip string"), rows([], "cidr string, country string")).first()["country"] == "Not Found"
+
+
+def test_name_index_equals_scan(spark, rows, tmp_path):
+    from arenalytics.operators import roster
+
+    users = rows([("u1", "Alice"), ("u2", "bob"), ("u3", "Al"), ("u4", None), ("u5", "ALICIA"), ("u6", "")], "uuid string, name string")
+    nicknames = rows([("u2", "the Alien"), ("u2", "x"), ("u3", "li"), ("u9", "alice"), ("u5", None), ("u5", "aaaa")], "uuid string, nickname string")
+    roster.write_name_index(users, nicknames, str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for text in ("ali", "ALIC", "li", "a", "aaaa", "lien", "zzz", "", "bob", "e a"):
+        assert tuples(roster.indexed_names(index, text)) == sorted(r for r in tuples(roster.matching_names(users, nicknames, text)) if r[0] is not None)
+
+
+def test_unique_cells_merge_over_parts_and_bitmaps(rows):
+    from arenalytics.operators import players
+
+    data = [(u, 1 + u % 2, h * 3_600_000 + 5, h * 3_600_000 + 10) for u in (0, 1, 2, 32767, 32768, 32769, 100_000) for h in range(0, 400, 1 + u % 5)]
+    df = rows(data, "user_id bigint, server_id int, session_start bigint, session_end bigint")
+    cells = players.unique_cells(df.limit(50), 0, 10**12).unionByName(players.unique_cells(df, 0, 10**12))
+    got = {(r.period, r.date): r.players for r in players.unique_rollup(cells).collect()}
+    for name, width in players.PERIODS.items():
+        want = {}
+        for u, _, s, _ in data:
+            want.setdefault((name, s - s % width), set()).add(u)
+        assert {k: v for k, v in got.items() if k[0] == name} == {k: len(v) for k, v in want.items()}
