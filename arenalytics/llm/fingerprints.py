@@ -92,7 +92,8 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     columns aren't read; an empty table gives an empty result. Texts are shuffled once by id and text hash for both joins.
     """
     plain = F.coalesce(F.col(text), F.lit(""))
-    name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    # An empty id is another than none.
+    name = F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit(""))
     base = docs.select(F.col(doc_id).alias("key"), name.alias("name"), F.xxhash64(plain).alias("tie"), plain.alias("text"))
     links = neighbours(base.select("key", "name", "tie", F.char_length("text").alias("n_chars")).distinct())
     # Both joins need the same columns of the texts, so that Spark deals them out once.

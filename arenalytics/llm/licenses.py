@@ -12,9 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arenalytics.llm.common import stored
 from arenalytics.llm.decontamination import LOWER, PARTS, UPPER
 from arenalytics.llm.licence_texts import EQUIVALENTS, NOTICES, TEXTS
 
+BROADCAST_DIGESTS = 100_000
+"""Up to so many known digests, of some 100 bytes, are sent to every executor; more are joined by a shuffle of all lines' digests."""
+
 COPYRIGHT = r"^(all rights reserved|(portions )?(c )?copyright ((c|by) |©|[0-9]).*|© .*)$"
 
 
@@ -56,20 +60,25 @@ def digests(licences: DataFrame) -> DataFrame:
     return every.groupBy("known").agg(F.min("licence").alias("licence"))
 
 
-def license_scan(docs: DataFrame, licences: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def license_scan(
+    docs: DataFrame, licences: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_digests: int = BROADCAST_DIGESTS
+) -> DataFrame:
     """(key, digest, licence, notices) per document.
 
     ``digest`` is that of the whole canonical text, ``licence`` the licence whose text it is, or null; ``notices`` the sorted names
     of licences and notices that stand on a line of their own. Null, empty and blank texts have the digest of the empty
     text and no licence. Rows with the same id and text give repeated rows. Other columns aren't read. Empty tables give
-    empty results, an empty licence table finds nothing.
+    empty results, an empty licence table finds nothing. Known digests are counted first; while they are few, lines meet
+    them where they are, and only whole texts and hits are shuffled.
     """
+    known = stored(digests(licences), "digests")
+    known = F.broadcast(known) if known.count() <= broadcast_digests else known
     own = docs.select(F.col(doc_id).alias("key"), F.xxhash64(text).alias("tie"), canonical_lines(F.col(text)).alias("lines"))
     own = own.withColumn("texts", F.concat(F.array(canonical_text(F.col("lines"))), "lines"))
     each = own.select("key", "tie", F.posexplode_outer("texts").alias("place", "text"))
     each = each.where((F.col("place") == 0) | (F.col("text") != ""))
     each = each.select("key", "tie", (F.col("place") == 0).alias("whole"), F.sha2("text", 256).alias("digest"))
-    found = each.join(digests(licences), F.col("digest") == F.col("known"), "left").where(F.col("whole") | F.col("licence").isNotNull())
+    found = each.join(known, F.col("digest") == F.col("known"), "left").where(F.col("whole") | F.col("licence").isNotNull())
     merged = found.groupBy("key", "tie").agg(
         F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"),
         F.max(F.when(F.col("whole"), F.col("licence"))).alias("licence"),

@@ -146,3 +146,11 @@ def test_components(spark, shape):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_text_ids(spark):
+    rows = [(f"id-{i:05d}", t) for i, t in near_rows()] + [("alone", "quite another text than these"), ("", ""), ("z", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in sd.near_duplicates(docs).collect()}
+    want = {f"id-{i:05d}": f"id-{c:05d}" for i, _, c in groups_of(near_rows())}
+    assert got == {**want, "alone": "alone", "": "", "z": ""}

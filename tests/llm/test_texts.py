@@ -237,3 +237,33 @@ def test_sketches_merge_and_estimate(spark):
     ).first()
     assert len(set(row.m) ^ set(row.s_ab)) <= 8 and row.none == 1.0
     assert row.c > 0.99 and abs(row.l - 0.5) < 0.1
+
+
+def test_known_digests_by_shuffle_find_the_same(spark, odd):
+    known = licenses.known_licences(spark)
+    rows = [(i, t) for i, (_, t) in enumerate(licenses.known_rows())] + [(500, "no licence\nat all"), (500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(str, licenses.license_scan(docs, known, broadcast_digests=n).collect())) for n in (licenses.BROADCAST_DIGESTS, 0)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
+def test_every_known_text_is_found_whole(spark):
+    rows = [(i, "Copyright (c) 2020 Someone\n\n" + t.replace("\n", "\n  "), n) for i, (n, t) in enumerate(licenses.known_rows()) if "\n" in t]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    got = {r.key: r.licence for r in licenses.license_scan(docs, licenses.known_licences(spark)).collect()}
+    assert got == {i: n for i, _, n in rows} and len(rows) >= 7
+
+
+def test_texts_of_many_lines(spark):
+    """Two equal texts of 40,000 lines and one that shares a run: linear in the number of lines."""
+    lines = [f"line number {i} of a long text" for i in range(40_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "\n".join(["own start", *lines[100:110], "own end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row.doc_id: (r.row.text, r.n_lines, r.n_deleted) for r in line_dedup.deduplicated(docs, whole_runs=True).collect()}
+    assert got[1] == (rows[0][1], 40_000, 0) and got[2] == ("", 40_000, 40_000) and got[3] == ("own start\nown end", 12, 10)
+
+
+def test_fingerprints_tell_no_id_from_an_empty_one(spark):
+    rows = [(None, "the same text"), ("", "the same text"), ("x", "another text")]
+    found = fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.key or "-", r.key is None) for r in found) == sorted([("-", True), ("-", False), ("x", False)])
