@@ -91,34 +91,46 @@ Measure = Callable[[Column, Column], Column]
 
 def step_totals(
     df: DataFrame, keys: Sequence[str], ts: str, sums: Mapping[str, Measure], maxima: Mapping[str, Measure] | None = None,
-    state: Mapping[str, Column] | None = None, width: int = HOUR,
+    state: Mapping[str, Column] | None = None, width: int = HOUR, among: Mapping[str, tuple[Callable[[Column], Column], Measure]] | None = None,
 ) -> DataFrame:
-    """Per key: sums and maxima over all steps from one distinct instant to the next, ``steps`` (their number) and ``last``.
+    """Per key: sums and maxima over all steps from one distinct instant to the next, ``steps`` (their number), ``last`` and ``final``.
 
     ``state`` reduces the rows of one instant to the columns that measures read, with ``ts``, from their two structs. A key's
     first instant is a step from nothing, which measures see as null; it isn't counted in ``steps``. Null measures add
-    nothing. Without keys there is one row; without rows it holds zeros and nulls.
+    nothing. ``among`` sums over the steps between the instants that meet a condition on their struct, those between
+    them left out. ``final`` is the struct of the last instant. Without keys there is one row; without rows it holds zeros and nulls.
     """
-    state, maxima = dict(state or {}), dict(maxima or {})
+    state, maxima, among = dict(state or {}), dict(maxima or {}), dict(among or {})
     rows = _chunked(df, ts, width)
     columns = sorted({ts, *keys, CHUNK} | set(df.columns)) if state else [*keys, CHUNK, ts]
     dealt = rows.select(*columns).repartition(*keys, CHUNK)
     instants = dealt.groupBy(*keys, CHUNK, ts).agg(*[c.alias(n) for n, c in state.items()]) if state else dealt.distinct()
     inside = Window.partitionBy(*keys, CHUNK).orderBy(ts)
     here = F.struct(ts, *state)
-    walked = instants.select(*keys, CHUNK, here.alias("_here"), F.lag(here).over(inside).alias("_prev"))
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    walked = instants.select(*keys, CHUNK, ts, here.alias("_here"), F.lag(here).over(inside).alias("_prev"))
+    others = {n: F.last(F.when(c(F.col("_here")), F.col("_here")), ignorenulls=True).over(earlier) for n, (c, _) in among.items()}
+    walked = walked.select("*", *[c.alias(f"_prev_{n}") for n, c in others.items()])
     prev, cur = F.col("_prev"), F.col("_here")
     inner = {n: F.sum(F.when(prev.isNotNull(), m(prev, cur))) for n, m in sums.items()}
     inner |= {n: F.max(F.when(prev.isNotNull(), m(prev, cur))) for n, m in maxima.items()}
+    marks = []
+    for n, (c, m) in among.items():
+        own = F.col(f"_prev_{n}")
+        inner[n] = F.sum(F.when(c(cur) & own.isNotNull(), m(own, cur)))
+        marks += [F.min(F.when(c(cur), cur)).alias(f"_first_{n}"), F.max(F.when(c(cur), cur)).alias(f"_last_{n}")]
     summaries = walked.groupBy(*keys, CHUNK).agg(
-        F.min("_here").alias("_first"), F.max("_here").alias("_last"), (F.count("*") - 1).alias("_inner_steps"), *[c.alias(n) for n, c in inner.items()]
+        F.min("_here").alias("_first"), F.max("_here").alias("_last"), (F.count("*") - 1).alias("_inner_steps"), *[c.alias(n) for n, c in inner.items()], *marks
     )
-    joined = summaries.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK)))
+    chunks = Window.partitionBy(*keys).orderBy(CHUNK)
+    upto = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    joined = summaries.select("*", F.lag("_last").over(chunks).alias("_before"), *[F.last(f"_last_{n}", ignorenulls=True).over(upto).alias(f"_before_{n}") for n in among])
     before, first = F.col("_before"), F.col("_first")
     totals = [F.sum(F.coalesce(F.col(n), F.lit(0)) + F.coalesce(m(before, first), F.lit(0))).alias(n) for n, m in sums.items()]
     totals += [F.max(F.greatest(F.col(n), m(before, first))).alias(n) for n, m in maxima.items()]
+    totals += [F.sum(F.coalesce(F.col(n), F.lit(0)) + F.coalesce(m(F.col(f"_before_{n}"), F.col(f"_first_{n}")), F.lit(0))).alias(n) for n, (_, m) in among.items()]
     steps = F.sum(F.col("_inner_steps") + F.when(before.isNotNull(), 1).otherwise(0))
-    return joined.groupBy(*keys).agg(*totals, F.coalesce(steps, F.lit(0)).alias("steps"), F.max("_last")[ts].alias("last"))
+    return joined.groupBy(*keys).agg(*totals, F.coalesce(steps, F.lit(0)).alias("steps"), F.max("_last")[ts].alias("last"), F.max("_last").alias("final"))
 
 
 def running_total(

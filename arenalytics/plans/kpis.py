@@ -1,19 +1,24 @@
 """KPI catalogue: named values of a window, a server scope and optionally each user.
 
-KPIs of one group share one aggregation; groups read their tables apart, so a table of many KPIs scans a fact several times.
+KPIs of one group share one aggregation. A table of many KPIs shares more: all that come from sessions are made of one cell table,
+a row per user and server, and all that follow a server's samples through time of one step summary, a row per server. A single
+KPI reads only what it needs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalytics.functions.clock import MINUTE
+from arenalytics.functions.clock import DAY, MINUTE
+from arenalytics.functions.ordered import step_totals
 from arenalytics.functions.stats import ratio
-from arenalytics.functions.windows import clipped, length, overlap, scope, start_in
+from arenalytics.functions.windows import active, clipped, contained, length, overlap, scope, start_in
 from arenalytics.operators import activity, combat, players, samples, worlds
 from arenalytics.operators.sessions import average_playtime_per_day, merge_rows
 
@@ -240,6 +245,109 @@ def check(name: str, s: Scope) -> Group | None:
     return BY_NAME.get(name)
 
 
+DAYS_A_WORD, MOST_WORDS = 62, 32
+"""Days that one integer marks, and integers at most; a longer window counts its days apart."""
+
+
+def _day_words(s: Scope) -> int:
+    return -(-(s.b - s.a + 2 * DAY) // (DAY * DAYS_A_WORD))
+
+
+def _session_cells(t, s: Scope) -> DataFrame:
+    """Every KPI of the sessions in one row, from one read of them.
+
+    A cell holds the sums of a user on a server, the weeks of the activity index, and the days played as bits; cells meet the
+    registrations on that server, users their register date.
+    """
+    half, date = s.b - (s.b - s.a) // 2, min(s.b, s.now) if s.now is not None else s.b
+    inside, whole = overlap(s.a, s.b), contained(s.a, s.b)
+    in_weeks = (F.col("session_end") >= date - 3 * activity.WEEK) & (F.col("session_start") <= date)
+    chosen = scope(t.sessions, s.servers).where(inside | start_in(s.a, s.b) | in_weeks)
+    day = F.floor((F.col("session_start") + s.offset) / DAY) - (s.a + s.offset) // DAY
+    words = [f"d{k}" for k in range(_day_words(s))]
+    bits = [F.bit_or(F.when(whole & (F.floor(day / DAYS_A_WORD) == k), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(day, F.lit(DAYS_A_WORD)).cast("int")))).alias(w) for k, w in enumerate(words)]
+    weeks = [F.sum(F.when(activity._in_week(date, w, True), active()).otherwise(0)).alias(f"w{w}") for w in range(3)]
+    sums = {
+        "afk": F.when(inside, F.col("afk_time")), "deaths": F.when(inside, F.col("deaths")), "mobs": F.when(inside, F.col("mob_kills")), "played": F.when(inside, clipped(s.a, s.b)),
+        "n": F.when(inside, 1), "starts": F.when(start_in(s.a, s.b), 1), "full": F.when(inside, length()), "daily": F.when(whole, length()),
+    }
+    cells = chosen.groupBy("user_id", "server_id").agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()], *weeks, *bits, F.max(whole).alias("inside"), F.max(contained(half, s.b)).alias("late")
+    )
+    fresh = players.registered_between(t.user_info, s.a, s.b, s.servers).select("user_id", "server_id").distinct().withColumn("fresh", F.lit(True))
+    seen = cells.join(fresh, ["user_id", "server_id"], "left").withColumn("stayed", F.coalesce(F.col("fresh") & F.col("late"), F.lit(False)))
+    users = seen.groupBy("user_id").agg(
+        *[F.sum(n).alias(n) for n in (*sums, "w0", "w1", "w2")], *[F.bit_or(w).alias(w) for w in words], F.max("inside").alias("inside"), F.max("stayed").alias("stayed")
+    )
+    base = activity.base_users(t.users, t.user_info, s.servers, date).select("user_id", F.lit(True).alias("known"))
+    index = activity.index_of([F.col(f"w{w}") for w in range(3)], s.threshold)
+    low, high = activity.REGULAR_RANGE
+    regular = F.coalesce(F.col("known"), F.lit(False)) & (index >= low) & (index < high)
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    marked = reduce(add, [F.coalesce(F.bit_count(w).cast("bigint"), F.lit(0)) for w in words])
+    days = reduce(add, [F.coalesce(F.bit_count(F.bit_or(w)).cast("bigint"), F.lit(0)) for w in words])
+    per_day = lambda amount: F.when(days > 0, amount / F.when(days > 0, days)).cast("bigint")
+    return users.join(base, "user_id", "left").agg(
+        total("afk").alias("AFK_TIME"), total("deaths").alias("DEATHS"), total("mobs").alias("MOB_KILLS"), total("played").alias("PLAYTIME"),
+        total("starts").alias("SESSION_COUNT"), F.floor(ratio(total("played"), total("n"))).alias("SESSION_LENGTH_AVERAGE"),
+        ratio(total("afk"), total("full")).alias("AFK_TIME_PERCENTAGE"), per_day(F.sum("daily")).alias("PLAYTIME_PER_DAY_AVERAGE"),
+        F.coalesce(F.avg("played").cast("bigint"), F.lit(0)).alias("PLAYTIME_PER_PLAYER_AVERAGE"), F.count_if("inside").alias("UNIQUE_PLAYERS_COUNT"),
+        F.coalesce(per_day(F.sum(marked)), F.lit(0)).alias("UNIQUE_PLAYERS_AVERAGE"), F.count_if("stayed").alias("NEW_PLAYER_RETENTION"), F.count_if(regular).alias("REGULAR_PLAYERS"),
+    )
+
+
+def _step_cells(t, s: Scope) -> DataFrame:
+    """Every KPI that follows a server's samples through time in one row, from one read of them."""
+    now, gap = s.now if s.now is not None else s.b, samples.DOWN_GAP
+
+    def length_of(p, c):
+        return F.when((p["date"] >= s.a) & (c["date"] <= s.b), c["date"] - p["date"])
+
+    def entered(p, c):
+        first = p.isNull() | (p["date"] < s.a) | (p["tps"] >= s.low_tps)
+        return F.when(c["date"].between(s.a, s.b) & (c["tps"] > 0) & (c["tps"] < s.low_tps) & first, 1)
+
+    sums = {
+        "up": lambda p, c: F.when(length_of(p, c) <= samples.UP_GAP, length_of(p, c)),
+        "down": lambda p, c: F.when(length_of(p, c) >= gap, length_of(p, c)),
+        "spikes": entered,
+    }
+    start = {"start": lambda p, c: F.when(p.isNull() | (c["date"] - p["date"] > gap), c["date"])}
+    busy = {"occupied": (lambda c: c["players"] > 0, lambda p, c: F.when(length_of(p, c) < gap, length_of(p, c)))}
+    state = {"tps": F.min("tps"), "players": F.max("players_online")}
+    found = step_totals(scope(t.samples, s.servers), ["server_id"], "date", sums, start, state, among=busy)
+    if s.servers:
+        found = found.withColumns({"proxy": F.lit(True), "game": F.lit(True)})
+    else:
+        kinds = t.servers.select(F.col("id").alias("server_id"), F.col("is_proxy").alias("proxy"), (~F.col("is_proxy")).alias("game"))
+        found = found.join(kinds, "server_id", "left")
+    total = lambda n, of: F.coalesce(F.sum(F.when(F.col(of), F.col(n))), F.lit(0))
+    alive = F.col("proxy") & (F.lit(now) - F.col("last") <= gap)
+    return found.agg(
+        total("up", "proxy").alias("UPTIME"), total("down", "proxy").alias("DOWNTIME"), F.coalesce(F.sum("occupied"), F.lit(0)).alias("SERVER_OCCUPIED"),
+        total("spikes", "game").alias("TPS_LOW_SPIKES"), F.max(F.when(alive, F.lit(now) - F.col("start"))).alias("UPTIME_CURRENT"),
+        F.sum(F.when(F.col("proxy") & (F.col("last") > now - 2 * MINUTE), F.col("final.players"))).alias("PLAYERS_ONLINE"),
+    )
+
+
+SHARED = {
+    _session_cells: (_session_sums, _afk_share, _per_day, _per_user, _unique_average, _retention, _regular),
+    _step_cells: (_uptime, _occupied, _spikes, _online, _current_uptime),
+}
+"""The groups that one cell table makes; it stands in for two or more of them."""
+
+
+def _sharing(by_source: dict[Callable, list[str]], s: Scope) -> dict[Callable, list[str]]:
+    out = dict(by_source)
+    if s.per_user or _day_words(s) > MOST_WORDS:
+        return out
+    for cells, groups in SHARED.items():
+        held = [g for g in groups if g in out]
+        if len(held) > 1:
+            out[cells] = [name for g in held for name in out.pop(g)]
+    return out
+
+
 def kpi_value(t, name: str, s: Scope) -> DataFrame:
     """The value of one KPI, a row per user when ``per_user`` is set."""
     group = check(name, s)
@@ -253,7 +361,7 @@ def kpi_table(t, s: Scope, names: Sequence[str] | None = None) -> DataFrame:
     for name in wanted:
         by_source.setdefault(check(name, s).compute, []).append(name)
     out = None
-    for compute, chosen in by_source.items():
+    for compute, chosen in _sharing(by_source, s).items():
         pairs = ", ".join(f"'{n}', cast({n} as double)" for n in chosen)
         part = compute(t, s).selectExpr(*s.by, f"stack({len(chosen)}, {pairs}) as (kpi, value)")
         out = part if out is None else out.unionByName(part)

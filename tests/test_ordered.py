@@ -129,3 +129,28 @@ def test_ranked_percentile_rule(rows):
     df = rows([("a", v) for v in range(1, 41)] + [("b", 1), ("b", 2)], "k string, v int")
     got = tuples(stats.ranked_percentile(df, ["k"], "v", 0.95, width=8), "k", "percentile")
     assert got == [("a", 38)]  # rank floor(40·0.95) − 1 = 37, zero-based; b has rank 0 and is absent
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_step_totals_equal_walking(rows, seed):
+    """Sums, maxima and steps among some instants only, over chunk edges, ties and gaps, against one walk."""
+    r = random.Random(seed)
+    data = [(r.choice("ab"), r.randrange(0, 60 * WIDTH), r.randrange(5)) for _ in range(r.choice([0, 1, 2, 400]))]
+    df = rows(data, "k string, t bigint, v int")
+    far = lambda p, c: F.when(p.isNull() | (c["t"] - p["t"] > WIDTH), c["t"])
+    sums = {"gap": lambda p, c: c["t"] - p["t"], "rises": lambda p, c: F.when(p.isNull() | (c["v"] > p["v"]), 1)}
+    found = ordered.step_totals(df, ["k"], "t", sums, {"far": far}, {"v": F.min("v")}, WIDTH, {"odd": (lambda c: c["v"] % 2 == 1, lambda p, c: c["t"] - p["t"])})
+    got = {x["k"]: tuple(x[c] for c in ("gap", "rises", "far", "odd", "steps", "last")) + (x["final"]["v"],) for x in found.collect()}
+    want = {}
+    for k in {x[0] for x in data}:
+        least = {}
+        for _, t, v in (x for x in data if x[0] == k):
+            least[t] = min(v, least.get(t, v))
+        walk = sorted(least.items())
+        pairs = list(zip([None, *walk], walk))
+        odd = [t for t, v in walk if v % 2]
+        want[k] = (
+            walk[-1][0] - walk[0][0], sum(p is None or c[1] > p[1] for p, c in pairs), max(c[0] for p, c in pairs if p is None or c[0] - p[0] > WIDTH),
+            odd[-1] - odd[0] if odd else 0, len(walk) - 1, walk[-1][0], walk[-1][1],
+        )
+    assert got == want
