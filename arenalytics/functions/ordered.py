@@ -14,6 +14,8 @@ instead, so that a piece is settled where its chunk is.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,11 +64,11 @@ def with_next(
 
 
 def _with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str], into: str) -> DataFrame:
-    return (
-        rows.join(carry, [*keys, CHUNK])
-        .withColumn(into, F.coalesce("_inner", "_carry"))
-        .drop("_inner", "_carry", CHUNK)
-    )
+    # Rows without a key are a key of their own.
+    named = carry.select(*[F.col(k).alias(f"_of_{k}") for k in (*keys, CHUNK)], "_carry")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, CHUNK)])
+    joined = rows.join(named, same).withColumn(into, F.coalesce("_inner", "_carry"))
+    return joined.drop("_inner", "_carry", CHUNK, *[f"_of_{k}" for k in (*keys, CHUNK)])
 
 
 def gaps(df: DataFrame, keys: Sequence[str], ts: str, width: int = HOUR) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arenalytics.functions.clock import DAY, HOUR, MINUTE, day_of_week, hour_of_day
@@ -33,15 +33,24 @@ def clock_segments(sessions: DataFrame) -> DataFrame:
     )
 
 
+STEPS_A_PIECE = 1_000
+"""Points of a gap that one row makes; a long silence is many rows, which tasks can share."""
+
+
+def _points_between(gaps: DataFrame, keys: Sequence[str], first: Column, last: Column, step: int, x: str) -> DataFrame:
+    """``first``, ``first + step`` … up to ``last`` of each row, in pieces: no row holds all points of a long gap."""
+    wide = F.lit(step * STEPS_A_PIECE).cast("bigint")
+    pieces = gaps.select(*keys, last.alias("_last"), F.explode(F.sequence(first, last, wide)).alias("_from"))
+    own = F.sequence(F.col("_from"), F.least(F.col("_last"), F.col("_from") + wide - 1), F.lit(step).cast("bigint"))
+    return pieces.select(*keys, F.explode(own).alias(x))
+
+
 def fill_missing(points: DataFrame, keys: Sequence[str], x: str, y: str, accuracy: int, now: int, fill=0) -> DataFrame:
     """Insert ``fill`` every ``accuracy`` inside larger gaps and after the last point up to ``now``."""
-    step = F.lit(accuracy).cast("bigint")
     ahead = with_next(points.select(*keys, x, y), keys, x, (), 1024 * accuracy)
     until = F.coalesce(F.col(f"next.{x}"), F.lit(now).cast("bigint"))
-    holes = ahead.where(until - F.col(x) > accuracy).select(
-        *keys, F.explode(F.sequence(F.col(x) + accuracy, until - 1, step)).alias(x), F.lit(fill).cast(points.schema[y].dataType).alias(y)
-    )
-    return points.select(*keys, x, y).unionByName(holes)
+    holes = _points_between(ahead.where(until - F.col(x) > accuracy), keys, F.col(x) + accuracy, until - 1, accuracy, x)
+    return points.select(*keys, x, y).unionByName(holes.select("*", F.lit(fill).cast(points.schema[y].dataType).alias(y)))
 
 
 def gap_markers(points: DataFrame, keys: Sequence[str], x: str, acceptable: int = 3 * MINUTE, first: int = MINUTE, every: int = 30 * MINUTE) -> DataFrame:
@@ -49,7 +58,7 @@ def gap_markers(points: DataFrame, keys: Sequence[str], x: str, acceptable: int
     ahead = with_next(points.select(*keys, x).distinct(), keys, x)
     end = F.col(f"next.{x}")
     marks = ahead.where((end - F.col(x) > acceptable) & (F.col(x) + first < end))
-    return marks.select(*keys, F.explode(F.sequence(F.col(x) + first, end - 1, F.lit(every).cast("bigint"))).alias(x))
+    return _points_between(marks, keys, F.col(x) + first, end - 1, every, x)
 
 
 def punch_card(sessions: DataFrame, offset: int = 0, by: Sequence[str] = ()) -> DataFrame:

@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalytics.functions.clock import DAY, MINUTE
+from arenalytics.functions.clock import MINUTE
+from arenalytics.functions.days import count_days, day_words, distinct_days, marked_days, merged_days, per_day
 from arenalytics.functions.ordered import step_totals
 from arenalytics.functions.stats import ratio
 from arenalytics.functions.windows import active, clipped, contained, length, overlap, scope, start_in
@@ -245,12 +244,8 @@ def check(name: str, s: Scope) -> Group | None:
     return BY_NAME.get(name)
 
 
-DAYS_A_WORD, MOST_WORDS = 62, 32
-"""Days that one integer marks, and integers at most; a longer window counts its days apart."""
-
-
-def _day_words(s: Scope) -> int:
-    return -(-(s.b - s.a + 2 * DAY) // (DAY * DAYS_A_WORD))
+MOST_WORDS = 32
+"""Integers at most that mark days; a window of over five years counts its days apart."""
 
 
 def _session_cells(t, s: Scope) -> DataFrame:
@@ -263,36 +258,31 @@ def _session_cells(t, s: Scope) -> DataFrame:
     inside, whole = overlap(s.a, s.b), contained(s.a, s.b)
     in_weeks = (F.col("session_end") >= date - 3 * activity.WEEK) & (F.col("session_start") <= date)
     chosen = scope(t.sessions, s.servers).where(inside | start_in(s.a, s.b) | in_weeks)
-    day = F.floor((F.col("session_start") + s.offset) / DAY) - (s.a + s.offset) // DAY
-    words = [f"d{k}" for k in range(_day_words(s))]
-    bits = [F.bit_or(F.when(whole & (F.floor(day / DAYS_A_WORD) == k), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(day, F.lit(DAYS_A_WORD)).cast("int")))).alias(w) for k, w in enumerate(words)]
     weeks = [F.sum(F.when(activity._in_week(date, w, True), active()).otherwise(0)).alias(f"w{w}") for w in range(3)]
     sums = {
         "afk": F.when(inside, F.col("afk_time")), "deaths": F.when(inside, F.col("deaths")), "mobs": F.when(inside, F.col("mob_kills")), "played": F.when(inside, clipped(s.a, s.b)),
         "n": F.when(inside, 1), "starts": F.when(start_in(s.a, s.b), 1), "full": F.when(inside, length()), "daily": F.when(whole, length()),
     }
     cells = chosen.groupBy("user_id", "server_id").agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()], *weeks, *bits, F.max(whole).alias("inside"), F.max(contained(half, s.b)).alias("late")
+        *[F.sum(c).alias(n) for n, c in sums.items()], *weeks, *marked_days(whole, "session_start", s.a, s.b, s.offset, "d"), F.max(whole).alias("inside"), F.max(contained(half, s.b)).alias("late")
     )
     fresh = players.registered_between(t.user_info, s.a, s.b, s.servers).select("user_id", "server_id").distinct().withColumn("fresh", F.lit(True))
     seen = cells.join(fresh, ["user_id", "server_id"], "left").withColumn("stayed", F.coalesce(F.col("fresh") & F.col("late"), F.lit(False)))
     users = seen.groupBy("user_id").agg(
-        *[F.sum(n).alias(n) for n in (*sums, "w0", "w1", "w2")], *[F.bit_or(w).alias(w) for w in words], F.max("inside").alias("inside"), F.max("stayed").alias("stayed")
+        *[F.sum(n).alias(n) for n in (*sums, "w0", "w1", "w2")], *merged_days(s.a, s.b, "d"), F.max("inside").alias("inside"), F.max("stayed").alias("stayed")
     )
     base = activity.base_users(t.users, t.user_info, s.servers, date).select("user_id", F.lit(True).alias("known"))
     index = activity.index_of([F.col(f"w{w}") for w in range(3)], s.threshold)
     low, high = activity.REGULAR_RANGE
     regular = F.coalesce(F.col("known"), F.lit(False)) & (index >= low) & (index < high)
     total = lambda n: F.coalesce(F.sum(n), F.lit(0))
-    marked = reduce(add, [F.coalesce(F.bit_count(w).cast("bigint"), F.lit(0)) for w in words])
-    days = reduce(add, [F.coalesce(F.bit_count(F.bit_or(w)).cast("bigint"), F.lit(0)) for w in words])
-    per_day = lambda amount: F.when(days > 0, amount / F.when(days > 0, days)).cast("bigint")
+    days = distinct_days(s.a, s.b, "d")
     return users.join(base, "user_id", "left").agg(
         total("afk").alias("AFK_TIME"), total("deaths").alias("DEATHS"), total("mobs").alias("MOB_KILLS"), total("played").alias("PLAYTIME"),
         total("starts").alias("SESSION_COUNT"), F.floor(ratio(total("played"), total("n"))).alias("SESSION_LENGTH_AVERAGE"),
-        ratio(total("afk"), total("full")).alias("AFK_TIME_PERCENTAGE"), per_day(F.sum("daily")).alias("PLAYTIME_PER_DAY_AVERAGE"),
+        ratio(total("afk"), total("full")).alias("AFK_TIME_PERCENTAGE"), per_day(F.sum("daily"), days).alias("PLAYTIME_PER_DAY_AVERAGE"),
         F.coalesce(F.avg("played").cast("bigint"), F.lit(0)).alias("PLAYTIME_PER_PLAYER_AVERAGE"), F.count_if("inside").alias("UNIQUE_PLAYERS_COUNT"),
-        F.coalesce(per_day(F.sum(marked)), F.lit(0)).alias("UNIQUE_PLAYERS_AVERAGE"), F.count_if("stayed").alias("NEW_PLAYER_RETENTION"), F.count_if(regular).alias("REGULAR_PLAYERS"),
+        F.coalesce(per_day(F.sum(count_days(s.a, s.b, "d")), days), F.lit(0)).alias("UNIQUE_PLAYERS_AVERAGE"), F.count_if("stayed").alias("NEW_PLAYER_RETENTION"), F.count_if(regular).alias("REGULAR_PLAYERS"),
     )
 
 
@@ -339,7 +329,7 @@ SHARED = {
 
 def _sharing(by_source: dict[Callable, list[str]], s: Scope) -> dict[Callable, list[str]]:
     out = dict(by_source)
-    if s.per_user or _day_words(s) > MOST_WORDS:
+    if s.per_user or day_words(s.a, s.b) > MOST_WORDS:
         return out
     for cells, groups in SHARED.items():
         held = [g for g in groups if g in out]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arenalytics.functions.clock import DAY, MINUTE, MONTH, WEEK, bucket, day
+from arenalytics.functions.days import count_days, distinct_days, marked_days, per_day
 from arenalytics.functions.stats import grouped_quantile, int_ratio, ratio, trend_columns
 from arenalytics.functions.windows import active, clipped, contained, length, overlap, start_in
 from arenalytics.operators import activity as act
@@ -35,39 +36,27 @@ def online_windows(now: int) -> Windows:
     }
 
 
-def _session_numbers(sessions, windows: Windows, offset: int, by: Sequence[str]) -> list[DataFrame]:
-    """Uniques, per-day means, playtime and session counts of every window from one scan."""
+def _session_numbers(sessions, windows: Windows, offset: int, by: Sequence[str]) -> DataFrame:
+    """Uniques, per-day means, playtime and session counts of every window from one row per user, whose days are bits."""
     lo, hi = min(a for a, _ in windows.values()), max(b for _, b in windows.values())
-    flags = [F.max(contained(a, b)).alias(f"in_{t}") for t, (a, b) in windows.items()]
     sums = []
     for t, (a, b) in windows.items():
         sums += [
+            *marked_days(contained(a, b), "session_start", a, b, offset, f"days_{t}_"),
             F.sum(F.when(overlap(a, b), clipped(a, b)).otherwise(0)).alias(f"play_{t}"),
             F.count_if(start_in(a, b)).alias(f"n_{t}"),
             F.sum(F.when(contained(a, b), length()).otherwise(0)).alias(f"len_{t}"),
         ]
-    cells = (
-        sessions.where(overlap(lo, hi))
-        .groupBy(*by, "user_id", day("session_start", offset).alias("date"))
-        .agg(*flags, *sums)
-    )
-    users = cells.groupBy(*by, "user_id").agg(
-        *[F.max(f"in_{t}").alias(f"in_{t}") for t in windows],
-        *[F.sum(f"{c}_{t}").alias(f"{c}_{t}") for t in windows for c in ("play", "n")],
-    )
-    totals = users.groupBy(*by).agg(
-        *[F.count_if(f"in_{t}").alias(f"unique_players_{t}") for t in windows],
-        *[_zero(F.sum(f"play_{t}")).alias(f"playtime_{t}") for t in windows],
-        *[_zero(F.sum(f"n_{t}")).alias(f"sessions_{t}") for t in windows],
-    )
-    days = cells.groupBy(*by, "date").agg(
-        *[F.count_if(f"in_{t}").alias(f"u_{t}") for t in windows], *[F.sum(f"len_{t}").alias(f"len_{t}") for t in windows]
-    )
-    means = days.groupBy(*by).agg(
-        *[_zero(F.avg(F.when(F.col(f"u_{t}") > 0, F.col(f"u_{t}"))).cast("bigint")).alias(f"unique_players_avg_{t}") for t in windows],
-        *[_zero(F.avg(F.when(F.col(f"u_{t}") > 0, F.col(f"len_{t}"))).cast("bigint")).alias(f"playtime_avg_{t}") for t in windows],
-    )
-    return [totals, means]
+    users = sessions.where(overlap(lo, hi)).groupBy(*by, "user_id").agg(*sums)
+    found = []
+    for t, (a, b) in windows.items():
+        name = f"days_{t}_"
+        own, every = count_days(a, b, name), distinct_days(a, b, name)
+        found += [
+            F.count_if(own > 0).alias(f"unique_players_{t}"), _zero(F.sum(f"play_{t}")).alias(f"playtime_{t}"), _zero(F.sum(f"n_{t}")).alias(f"sessions_{t}"),
+            _zero(per_day(F.sum(own), every)).alias(f"unique_players_avg_{t}"), _zero(per_day(F.sum(f"len_{t}"), every)).alias(f"playtime_avg_{t}"),
+        ]
+    return users.groupBy(*by).agg(*found)
 
 
 def _new_numbers(registrations, windows: Windows, offset: int, by: Sequence[str]) -> DataFrame:
@@ -123,7 +112,7 @@ def online_activity_numbers(sessions, user_info, now: int, threshold: int = act.
     windows = online_windows(now)
     by = ["server_id"]
     frames = [
-        *_session_numbers(sessions, windows, offset, by), _new_numbers(user_info, windows, offset, by),
+        _session_numbers(sessions, windows, offset, by), _new_numbers(user_info, windows, offset, by),
         _retention_numbers(user_info, sessions, windows, now, threshold),
     ]
     measures = ["unique_players", "unique_players_avg", "new_players", "new_players_avg", "playtime", "playtime_avg", "sessions"]
@@ -201,7 +190,7 @@ def last_days(sessions, user_info, samples, now: int, low_tps: float, span: int
     )
     mean = tps.dated(samples, now - span, now).groupBy(*by).agg(F.avg(F.when(F.col("tps") >= 0, F.col("tps"))).alias("average_tps"))
     frames = [
-        *_session_numbers(sessions, window, offset, by), _new_numbers(user_info, window, offset, by), retained, mean,
+        _session_numbers(sessions, window, offset, by), _new_numbers(user_info, window, offset, by), retained, mean,
         tps.step_numbers(samples, now, low_tps, {"7d": span}),
     ]
     counts = ["unique_players_7d", "unique_players_avg_7d", "new_players_7d", "new_players_retention", "low_tps_spikes_7d", "server_downtime_7d"]
@@ -256,7 +245,7 @@ def totals(sessions, registrations, kills, samples, now: int, threshold: int, by
 def weeks(sessions, registrations, kills, now: int, threshold: int, by: Sequence[str] = ("server_id",)) -> DataFrame:
     """This week against the one before, with trends."""
     windows = {"before": (now - 2 * WEEK, now - WEEK), "after": (now - WEEK, now)}
-    played = _session_numbers(sessions, windows, 0, by)[0]
+    played = _session_numbers(sessions, windows, 0, by)
     extra = []
     for t, (a, b) in windows.items():
         extra += [
@@ -442,7 +431,7 @@ def network_sessions_overview(sessions, now: int, month: int = MONTH) -> DataFra
 def network_players(sessions, users, now: int) -> DataFrame:
     """Unique and new players of the network in 1, 7 and 30 days."""
     windows = {"1d": (now - DAY, now), "7d": (now - WEEK, now), "30d": (now - MONTH, now)}
-    unique = _session_numbers(sessions, windows, 0, [])[0]
+    unique = _session_numbers(sessions, windows, 0, [])
     new = _new_numbers(users, windows, 0, [])
     columns = [f"{n}_players_{t}" for n in ("unique", "new") for t in windows]
     return merge_rows([unique, new], [], columns).fillna(0, columns)

@@ -44,14 +44,29 @@ def split_sessions(sessions: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+COMMITS = "commits"
+
+
 def store_sessions(batch: DataFrame, root: str, batch_id: int) -> None:
-    """foreachBatch writer of finished sessions; the batch is kept for its three writes, so its state is computed once."""
+    """foreachBatch writer of finished sessions; the batch is kept for its three writes, so its state is computed once.
+
+    Last comes the batch's commit: :func:`committed` reads all three tables of a batch or none, also while a batch is
+    being written and after one that failed half-way.
+    """
     held = batch.persist()
     try:
         for name, table in split_sessions(held).items():
             write_batch(table, os.path.join(root, name), batch_id)
     finally:
         held.unpersist()
+    spark = batch.sparkSession
+    write_batch(spark.range(1).select(F.lit(batch_id).cast("bigint").alias("committed")), os.path.join(root, COMMITS), batch_id)
+
+
+def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Rows of a table that :func:`store_sessions` writes, of the committed batches only; folders of others are not read."""
+    done = [r.committed for r in spark.read.parquet(os.path.join(root, COMMITS)).select("committed").distinct().collect()]
+    return spark.read.parquet(os.path.join(root, name)).where(F.col("batch").isin(done)).drop("batch")
 
 
 def read_batches(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:

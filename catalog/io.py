@@ -114,7 +114,8 @@ def _(d):
     nested = _nested(d)
     sinks.store_sessions(nested, folder, 0)
     sinks.store_sessions(nested, folder, 0)  # a repeated batch must not add rows
-    read = lambda n: d.spark.read.parquet(f"{folder}/{n}")
+    sinks.write_batch(sinks.split_sessions(nested)["sessions"], f"{folder}/sessions", 1)  # a batch that failed before its commit
+    read = lambda n: sinks.committed(d.spark, folder, n)
     modes = F.col("survival_time") + F.col("creative_time") + F.col("adventure_time") + F.col("spectator_time")
     parts = [("sessions", F.sum(F.col("session_end") - F.col("session_start"))), ("world_times", F.sum(modes)), ("kills", F.sum("date"))]
     frames = [read(n).agg(F.lit(n).alias("table"), F.count("*").alias("rows"), s.alias("total")) for n, s in parts]

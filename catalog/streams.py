@@ -136,6 +136,35 @@ def _(d):
     return done.select("server_id", "plugin_name", "version", "modified", "change")
 
 
+SNAPSHOTS = f"""with s as (select server_id, 1 snapshot, plugin_name, version from plugin_snapshot union all select server_id, 2, plugin_name, 'Brand#2' from plugin_snapshot where length(plugin_name)%3<>0),
+ i as (select server_id, plugin_name, version from (select *, row_number() over (partition by server_id, plugin_name order by modified desc, id desc) r from plugin_versions) x where r=1 and version is not null),
+ a as (select server_id, plugin_name, version from s where snapshot=1), b as (select server_id, plugin_name, version from s where snapshot=2),
+ c as (select 1 step, coalesce(i.server_id,a.server_id) server_id, coalesce(i.plugin_name,a.plugin_name) plugin_name, a.version, case when i.version is null then 'new' when a.version is null then 'removed' else 'updated' end change
+ from (select * from i where server_id in (select server_id from a)) i full join a on a.server_id=i.server_id and a.plugin_name=i.plugin_name where i.version is distinct from a.version union all
+ select 2, coalesce(a.server_id,b.server_id), coalesce(a.plugin_name,b.plugin_name), b.version, case when a.version is null then 'new' when b.version is null then 'removed' else 'updated' end
+ from (select * from a where server_id in (select server_id from b)) a full join b on a.server_id=b.server_id and a.plugin_name=b.plugin_name where a.version is distinct from b.version)
+ select cast(step as int) step, server_id, plugin_name, version, {NOW} modified, change from c"""
+
+
+@query("str_10_split_snapshots", SNAPSHOTS)
+def _(d):
+    """Two snapshots of every server, each cut over three batches that hold rows of all servers."""
+    second = d.plugin_snapshot.where(F.char_length("plugin_name") % 3 != 0).withColumn("version", F.lit("Brand#2"))
+    both = d.plugin_snapshot.withColumn("snapshot", F.lit(1).cast("bigint")).unionByName(second.withColumn("snapshot", F.lit(2).cast("bigint")))
+    sizes = both.groupBy("server_id", "snapshot").agg(F.countDistinct("plugin_name").alias("plugins"))
+    rows = both.join(sizes, ["server_id", "snapshot"]).select("server_id", "snapshot", "plugins", "plugin_name", "version")
+    folder = shared_folder(d.spark, "snapshots")
+    for n in (1, 2):
+        for part in range(3):
+            rows.where((F.col("snapshot") == n) & (F.pmod(F.xxhash64("plugin_name"), F.lit(3)) == part)).coalesce(1).write.mode("append").parquet(folder)
+    source = replay.file_stream(d.spark, folder, rows.schema, files_per_batch=1)
+    out = replay.drain(source, "split", batches.record_split_snapshots(roster.installed_plugins(d.plugin_versions), NOW))
+    changes = d.spark.read.parquet(f"{out}/changes")
+    # Batches 0 to 2 bring the first snapshots, 3 to 5 the second ones.
+    step = F.floor(F.col("batch") / 3).cast("int") + 1
+    return changes.select(step.alias("step"), "server_id", "plugin_name", "version", "modified", "change")
+
+
 @query("str_9_preserved_sessions", f"""select user_id, server_id, date session_start, {NOW} session_end from (select *, lead(date) over (partition by user_id order by date, event_id) nd from ({CHANGES}) c) x
  where kind='join' and nd is null""")
 def _(d):

@@ -169,7 +169,7 @@ def on_disk(spark, tmp_path_factory):
     """The derived tables as stored ones, so that a plan shows one scan per read of a table."""
     folder = tmp_path_factory.mktemp("tables")
     stored = Domain(spark, SMALL)
-    for name in ("samples", "sessions", "ping", "users", "user_info", "servers"):
+    for name in ("samples", "sessions", "ping", "users", "user_info", "servers", "kills"):
         getattr(Domain(spark, SMALL), name).write.parquet(str(folder / name))
         stored._made[name] = spark.read.parquet(str(folder / name))
     return stored
@@ -193,3 +193,20 @@ def test_scans_and_exchanges(spark, on_disk, name, scans, exchanges):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(re.findall(r"^\(\d+\) Scan parquet", text, re.MULTILINE)) == scans
     assert len(re.findall(r"^\(\d+\) (?:Reused)?Exchange", text, re.MULTILINE)) <= exchanges
+
+
+@pytest.mark.parametrize(
+    ("name", "most"),
+    [("kpi_network", {"sessions": 1, "samples": 3, "user_info": 1, "kills": 1}), ("kpi_servers", {"sessions": 1, "samples": 3, "user_info": 3, "kills": 1}),
+     ("rep_3_totals", {"sessions": 3, "samples": 2}), ("tbl_6_server_list", {"sessions": 1, "samples": 4}), ("rep_1_online_activity_numbers", {"sessions": 3})],
+)
+def test_reads_of_a_fact(spark, on_disk, name, most):
+    """Tables of many numbers read each fact a few times, not once a number."""
+    catalog.load()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(catalog.FUNCTIONS[name](on_disk))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    reads = {t: len(re.findall(rf"Location: \w+ ?\[[^\]]*/{t}\]", text)) for t in most}
+    assert all(0 < reads[t] <= n for t, n in most.items()), reads

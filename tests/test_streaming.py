@@ -317,3 +317,31 @@ def test_plugin_changes_are_recorded_once(rows, spark, tmp_path):
     write(rows([(1, "a", "2"), (1, "b", "5"), (1, "c", "1")], installed.schema), 2, path)
     done = spark.read.parquet(path).select("batch", "plugin_name", "version", "change").collect()
     assert sorted(map(tuple, done)) == [(0, "a", "2", "updated"), (0, "b", None, "removed"), (0, "c", "1", "new"), (2, "b", "5", "new")]
+
+
+def test_split_snapshots_wait_until_they_are_whole(spark, rows, tmp_path):
+    path = str(tmp_path / "plugins")
+    installed = rows([(1, "a", "1"), (1, "b", "1"), (2, "a", "1")], "server_id int, plugin_name string, version string")
+    schema = "server_id int, snapshot bigint, plugins bigint, plugin_name string, version string"
+    write = batches.record_split_snapshots(installed, 99)
+    parts = [
+        [(1, 5, 2, "a", "2"), (2, 5, 1, "a", "1")], [(1, 5, 2, "c", "1"), (1, 5, 2, "a", "2")], [(1, 4, 1, "z", "1")], [(1, 6, 1, "a", "3"), (1, 7, 2, "a", "4")], [(1, 7, 2, "c", "1")],
+    ]
+    for n, part in enumerate(parts):
+        for _ in range(1 + n % 2):
+            write(rows(part, schema), n, path)
+    done = spark.read.parquet(f"{path}/changes").select("batch", "server_id", "plugin_name", "version", "change").collect()
+    assert sorted(map(tuple, done), key=str) == sorted([
+        (1, 1, "a", "2", "updated"), (1, 1, "c", "1", "new"), (1, 1, "b", None, "removed"), (3, 1, "a", "3", "updated"), (3, 1, "c", None, "removed"),
+        (4, 1, "a", "4", "updated"), (4, 1, "c", "1", "new"),
+    ], key=str)
+
+
+def test_uncommitted_batches_are_not_read(spark, rows, tmp_path):
+    root = str(tmp_path / "sessions")
+    one = rows([(1, "u", "s", {"w": ({"SURVIVAL": 5},)}, [])], "id bigint, user_uuid string, server_uuid string, world_times map<string, struct<times: map<string, bigint>>>, kills array<struct<killer: struct<uuid: string>, victim: struct<uuid: string>, weapon: string, date: bigint>>")
+    sinks.store_sessions(one, root, 0)
+    sinks.write_batch(sinks.split_sessions(one)["sessions"], f"{root}/sessions", 1)
+    assert spark.read.parquet(f"{root}/sessions").count() == 2 and sinks.committed(spark, root, "sessions").count() == 1
+    sinks.store_sessions(one, root, 1)
+    assert sinks.committed(spark, root, "sessions").count() == 2 and sinks.committed(spark, root, "world_times").count() == 2
