@@ -15,7 +15,7 @@ BLOCK_BYTES = 1 << 20
 """UTF-8 bytes of text that a Python worker holds in one piece; a longer text is a block of its own."""
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 1_000
+BATCH_ROWS = 300
 """Whole texts are long rows: unless the session sets its own number, so many go to a Python worker at once."""
 
 
@@ -27,7 +27,17 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends here, and Spark knows its size."""
     path = shared_folder(frame.sparkSession, purpose)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more: what was made of them is stored itself."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_blocks(
@@ -110,6 +120,6 @@ class Cache(dict):
             if len(self) + len(found) > self.limit:
                 self.older = dict(self)
                 self.clear()
-            self.update((k, v) for k, v in found.items() if len(k) <= LONG_KEY)
+            self.update((k, v) for k, v in found.items() if not isinstance(k, (str, bytes)) or len(k) <= LONG_KEY)
             values = [found[k] if v is None else v for k, v in zip(keys, values, strict=True)]
         return values

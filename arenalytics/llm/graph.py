@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalytics.llm.common import stored
+from arenalytics.llm.common import discard, stored
 
 CELL = 256
 """Members of a key that one task compares with each other at a time."""
@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round gives a node, and the node it points at, the smallest label among its neighbours, then follows each
     label once. Labels only fall, so the rounds end when the table stays as it was. All rows stay in tables of the shared
-    folder; the driver sees one digest per round. Nodes may be of any type that has an order. No edges give an empty result.
+    folder, of which only the result is left; the driver sees one digest per round. Nodes may be of any type that has an order. No edges give an empty result.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct()
     both = stored(both, "edges")
@@ -30,14 +30,17 @@ def components(edges: DataFrame) -> DataFrame:
         held = labels.join(near, F.col("node") == F.col("a"), "left")
         lower = F.least("label", "least").alias("label")
         hooked = held.select("node", lower).union(held.select(F.col("label").alias("node"), lower))
-        hooked = stored(hooked.groupBy("node").agg(F.min("label").alias("label")), "labels")
+        hooked = stored(hooked.groupBy("node").agg(F.min("label").alias("label")), "hooked")
+        discard(labels)
         target = hooked.select(F.col("node").alias("to"), F.col("label").alias("next"))
         target = target.where(F.col("to") != F.col("next"))
         jumped = hooked.join(target, F.col("label") == F.col("to"), "left")
         labels = stored(jumped.select("node", F.coalesce("next", "label").alias("label")), "labels")
+        discard(hooked)
         before, digest = digest, _digest(labels)
         if digest == before:
             break
+    discard(both)
     return labels.withColumnRenamed("label", "component")
 
 
