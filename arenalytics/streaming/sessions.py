@@ -5,12 +5,17 @@ out of order by less than the delay give the same sessions as the batch form. Ev
 same stream, marked late: what is on time and what is late together are all events. An open session is one value, its
 times are map state by (world, mode), of which only the touched entries are written; a batch reads and writes
 what is new and what still waits, not the user's history.
+
+Every call to state is a message to Spark and back, far dearer than the step of an event. So users share a key in groups, whose
+events travel and wait in packs, lists of the values of many events, and whose open sessions are read together.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -31,6 +36,17 @@ FINISHED = (
     "world_times array<struct<world: string, mode: int, time: bigint>>"
 )
 OUTPUT = f"user_id bigint, session struct<{FINISHED}>, late struct<{EVENT}>"
+GROUPS = 1024
+"""Keys that users are dealt out to. The waiting events of a group are in memory at once, so more events need more groups."""
+PACK = (
+    "user_id array<bigint>, date array<bigint>, event_id array<bigint>, kind array<string>, server_id array<int>, world array<string>, "
+    "mode array<int>, exempt array<boolean>"
+)
+PACK_EVENTS = 100_000
+"""Events that a task packs at a time."""
+OPEN = f"{SESSION}, worlds array<string>, modes array<int>, spent array<bigint>"
+READ_TOGETHER = 16
+"""If more users of a group have events to apply, all its open sessions are read in one go."""
 USED = ("join", "switch", "leave", "world", "action", "afk", "mob_kill", "death")
 
 
@@ -149,19 +165,136 @@ class Sessions(StatefulProcessor):
         pass
 
 
+class SessionGroups(Sessions):
+    """The waiting events and open sessions of a group of users."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "user_id bigint", OPEN)
+        self.due = handle.getValueState("due", "date bigint")
+        self.waiting = handle.getListState("waiting", PACK)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        fresh = []
+        for row in rows:
+            for user, *event in zip(row["user_id"], *(row[f] for f in FIELDS), strict=True):
+                date, _, kind, *_ = event
+                if kind not in USED:
+                    continue
+                if date <= watermark:
+                    yield Row(user_id=user, session=None, late=tuple(event))
+                else:
+                    fresh.append((user, *event))
+        if fresh:
+            self.waiting.appendList([pack(fresh)])
+            self._wake(min(e[1] for e in fresh), watermark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        ready, rest = defaultdict(list), []
+        for held in self.waiting.get() or ():
+            for user, *event in zip(*held, strict=True):
+                if event[0] <= watermark:
+                    ready[user].append(tuple(event))
+                else:
+                    rest.append((user, *event))
+        if ready and rest:
+            self.waiting.put([pack(rest)])
+        elif ready:
+            self.waiting.clear()
+        due = self.due.get() if self.session_timeout is not None else None
+        due = due[0] if due else None
+        # No open session ends before that date, so others than those with events are only looked at from then on.
+        ending = due is not None and due <= watermark
+        stored = self._stored(ready, ending)
+        after, waits = None if ending else due, {e[0] for e in rest}
+        for user in {**ready, **stored} if ending else ready:
+            session, times = stored.get(user, (None, {}))
+            for event in sorted(ready.get(user, ()), key=lambda e: e[:2]):
+                session, times, done = apply_event(session, times, event, self.threshold)
+                if done:
+                    yield Row(user_id=user, session=done, late=None)
+            if session is not None and self.session_timeout is not None and user not in waits:
+                ends = session["seen"] + self.session_timeout
+                if ends <= watermark:
+                    # The leave never came: the session ends with its last event.
+                    end = (session["seen"], 0, "leave", session["server"], None, None, False)
+                    session, times, done = apply_event(session, times, end, self.threshold)
+                    yield Row(user_id=user, session=done, late=None)
+                else:
+                    after = ends if after is None else min(after, ends)
+            if session is None and user in stored:
+                self.open.removeKey((user,))
+            elif session is not None and user in ready:
+                places = ([w for w, _ in times], [m for _, m in times], list(times.values()))
+                self.open.updateValue((user,), (*[session[f] for f in SESSION_FIELDS], *places))
+        if after is None and due is not None:
+            self.due.clear()
+        elif after != due:
+            self.due.update((after,))
+        ahead = [e[1] for e in rest] + ([] if after is None else [max(after, watermark + 1)])
+        if ahead:
+            self._wake(min(ahead), watermark)
+
+    def _stored(self, users, everyone: bool) -> dict:
+        """The open sessions, and their times by (world, mode), of some users or of everyone in the group."""
+        if everyone or len(users) > READ_TOGETHER:
+            found = ((key[0], value) for key, value in self.open.iterator())
+        else:
+            found = ((user, self.open.getValue((user,))) for user in users)
+        sessions = {}
+        for user, value in found:
+            if value is not None and (everyone or user in users):
+                *fields, worlds, modes, spent = value
+                sessions[user] = dict(zip(SESSION_FIELDS, fields, strict=True)), dict(zip(zip(worlds, modes, strict=True), spent, strict=True))
+        return sessions
+
+
+def pack(events: list[tuple]) -> tuple:
+    """The values of some events, a list per field."""
+    return tuple(map(list, zip(*events, strict=True)))
+
+
+def packed(events: DataFrame, groups: int) -> DataFrame:
+    """(group, a list per field) of events: a row per group and task, or per ``PACK_EVENTS`` events."""
+    fields = ["user_id", *FIELDS]
+
+    def by_group(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grouped = pa.Table.from_batches(held).group_by("group", use_threads=False).aggregate([(f, "list") for f in fields])
+        yield from grouped.select(["group", *[f"{f}_list" for f in fields]]).rename_columns(["group", *fields]).to_batches(max_chunksize=100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACK_EVENTS:
+                yield from by_group(held)
+                held, n = [], 0
+        if held:
+            yield from by_group(held)
+
+    group = F.pmod(F.xxhash64("user_id"), F.lit(groups)).cast("int").alias("group")
+    return events.select(group, *fields).mapInArrow(run, f"group int, {PACK}")
+
+
 def live_rows(
     events: DataFrame, delay: str = "10 minutes", threshold: int = AFK_THRESHOLD, session_timeout: int | None = 24 * 3_600_000,
-    exempt: DataFrame | None = None,
+    exempt: DataFrame | None = None, groups: int | None = GROUPS,
 ) -> DataFrame:
     """(user_id, session, late) of a stream of events (columns as in the batch form): finished sessions and late events.
 
-    ``exempt`` lists users whose AFK time isn't counted, with ``valid_from`` and ``valid_to`` if it holds versions. Start the
+    ``exempt`` lists users whose AFK time isn't counted, with ``valid_from`` and ``valid_to`` if it holds versions. State is kept
+    by ``groups`` of users, by single users without; a stream goes on with the number that it was started with. Start the
     stream with :func:`arenalytics.streaming.replay.drain` or with its ``TYPED_STATE`` settings.
     """
     ship_package(events.sparkSession)
     used = events.where(F.col("kind").isin(*USED, CLOSING))
     timed = with_exemption(used, exempt).withColumn("at", F.timestamp_millis("date")).withWatermark("at", delay)
     # Without the watermark's own column Spark drops no late row; they are told apart by their date.
+    if groups:
+        return packed(timed, groups).groupBy("group").transformWithState(SessionGroups(threshold, session_timeout), OUTPUT, "Append", "EventTime")
     keyed = timed.select("user_id", *FIELDS).groupBy("user_id")
     return keyed.transformWithState(Sessions(threshold, session_timeout), OUTPUT, "Append", "EventTime")
 

@@ -203,6 +203,58 @@ def test_work_grows_with_new_events_only():
     assert not out and len(handle.map.value) == 12 and set(k[0] for k in handle.map.value) == {"w|0", "w|1", "w|2"}
 
 
+def test_groups_of_users_give_what_single_users_give(spark, tmp_path):
+    """Lost leaves, late events and users without an id, in one group, few groups and a key a user."""
+    data = in_disorder(event_log(seed=12, users=40, n=600))
+    data = [(*e[:1], None if e[1] == 7 else e[1], *e[2:]) for e in data]
+    data += [(9_000, 3, 1, "join", data[20][4], "w0", 0), (9_001, 50, 1, "join", data[-1][4] + 10**8, "w0", 0)]
+    found = []
+    for groups in (None, 1, 3):
+        got = rows_of(spark, as_stream(spark, tmp_path / str(groups), data, 5), session_timeout=30 * MINUTE, groups=groups)
+        found.append(sorted(map(str, got.select("user_id", "late", F.struct("session.*").dropFields("world_times"), F.array_sort("session.world_times")).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+    assert any("event_id=9000" in r for r in found[0])
+
+
+class Counted(Handle):
+    """A handle that counts the calls to state, each of which is a message to Spark."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def __getattribute__(self, name):
+        if name in ("listTimers", "deleteTimer", "registerTimer"):
+            self.calls += 1
+        return super().__getattribute__(name)
+
+
+def test_calls_to_state_do_not_grow_with_users():
+    def calls(users):
+        handle, group = Counted(), sessions.SessionGroups(180_000, None)
+        group.init(handle)
+        for held in (handle.map, handle.list):
+            for name in ("get", "put", "clear", "appendList", "iterator", "updateValue"):
+                def count(*args, own=getattr(held, name)):
+                    handle.calls += 1
+                    return own(*args)
+
+                setattr(held, name, count)
+        out = []
+        for batch in range(3):
+            events = [(u, 10**9 + batch * 10**6 + k, 10 * u + k, kind, 1, "w", 0, False) for u in range(users) for k, kind in enumerate(("join", "action", "leave"))]
+            row = dict(zip(["user_id", *sessions.FIELDS], map(list, zip(*events, strict=True)), strict=True))
+            out += list(group.handleInputRows((0,), [row], handle))
+            handle.now = 10**9 + batch * 10**6 + 10
+            for due in [t for t in handle.timers if t <= handle.now]:
+                out += list(group.handleExpiredTimer((0,), handle, None))
+                handle.timers.discard(due)
+        assert len(out) == 3 * users
+        return handle.calls
+
+    assert calls(2_000) == calls(100) < 40
+
+
 def run_events(*events, threshold=60_000):
     session, times, rows = None, {}, []
     for i, (kind, date) in enumerate(events):
