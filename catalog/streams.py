@@ -108,7 +108,7 @@ def _(d):
     arriving = d.session_events.withColumn("arrival", arrival)
     folder = shared_folder(d.spark, "arrivals")
     for (n,) in sorted(arriving.select("arrival").distinct().collect()):
-        arriving.where(F.col("arrival") == n).drop("arrival").coalesce(1).write.mode("append").parquet(folder)
+        arriving.where(F.col("arrival") == n).drop("arrival").repartition(1).write.mode("append").parquet(folder)
     source = replay.file_stream(d.spark, folder, d.session_events.schema, files_per_batch=1)
     build = lambda events: sessions.live_rows(events, session_timeout=None)
     rows = d.spark.read.parquet(replay.drain_closed(source, build, "late"))
