@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arenalytics.llm import queries, similar
@@ -136,6 +137,27 @@ def test_near_dedup_is_exact_at_the_border(spark):
     assert [t for i, t in got if i == 6] == sorted(t for i, t in rows if i == 6)
 
 
+def test_near_dedup_takes_its_first_candidates_from_simhash(spark, monkeypatch):
+    """Near copies have near fingerprints, an unlike text has not; who is named but not similar stays."""
+    rng = random.Random(5)
+    base = prose(rng, 4000)
+    rows = [(1, base), (2, base.replace(" ", "  ", 1)), (3, f"{base} end"), (4, prose(rng, 400))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    asked, of = [], similar.components_of
+
+    def seen(texts, candidates):
+        asked.extend(tuple(r) for r in candidates.collect())
+        every = texts.select(F.lit(tie(rows[3][1])).alias("first"), F.col("id").alias("second")).where("first != second")
+        return of(texts, candidates.union(every))
+
+    monkeypatch.setattr(similar, "components_of", seen)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup_filter(spark, docs, "").collect())
+    assert got == [1, 4]
+    hashes = {tie(t): i for i, t in rows}
+    named = [sorted((hashes[a], hashes[b])) for a, b in asked]
+    assert named and all(4 not in n for n in named)
+
+
 def test_near_dedup_keeps_other_texts_of_a_shared_id(spark):
     rows = [(4, f"{w} text that nobody else has here", "en", "s", 1) for w in ("one", "another", "another")] + [(5, "one text that nobody else has here", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
