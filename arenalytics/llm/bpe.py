@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalytics.llm.common import Cache, binaries, map_blocks, result, strings
+from arenalytics.llm.common import BLOCK_BYTES, Cache, binaries, map_blocks, result, strings
 
 # Classes of code points.
 LETTER, NUMBER, OTHER, SPACE, WHITE, BREAK = range(6)
@@ -229,12 +229,13 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(packed), "<u4"), np.diff(totals[edges])
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Ids of every whole text: (``doc_id``, n_tokens, ids, offsets).
 
     ``path`` is a rank file every worker can read. ``ids`` and ``offsets`` are packed; an offset is the first byte of
     its token in the text's UTF-8 bytes. A null or empty text has no ids. Rows are independent: repeated rows
     give repeated results, other columns are left out, an empty table gives an empty result. There is no shuffle.
+    ``block_bytes`` of text are cut at once; a worker needs some fifty times as much beside its cache.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -254,11 +255,11 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         return work
 
     frame = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text"))
-    out = map_blocks(frame, f"key {kind}, n_tokens long, ids binary, offsets binary", start)
+    out = map_blocks(frame, f"key {kind}, n_tokens long, ids binary, offsets binary", start, block_bytes=block_bytes)
     return out.withColumnRenamed("key", doc_id)
 
 
-def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+def decode(coded: DataFrame, path: str, ids: str = "ids", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``coded`` but ``ids`` and ``offsets``, and ``decoded``: the bytes that the packed ids stand for.
 
     A null value decodes to null; an id outside the vocabulary raises an error.
@@ -284,4 +285,4 @@ def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
         return work
 
-    return map_blocks(coded.select(*kept, ids), f"{fields}, decoded binary", start, text=ids)
+    return map_blocks(coded.select(*kept, ids), f"{fields}, decoded binary", start, text=ids, block_bytes=block_bytes)

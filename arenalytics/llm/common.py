@@ -41,9 +41,10 @@ def discard(*frames: DataFrame) -> None:
 
 
 def map_blocks(
-    frame: DataFrame, schema, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], text: str = "text"
+    frame: DataFrame, schema, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Apply ``start()(block)`` to blocks of about ``BLOCK_BYTES`` of the text column, in Python workers.
+    """Apply ``start()(block)`` to blocks of about ``block_bytes`` of the text column, in Python workers.
 
     ``start`` runs once per task, so it may open a model; what it keeps at module level outlives the task.
     """
@@ -55,7 +56,7 @@ def map_blocks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            for block in split(batch, text):
+            for block in split(batch, text, block_bytes):
                 result = work(block)
                 if result is not None and result.num_rows:
                     yield result
@@ -63,12 +64,12 @@ def map_blocks(
     return frame.mapInArrow(run, schema)
 
 
-def split(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``BLOCK_BYTES`` of text each."""
+def split(batch: pa.RecordBatch, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``block_bytes`` of text each."""
     if not batch.num_rows:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(lengths, dtype=np.int64) // BLOCK_BYTES
+    part = np.cumsum(lengths, dtype=np.int64) // block_bytes
     edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         yield batch.slice(a, b - a)

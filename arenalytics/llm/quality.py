@@ -107,10 +107,12 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("statistics").flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)
 
 
-def normal_sums(train: DataFrame, mean: np.ndarray, scale: np.ndarray) -> dict[int, np.ndarray]:
-    """By fold: sums of z z', z y and y y over its rows, as one symmetric matrix of (z, y); added up in a tree."""
+def task_sums(train: DataFrame, mean: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """(fold, total): by task and fold, sums of z z', z y and y y over its rows, as one symmetric matrix of (z, y).
+
+    They are dealt out anew, so that no task needs one Python worker to make them and another to read them.
+    """
     ship_package(train.sparkSession)
-    size = FEATURES + 2
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -123,11 +125,17 @@ def normal_sums(train: DataFrame, mean: np.ndarray, scale: np.ndarray) -> dict[i
         kinds = [("fold", pa.int32()), ("total", pa.binary())]
         yield result(kinds, list(sums), [s.tobytes() for s in sums.values()])
 
+    return train.select("statistics", "label", "fold").mapInArrow(run, "fold int, total binary").hint("rebalance")
+
+
+def normal_sums(train: DataFrame, mean: np.ndarray, scale: np.ndarray) -> dict[int, np.ndarray]:
+    """By fold: the matrices of all tasks, added up in a tree."""
+    size = FEATURES + 2
+
     def add(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
         return {f: a.get(f, 0) + b.get(f, 0) for f in a.keys() | b.keys()}
 
-    rows = train.select("statistics", "label", "fold").mapInArrow(run, "fold int, total binary").rdd
-    parts = rows.map(lambda r: {r.fold: np.frombuffer(r.total).reshape(size, size)})
+    parts = task_sums(train, mean, scale).rdd.map(lambda r: {r.fold: np.frombuffer(r.total).reshape(size, size)})
     return parts.treeAggregate({}, add, add, depth=3)
 
 
