@@ -112,24 +112,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "op7_line_dedup",
+    "op7_line_runs",
     """
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
 l as (select doc_id, unnest(ls) line, unnest(range(len(ls))) place from d),
 s as (
   select doc_id, place, line, strlen(line) - strlen(replace(line, ' ', '')) + 1 words,
     row_number() over (partition by doc_id order by place) i from l where trim(line) <> ''
-), n as (
-  select *, lead(line) over w l1, lead(line, 2) over w l2, lead(words) over w w1 from s window w as (partition by doc_id order by place)
-), c as (
-  select doc_id, i, case when words >= 50 then 1 when words + w1 >= 50 then 2 else 3 end k, line, l1, l2 from n
-), f as materialized (
-  select doc_id, i, k, row_number() over (
-    partition by k, line, case when k > 1 then l1 end, case when k > 2 then l2 end order by doc_id, i) nth
-  from c where k = 1 or (k = 2 and l1 is not null) or l2 is not null
-), r as materialized (
-  select distinct s.doc_id, s.place
-  from (select doc_id, unnest(range(i, i + k)) i from f where nth > 1) x join s on s.doc_id = x.doc_id and s.i = x.i
+), e as (select a.doc_id, a.i, b.i as last, list(m.line order by m.i) run, sum(m.words) words
+  from s a join s b on b.doc_id = a.doc_id and b.i between a.i and a.i + 4 join s m on m.doc_id = a.doc_id and m.i between a.i and b.i
+  group by all having count(*) >= 3 or sum(m.words) >= 50
+), f as materialized (select doc_id, i, last, row_number() over (partition by run order by doc_id, i) nth from e),
+r as materialized (
+  select distinct s.doc_id, s.place from f join s on s.doc_id = f.doc_id and s.i between f.i and f.last where nth > 1
 ), k as (
   select l.doc_id, count(*) n_lines, count(r.place) n_deleted,
     coalesce(string_agg(line, chr(10) order by l.place) filter (where r.place is null), '') txt
@@ -139,26 +134,34 @@ select k.doc_id, case when n_deleted > 0 then txt else text end as text, n_lines
 from k join documents on documents.doc_id = k.doc_id
 """,
 )
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the runs of lines that stand earlier."""
-    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without any line of a maximal run that stands earlier.
+
+    The SQL looks at runs of up to five lines, which hold every line of longer ones. This is the main query of op7, so it comes first.
+    """
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"), whole_runs=True)
     return found.select("row.doc_id", "row.text", "n_lines", "n_deleted")
 
 
 @query(
-    "op7_line_runs",
+    "op7_line_dedup",
     """
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
 l as (select doc_id, unnest(ls) line, unnest(range(len(ls))) place from d),
 s as (
   select doc_id, place, line, strlen(line) - strlen(replace(line, ' ', '')) + 1 words,
     row_number() over (partition by doc_id order by place) i from l where trim(line) <> ''
-), e as (select a.doc_id, a.i, b.i as last, list(m.line order by m.i) run, sum(m.words) words
-  from s a join s b on b.doc_id = a.doc_id and b.i between a.i and a.i + 4 join s m on m.doc_id = a.doc_id and m.i between a.i and b.i
-  group by all having count(*) >= 3 or sum(m.words) >= 50
-), f as materialized (select doc_id, i, last, row_number() over (partition by run order by doc_id, i) nth from e),
-r as materialized (
-  select distinct s.doc_id, s.place from f join s on s.doc_id = f.doc_id and s.i between f.i and f.last where nth > 1
+), n as (
+  select *, lead(line) over w l1, lead(line, 2) over w l2, lead(words) over w w1 from s window w as (partition by doc_id order by place)
+), c as (
+  select doc_id, i, case when words >= 50 then 1 when words + w1 >= 50 then 2 else 3 end k, line, l1, l2 from n
+), f as materialized (
+  select doc_id, i, k, row_number() over (
+    partition by k, line, case when k > 1 then l1 end, case when k > 2 then l2 end order by doc_id, i) nth
+  from c where k = 1 or (k = 2 and l1 is not null) or l2 is not null
+), r as materialized (
+  select distinct s.doc_id, s.place
+  from (select doc_id, unnest(range(i, i + k)) i from f where nth > 1) x join s on s.doc_id = x.doc_id and s.i = x.i
 ), k as (
   select l.doc_id, count(*) n_lines, count(r.place) n_deleted,
     coalesce(string_agg(line, chr(10) order by l.place) filter (where r.place is null), '') txt
@@ -168,9 +171,9 @@ select k.doc_id, case when n_deleted > 0 then txt else text end as text, n_lines
 from k join documents on documents.doc_id = k.doc_id
 """,
 )
-def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without any line of a maximal run that stands earlier; the SQL looks at runs of up to five lines."""
-    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"), whole_runs=True)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the shortest long enough runs of lines that stand earlier, one from each line, as the SQL says."""
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "row.text", "n_lines", "n_deleted")
 
 

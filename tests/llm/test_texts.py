@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arenalytics.llm import decontamination, fingerprints, licenses, line_dedup
+from arenalytics.llm import decontamination, fingerprints, licenses, line_dedup, queries
 from tests.llm.conftest import odd_rows, text_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -157,6 +157,17 @@ def test_whole_runs_go_with_their_short_ends(spark):
     assert got[2][1] == "c\n" and got[4][1] == "d"
 
 
+def test_the_main_op7_query_takes_whole_runs(spark, tmp_path):
+    """The first query named op7_ is the one that is checked as op7: no line at the end of a copy stays."""
+    main = next(name for name in queries.QUERIES if name.startswith("op7_"))
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(0, f"a\n{long}\ntail one\ntail two"), (1, f"b\n{long}\ntail one\ntail two"), (2, f"{long}\ntail one"), (3, "tail one\ntail two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.text, r.n_deleted) for r in queries.QUERIES[main](spark, str(tmp_path)).collect())
+    assert got == whole_runs_deleted(rows)
+    assert [t for _, t, _ in got] == [rows[0][1], "b", "", rows[3][1]]
+
+
 def test_line_dedup_stage_leaves_nothing_of_copies(spark):
     long = " ".join(f"word{i}" for i in range(60))
     rows = [(k, f"{long}\nshort end", "en", "s", 1) for k in range(5)]
